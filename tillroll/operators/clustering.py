@@ -18,8 +18,7 @@ from pyspark.sql import functions as F
 from tillroll import fixed
 from tillroll.functions.columns import fill_zero, mean_of, ratio
 from tillroll.operators.aggregates import TOTAL
-from tillroll.operators.learning import held
-from tillroll.operators.ordering import quantiles
+from tillroll.operators.ordering import durable, quantiles
 from tillroll.operators.rfm import fill_median
 
 
@@ -47,7 +46,7 @@ def kmeans_segments(
     seed: int = fixed.SEED,
 ) -> Segments:
     """Segments on features of unit deviation; the scaler is part of the model."""
-    clean = held(fill_zero(rfm, features))
+    clean = durable(fill_zero(rfm, features))
     stages = _scaler(features, centred=False).getStages()
     kmeans = KMeans(featuresCol="scaled", predictionCol="Segment", k=k, seed=seed)
     model = Pipeline(stages=[*stages, kmeans]).fit(clean)
@@ -90,13 +89,12 @@ def tune_kmeans(
 ) -> DataFrame:
     """Silhouette of every (k, seed), best first."""
     clean = fill_zero(rfm, features)
-    scaled = held(_scaler(features, centred=False).fit(clean).transform(clean).select("scaled"))
+    scaled = durable(_scaler(features, centred=False).fit(clean).transform(clean).select("scaled"))
     rows = []
     for k in ks:
         for seed in seeds:
             model = KMeans(featuresCol="scaled", predictionCol="cluster", k=k, seed=seed).fit(scaled)
             rows.append((k, seed, float(_silhouette().evaluate(model.transform(scaled)))))
-    scaled.unpersist()
     return rfm.sparkSession.createDataFrame(rows, "k int, seed int, silhouette double").orderBy(
         F.desc("silhouette"), "k", "seed"
     )
@@ -138,7 +136,7 @@ def cluster_sweep(
     per-cluster moments, not from pairs of rows.
     """
     filled = fill_median(rfm, features)
-    prepared = held(_scaler(features, centred=True).fit(filled).transform(filled))
+    prepared = durable(_scaler(features, centred=True).fit(filled).transform(filled))
     whole = prepared.agg(
         Summarizer.metrics("count", "variance").summary(F.col("scaled")).alias("s")
     ).select("s.count", "s.variance").first()

@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 
 from tillroll import fixed
 from tillroll.functions.columns import calendar_features, fill_zero, ratio
-from tillroll.operators.learning import assemble, held, importances, metric_rows, regression
+from tillroll.operators.learning import assemble, importances, metric_rows, regression
+from tillroll.operators.ordering import durable
 from tillroll.operators.series import lag_features, lags, time_folds
 
 FOREST, BOOSTED, LINEAR = "random_forest", "gradient_boosting", "linear_regression"
@@ -62,7 +63,7 @@ def forecast_models(
     """Forest and linear model of country-day revenue, tested on the last days."""
     spark = daily.sparkSession
     featured, features = daily_features(daily, periods)
-    data = held(assemble(featured, features))
+    data = durable(assemble(featured, features))
     ends = data.agg(F.min("Date").alias("a"), F.max("Date").alias("b")).first()
     split = F.date_add(F.lit(ends["a"]), int((ends["b"] - ends["a"]).days * train_frac))
     train, test = data.filter(F.col("Date") <= split), data.filter(F.col("Date") > split)
@@ -179,7 +180,7 @@ def ts_ml_models(
     """
     spark = series.sparkSession
     clean, features = series_features(series, value)
-    data = held(assemble(time_folds(clean, "Date", folds), features).select("Date", value, "fold", "features"))
+    data = durable(assemble(time_folds(clean, "Date", folds), features).select("Date", value, "fold", "features"))
     ends = data.agg(F.max("Date").alias("b"), F.count(F.lit(1)).alias("n")).first()
     cut = F.date_sub(F.lit(ends["b"]), min(recent, ends["n"] // 4))
     rows, models, weights = [], {}, {}
@@ -199,7 +200,6 @@ def ts_ml_models(
         models[name] = estimator.fit(data)
         if name != LINEAR:
             weights[name] = importances(spark, models[name], features)
-    data.unpersist()
     return Forecast(metric_rows(spark, rows), models, features, weights)
 
 

@@ -1,7 +1,8 @@
 """Shared steps of the model operators: splits, scores, vectors.
 
 Rows go to folds by a hash of their key, so a recomputed partition gives the same
-split. Only scores and importances, a few numbers each, come back to the driver.
+split. The table a model learns from is checkpointed: the many passes of a fit then read
+rows and not the plan behind them. Only scores and importances, a few numbers each, come back to the driver.
 """
 
 from __future__ import annotations
@@ -9,7 +10,6 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from typing import NamedTuple
 
-from pyspark import StorageLevel
 from pyspark.ml.evaluation import (
     BinaryClassificationEvaluator, Evaluator, RegressionEvaluator,
 )
@@ -33,11 +33,6 @@ def assemble(df: DataFrame, features: Sequence[str], out: str = "features") -> D
     return VectorAssembler(inputCols=list(features), outputCol=out).transform(df)
 
 
-def held(df: DataFrame) -> DataFrame:
-    """Kept in memory and on disk while models read it again and again."""
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
-
-
 def with_fold(df: DataFrame, key: Sequence[str], folds: int, seed: int, name: str) -> DataFrame:
     return df.withColumn(name, F.pmod(F.xxhash64(*key, F.lit(seed)), F.lit(folds)).cast("int"))
 

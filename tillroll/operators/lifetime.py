@@ -15,9 +15,10 @@ from pyspark.sql import functions as F
 from tillroll import fixed
 from tillroll.functions.columns import ratio
 from tillroll.operators.learning import (
-    Fitted, area_under_roc, assemble, cross_validate, held, importances, metric_rows, regression,
+    Fitted, area_under_roc, assemble, cross_validate, importances, metric_rows, regression,
     with_fold,
 )
+from tillroll.operators.ordering import durable
 from tillroll.operators.rfm import fill_median, with_risk_band
 
 # One row in five is a test row.
@@ -29,7 +30,7 @@ def _prepared(df: DataFrame, features: Sequence[str], label: str, folds: int, se
     slim = df.select("Customer_ID", F.col(label).cast("double").alias("label"), *features)
     vectors = assemble(fill_median(slim, features), features).select("Customer_ID", "label", "features")
     split = with_fold(vectors, ["Customer_ID"], _PARTS, seed, "part")
-    return held(with_fold(split, ["Customer_ID"], folds, seed + 1, "fold"))
+    return durable(with_fold(split, ["Customer_ID"], folds, seed + 1, "fold"))
 
 
 def clv_model(
@@ -154,7 +155,7 @@ def churn_mlp(
         "Customer_ID", "Country", F.col("Is_Churned").cast("double").alias("label"),
         *[F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f) for f in features],
     )
-    data = held(with_fold(slim, ["Customer_ID", "Country"], _PARTS, seed, "part"))
+    data = durable(with_fold(slim, ["Customer_ID", "Country"], _PARTS, seed, "part"))
     net = MultilayerPerceptronClassifier(
         featuresCol="scaled", labelCol="label", layers=[len(features), *hidden, 2], maxIter=iters, seed=seed
     )

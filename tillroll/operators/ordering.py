@@ -30,9 +30,12 @@ def durable(df: DataFrame) -> DataFrame:
 
 
 def _placed(df: DataFrame, order: Sequence[str]) -> DataFrame:
-    """Adds `_part` and `_pos` (from 1): the row's place in the sorted table."""
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    laid = df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    """Adds `_part` and `_pos` (from 1): the row's place in the sorted table.
+
+    The number of partitions follows the data: Spark starts from its shuffle setting and
+    merges neighbouring small ranges at run time.
+    """
+    laid = df.repartitionByRange(*order).sortWithinPartitions(*order)
     # The id holds the partition number above bit 33 and the row's position below it.
     # It is written with the rows, so that a later read cannot number them anew.
     return (

@@ -65,27 +65,26 @@ def cosine_topk(
 ) -> DataFrame:
     """`query_id, vector_id, similarity, place` of the k nearest vectors of each query.
 
-    Each task scores its vectors against all queries of a pass and keeps k rows per
-    query, so only tasks x queries x k rows are shuffled. More queries than one pass
-    holds take further passes over the vectors.
+    Query ids are unique. Each task scores its vectors against all queries of a pass and
+    keeps k rows per query, so only tasks x queries x k rows are shuffled. More queries
+    than one pass holds take further passes over the vectors.
     """
     id_type = vectors.schema[vector_id].dataType.simpleString()
     schema = f"query_id {id_type}, vector_id {id_type}, similarity double"
     slim = vectors.select(vector_id, vector)
-    ordered = queries.select(query_id, vector).orderBy(query_id)
-    out, block = None, []
-
-    def one_pass(block):
-        return slim.mapInPandas(_best_of(block, vector, vector_id, k, skip_self), schema)
-
-    for row in ordered.toLocalIterator():
-        block.append((row[0], row[1]))
-        if len(block) == _QUERIES_PER_PASS:
-            out = one_pass(block) if out is None else out.unionByName(one_pass(block))
-            block = []
-    if block or out is None:
-        last = one_pass(block) if block else vectors.sparkSession.createDataFrame([], schema)
-        out = last if out is None else out.unionByName(last)
+    wanted = queries.select(query_id, vector).filter(F.col(vector).isNotNull())
+    out = None
+    while True:
+        block = wanted.orderBy(query_id).limit(_QUERIES_PER_PASS).collect()
+        found = (
+            slim.mapInPandas(_best_of(block, vector, vector_id, k, skip_self), schema)
+            if block
+            else vectors.sparkSession.createDataFrame([], schema)
+        )
+        out = found if out is None else out.unionByName(found)
+        if len(block) < _QUERIES_PER_PASS:
+            break
+        wanted = wanted.filter(F.col(query_id) > block[-1][0])
     w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vector_id")
     return out.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k)
 

@@ -11,6 +11,7 @@ from tillroll.operators.etl import sales_only
 from tillroll.plans.base_sql import DAILY, TX, with_
 from tillroll.plans.star_tables import StarTables
 from tillroll.sources import star
+from tillroll.streaming import revenue_watch as RW
 
 QUERIES = {}
 V = "Daily_Revenue"
@@ -265,3 +266,29 @@ add(
       SELECT {_D}, CAST(CASE WHEN i < n - size * 3 THEN 0 ELSE 1 + (i - (n - size * 3)) // size END AS INTEGER) AS fold
       FROM f, n"""),
 )
+
+# --- the batch twin of the stream ------------------------------------------
+_HOURS = """, h AS (SELECT date_trunc('hour', ts) AS s, round(sum(value), 4) AS revenue, count(*) AS n FROM events GROUP BY 1)"""
+_STAMP = "strftime({}, '%Y-%m-%d %H:%M:%S')"
+
+
+def _hours(t: StarTables):
+    return RW.window_revenue(t.events).withColumn("revenue", F.round("revenue", 4))
+
+
+add(
+    "window_revenue",
+    _hours,
+    f"""WITH {_HOURS[2:]} SELECT {_STAMP.format("s")} AS window_start, {_STAMP.format("s + INTERVAL 1 HOUR")} AS window_end,
+      revenue, n AS "rows" FROM h""",
+)
+add(
+    "revenue_alerts",
+    lambda t: RW.revenue_alerts(_hours(t)).select(
+        "window_start", "window_end", "revenue", F.round("earlier_avg", 4).alias("earlier_avg"),
+        F.round("drop_pct", 4).alias("drop_pct"),
+    ),
+    f"""WITH {_HOURS[2:]}, a AS (SELECT *, avg(revenue) OVER (ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS e FROM h)
+      SELECT {_STAMP.format("s")} AS window_start, {_STAMP.format("s + INTERVAL 1 HOUR")} AS window_end, revenue,
+      round(e, 4) AS earlier_avg, round((e - revenue) / e * 100, 4) AS drop_pct FROM a WHERE revenue < e * 0.8""",
+)

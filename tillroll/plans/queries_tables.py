@@ -11,7 +11,7 @@ from tillroll.operators import reports as R
 from tillroll.plans.base_sql import (
     CLEAN, COUNTRIES, CUSTOMERS, DAILY, MONTHLY, PRODUCTS, RAW, TIER, TX, with_,
 )
-from tillroll.plans.star_tables import StarTables
+from tillroll.plans.marts import FACT, business_report
 from tillroll.sources import star, tables
 
 QUERIES = {}
@@ -434,3 +434,19 @@ add(
       UNION ALL SELECT 'product_performance', count(*) FROM products
       UNION ALL SELECT 'country_performance', count(*) FROM countries UNION ALL SELECT 'missing', 0"""),
 )
+add(
+    "business_report",
+    lambda t: business_report(
+        {FACT: t.tx, "customer_analysis": t.customers, "product_performance": t.products,
+         "country_performance": t.countries}, star.TIER_EDGES,
+    ).filter(F.col("section") == "business_summary"),
+    with_(TX, """SELECT 'business_summary' AS section, metric, key, value FROM (
+      SELECT 'total_transactions' AS metric, '' AS key, CAST(count(*) AS DOUBLE) AS value FROM tx
+      UNION ALL SELECT 'total_revenue', '', CAST(sum(Revenue) AS DOUBLE) FROM tx
+      UNION ALL SELECT 'unique_customers', '', CAST(count(DISTINCT Customer_ID) AS DOUBLE) FROM tx
+      UNION ALL SELECT 'unique_products', '', CAST(count(DISTINCT StockCode) AS DOUBLE) FROM tx
+      UNION ALL SELECT 'countries', '', CAST(count(DISTINCT Country) AS DOUBLE) FROM tx
+      UNION ALL SELECT 'avg_order_value', '', CAST(sum(Total_Amount) AS DOUBLE) / count(*) FROM tx
+      UNION ALL (SELECT 'top_countries', Country, CAST(count(*) AS DOUBLE) FROM tx GROUP BY 2 ORDER BY 3 DESC, 2 LIMIT 5)
+      UNION ALL SELECT 'revenue_by_category', Product_Category, CAST(sum(Revenue) AS DOUBLE) FROM tx GROUP BY 2)"""),
+)

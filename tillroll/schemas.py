@@ -15,8 +15,6 @@ _TYPES = {
     "price": T.DecimalType(12, 2),
     "money": T.DecimalType(18, 2),
     "total": T.DecimalType(28, 2),
-    "strings": T.ArrayType(T.StringType()),
-    "doubles": T.ArrayType(T.DoubleType()),
     "floats": T.ArrayType(T.FloatType()),
 }
 
@@ -78,14 +76,6 @@ CHUNKS = _schema(
     "embedding floats, created_at timestamp"
 )
 
-EXPERIMENTS = _schema(
-    "experiment_id string, experiment_name string, hypothesis string, primary_metric string, "
-    "segments strings, allocation_ratio doubles, status string, "
-    "created_at timestamp, start_date timestamp, end_date timestamp, "
-    "sample_size_per_segment int, statistical_power double, significance_level double, "
-    "minimum_detectable_effect double"
-)
-
 BY_DATASET = {
     "retail_transactions_processed": TRANSACTIONS,
     "daily_sales": DAILY_SALES,
