@@ -9,8 +9,18 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_log_gamma = np.vectorize(math.lgamma, otypes=[float])
-_erfc = np.vectorize(math.erfc, otypes=[float])
+
+def _each(f, x):
+    x = np.asarray(x, dtype=float)
+    return np.array([f(v) for v in x.ravel()], dtype=float).reshape(x.shape)
+
+
+def _log_gamma(x):
+    return _each(math.lgamma, x)
+
+
+def _erfc(x):
+    return _each(math.erfc, x)
 
 
 def _beta_fraction(x, a, b, steps: int = 500):

@@ -10,44 +10,53 @@ from pyspark.sql import functions as F
 from tillroll import fixed
 from tillroll.functions.columns import cut, mean_of, ratio
 from tillroll.operators.aggregates import TOTAL
-from tillroll.operators.ordering import quantile, quantiles, rank_in_groups
+from tillroll.operators.ordering import durable, quantile, quantiles, rank_in_groups
 
 
-def _as_of(df: DataFrame, as_of) -> Column:
-    """The day recency is measured from: given, or the last day in the data."""
+def _as_of(last_days: DataFrame, last: str, as_of) -> Column:
+    """The day recency is measured from: given, or the latest last purchase."""
     if as_of is not None:
         return F.lit(as_of).cast("date")
-    return df.agg(F.max("Date")).scalar()
+    return last_days.agg(F.max(last)).scalar()
 
 
 def rfm_lines(tx: DataFrame, as_of=None) -> DataFrame:
     """Line-count RFM: frequency and variety count lines, returns lower the spend.
 
-    Guests stay in as one pseudo-customer with a null key.
+    Guests stay in as one pseudo-customer with a null key. The fact is read once: the
+    customer rows are checkpointed, and the analysis day comes from them.
     """
-    grouped = tx.groupBy("Customer_ID").agg(
-        F.datediff(_as_of(tx, as_of), F.max("Date")).alias("Recency"),
-        F.count("Invoice").alias("Frequency"),
-        F.sum("Revenue").cast(TOTAL).alias("Monetary"),
-        mean_of(F.col("Total_Amount")).alias("Avg_Order_Value"),
-        F.count("StockCode").alias("Product_Variety"),
-        F.max("Date").alias("Last_Purchase_Date"),
-        F.min("Date").alias("First_Purchase_Date"),
+    grouped = durable(
+        tx.groupBy("Customer_ID").agg(
+            F.count("Invoice").alias("Frequency"),
+            F.sum("Revenue").cast(TOTAL).alias("Monetary"),
+            mean_of(F.col("Total_Amount")).alias("Avg_Order_Value"),
+            F.count("StockCode").alias("Product_Variety"),
+            F.max("Date").alias("Last_Purchase_Date"),
+            F.min("Date").alias("First_Purchase_Date"),
+        )
     )
-    return grouped.filter(F.col("Monetary") > 0).withColumns(
-        {
-            "Purchase_Frequency": ratio(F.col("Frequency"), F.col("Recency") + 1),
-            "Tenure_Days": F.datediff("Last_Purchase_Date", "First_Purchase_Date") + 1,
-        }
+    day = _as_of(grouped, "Last_Purchase_Date", as_of)
+    return (
+        grouped.filter(F.col("Monetary") > 0)
+        .withColumn("Recency", F.datediff(day, F.col("Last_Purchase_Date")))
+        .withColumns(
+            {
+                "Purchase_Frequency": ratio(F.col("Frequency"), F.col("Recency") + 1),
+                "Tenure_Days": F.datediff("Last_Purchase_Date", "First_Purchase_Date") + 1,
+            }
+        )
     )
 
 
-def rfm_features(sales: DataFrame, order: Sequence[str], as_of=None) -> DataFrame:
-    """Distinct-count RFM over registered sales; the country is the first one seen.
+def rfm_features(sales: DataFrame, as_of=None, time: str = "InvoiceDate") -> DataFrame:
+    """Distinct-count RFM over registered sales.
 
-    One aggregation gives both the scores' inputs and the extra features.
+    The country is that of the earliest line, ties by name. It is found per (customer,
+    country) first, so that every aggregate over the fact has fixed-width state and none
+    needs a sort. The customer rows are checkpointed, because scores and models read
+    them several times.
     """
-    day = _as_of(sales, as_of)
     grouped = sales.groupBy("Customer_ID").agg(
         F.max("Date").alias("Last_Purchase"),
         F.min("Date").alias("First_Purchase"),
@@ -56,9 +65,16 @@ def rfm_features(sales: DataFrame, order: Sequence[str], as_of=None) -> DataFram
         F.sum("Quantity").alias("Total_Items"),
         F.count(F.lit(1)).alias("Transaction_Count"),
         F.countDistinct("StockCode").alias("Product_Variety"),
-        F.min_by("Country", F.struct(*order)).alias("Country"),
     )
-    return grouped.withColumns(
+    country = (
+        sales.groupBy("Customer_ID", "Country")
+        .agg(F.min(time).alias("_t"))
+        .groupBy("Customer_ID")
+        .agg(F.min_by("Country", F.struct("_t", "Country")).alias("Country"))
+    )
+    base = durable(grouped.join(country, "Customer_ID"))
+    day = _as_of(base, "Last_Purchase", as_of)
+    return base.withColumns(
         {
             "Recency": F.datediff(day, F.col("Last_Purchase")),
             "Tenure_Days": F.datediff(day, F.col("First_Purchase")),
@@ -238,11 +254,12 @@ def churn_labels(
 
 def churn_labels_quantile(customers: DataFrame, tx: DataFrame, q: float = 0.7) -> DataFrame:
     """Customers joined with days since their last purchase; churned above the quantile."""
-    last = tx.groupBy("Customer_ID").agg(F.max("Date").alias("_last"))
-    day = _as_of(tx, None)
-    joined = customers.join(last, "Customer_ID", "left").withColumn(
-        "Days_Since_Last", F.datediff(day, F.col("_last"))
-    ).drop("_last")
+    last = durable(tx.groupBy("Customer_ID").agg(F.max("Date").alias("_last")))
+    joined = durable(
+        customers.join(last, "Customer_ID", "left")
+        .withColumn("Days_Since_Last", F.datediff(_as_of(last, "_last", None), F.col("_last")))
+        .drop("_last")
+    )
     limit = quantile(joined, "Days_Since_Last", q)
     return joined.withColumn(
         "Is_Churned",

@@ -18,7 +18,7 @@ def add(name: str, build, sql: str | None = None) -> None:
 
 
 def features(t: StarTables):
-    return R.rfm_features(t.buyers_sales, star.LINE_ORDER)
+    return R.rfm_features(t.buyers_sales)
 
 
 def scored(t: StarTables):
@@ -34,7 +34,7 @@ rfm0 AS (
          count(DISTINCT Invoice) AS Frequency, sum(Revenue) AS Monetary,
          CAST(sum(Quantity) AS BIGINT) AS Total_Items, count(*) AS Transaction_Count,
          count(DISTINCT StockCode) AS Product_Variety,
-         arg_min(Country, (InvoiceDate, Invoice, StockCode, Quantity, Price)) AS Country
+         arg_min(Country, (InvoiceDate, Country)) AS Country
   FROM sales GROUP BY 1),
 rfm AS (
   SELECT *, CAST(date_diff('day', Last_Purchase, (SELECT max("Date") FROM sales)) AS INTEGER) AS Recency,
@@ -241,7 +241,7 @@ add(
 )
 add(
     "alert_concentration",
-    lambda t: AL.alert_concentration(t.customers),
+    lambda t: AL.alert_concentration(t.stored_customers),
     with_(CUSTOMERS, _TOP + f" SELECT {_TOP_COLS}, pct > 50 AS fired, {_ACT[1]} FROM s"),
 )
 add(
@@ -254,7 +254,7 @@ add(
 add(
     "alerts",
     lambda t: AL.alerts(
-        t.tx, t.customers, t.products, star.LINE_ORDER,
+        t.tx, t.stored_customers, t.products, star.LINE_ORDER,
         drop_ratio=5.0, concentration_pct=0.01, dead_stock_pct=30,
     ),
     with_(CUSTOMERS + PRODUCTS[len(TX):], _DROP + _TOP + _DEAD + f"""

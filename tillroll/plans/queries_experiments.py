@@ -88,7 +88,7 @@ seg AS (SELECT *, CAST(Total_Spent AS DOUBLE) AS x, CASE WHEN CAST(Total_Spent A
 
 
 def _quartiles(t: StarTables):
-    return X.quartile_segment(t.customers, "Total_Spent")
+    return X.quartile_segment(t.stored_customers, "Total_Spent")
 
 
 add(

@@ -245,7 +245,7 @@ add(
 )
 add(
     "product_analysis",
-    lambda t: R.product_analysis(t.products),
+    lambda t: R.product_analysis(t.stored_products),
     with_(PRODUCTS, """, q AS (SELECT quantile_cont(CAST(Total_Revenue AS DOUBLE), 0.25) AS q1,
         quantile_cont(CAST(Total_Revenue AS DOUBLE), 0.75) AS q3 FROM products)
       SELECT count(*) AS total_products, CAST(sum(Total_Revenue) AS DOUBLE) / count(*) AS avg_revenue_per_product,
@@ -260,7 +260,7 @@ add(
 _SHARE = """CAST(Total_Revenue AS DOUBLE) / CAST((SELECT sum(Total_Revenue) FROM countries) AS DOUBLE) * 100"""
 add(
     "top_markets",
-    lambda t: R.top_markets(t.countries).select("Country", "Total_Revenue", "Revenue_Share"),
+    lambda t: R.top_markets(t.stored_countries).select("Country", "Total_Revenue", "Revenue_Share"),
     with_(COUNTRIES, f"""SELECT Country, CAST(Total_Revenue AS DOUBLE) AS Total_Revenue, {_SHARE} AS Revenue_Share
       FROM countries ORDER BY countries.Total_Revenue DESC, Country LIMIT 5"""),
 )
@@ -272,7 +272,7 @@ add(
 )
 add(
     "market_analysis",
-    lambda t: R.market_analysis(t.countries),
+    lambda t: R.market_analysis(t.stored_countries),
     with_(COUNTRIES, """SELECT count(*) AS total_markets, CAST(sum(Total_Revenue) AS DOUBLE) AS total_revenue,
       CAST((SELECT sum(x) FROM (SELECT Total_Revenue AS x FROM countries ORDER BY 1 DESC, Country LIMIT 3)) AS DOUBLE)
         / CAST(sum(Total_Revenue) AS DOUBLE) * 100 AS market_concentration_pct FROM countries"""),
@@ -318,7 +318,7 @@ add(
 )
 add(
     "spend_histogram",
-    lambda t: R.spend_histogram(t.customers),
+    lambda t: R.spend_histogram(t.stored_customers),
     with_(CUSTOMERS, """, e AS (SELECT min(CAST(Total_Spent AS DOUBLE)) AS lo,
         (max(CAST(Total_Spent AS DOUBLE)) - min(CAST(Total_Spent AS DOUBLE))) / 50 AS w FROM customers)
       SELECT bin, count(*) AS customers, any_value(lo + bin * w) AS bin_start FROM (
@@ -437,8 +437,8 @@ add(
 add(
     "business_report",
     lambda t: business_report(
-        {FACT: t.tx, "customer_analysis": t.customers, "product_performance": t.products,
-         "country_performance": t.countries}, star.TIER_EDGES,
+        {FACT: t.tx, "customer_analysis": t.stored_customers, "product_performance": t.stored_products,
+         "country_performance": t.stored_countries}, star.TIER_EDGES,
     ).filter(F.col("section") == "business_summary"),
     with_(TX, """SELECT 'business_summary' AS section, metric, key, value FROM (
       SELECT 'total_transactions' AS metric, '' AS key, CAST(count(*) AS DOUBLE) AS value FROM tx

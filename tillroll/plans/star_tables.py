@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tillroll.operators import aggregates
 from tillroll.operators.etl import registered, sales_only
+from tillroll.operators.ordering import durable
 from tillroll.sources import star
 
 
@@ -51,6 +52,19 @@ class StarTables:
     def monthly(self) -> DataFrame:
         return aggregates.monthly_trends(self.tx)
 
+    # For queries that read an aggregate more than once: built once, then checkpointed.
+    @cached_property
+    def stored_products(self) -> DataFrame:
+        return durable(self.products)
+
+    @cached_property
+    def stored_customers(self) -> DataFrame:
+        return durable(self.customers)
+
+    @cached_property
+    def stored_countries(self) -> DataFrame:
+        return durable(self.countries)
+
     @cached_property
     def events(self) -> DataFrame:
         return self.table("events")
