@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillroll import fixed
-from tillroll.functions.columns import ratio
+from tillroll.functions.columns import mean_of, ratio
 from tillroll.functions.pvalues import t_pvalue, upper_normal_pvalue
 from tillroll.operators.ordering import quantiles, rank_in_groups, running_totals
 
@@ -266,9 +266,9 @@ def segment_summary(df: DataFrame, segment: str = "Spending_Quartile") -> DataFr
     spent = F.col("Total_Spent").cast("double")
     stats = df.groupBy(segment).agg(
         F.count(F.lit(1)).alias("customers"),
-        F.avg(spent).alias("mean_spent"),
+        mean_of(F.col("Total_Spent")).alias("mean_spent"),
         F.stddev_samp(spent).alias("std_spent"),
-        F.avg("Total_Orders").alias("mean_orders"),
+        mean_of(F.col("Total_Orders")).alias("mean_orders"),
         F.avg("Avg_Order_Value").alias("mean_order_value"),
     )
     medians = quantiles(df, "Total_Spent", (0.5,), [segment]).select(

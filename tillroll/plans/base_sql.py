@@ -32,9 +32,9 @@ TX = (
     CLEAN
     + """,
 tx AS (
-  SELECT *, year(InvoiceDate) AS "Year", month(InvoiceDate) AS "Month", day(InvoiceDate) AS "Day",
-         isodow(InvoiceDate) - 1 AS DayOfWeek, CAST(InvoiceDate AS DATE) AS "Date",
-         hour(InvoiceDate) AS "Hour",
+  SELECT *, CAST(year(InvoiceDate) AS INTEGER) AS "Year", CAST(month(InvoiceDate) AS INTEGER) AS "Month",
+         CAST(day(InvoiceDate) AS INTEGER) AS "Day", CAST(isodow(InvoiceDate) - 1 AS INTEGER) AS DayOfWeek,
+         CAST(InvoiceDate AS DATE) AS "Date", CAST(hour(InvoiceDate) AS INTEGER) AS "Hour",
          CAST(CASE WHEN Is_Return THEN -Total_Amount ELSE Total_Amount END AS DECIMAL(18,2)) AS Revenue,
          CASE WHEN contains(Description, 'OLD') THEN 'CLEARANCE'
               WHEN contains(Description, 'BLUE') THEN 'BLUE RANGE'

@@ -98,9 +98,10 @@ add(
 )
 add(
     "segment_summary",
-    lambda t: _rounded(X.segment_summary(_quartiles(t)), 3),
-    with_(QUARTILES, """SELECT Spending_Quartile, count(*) AS customers, round(avg(x), 3) AS mean_spent,
-      round(stddev_samp(x), 3) AS std_spent, round(avg(Total_Orders), 3) AS mean_orders,
+    lambda t: _rounded(X.segment_summary(_quartiles(t)), 3, ("mean_spent", "mean_orders")),
+    with_(QUARTILES, """SELECT Spending_Quartile, count(*) AS customers,
+      CAST(sum(Total_Spent) AS DOUBLE) / count(*) AS mean_spent, round(stddev_samp(x), 3) AS std_spent,
+      CAST(sum(Total_Orders) AS DOUBLE) / count(*) AS mean_orders,
       round(avg(Avg_Order_Value), 3) AS mean_order_value, round(quantile_cont(x, 0.5), 3) AS median_spent
       FROM seg GROUP BY 1"""),
 )

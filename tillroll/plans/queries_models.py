@@ -17,6 +17,7 @@ from tillroll.operators import rfm as R
 from tillroll.operators import series as S
 from tillroll.operators.aggregates import product_dim
 from tillroll.operators.learning import best_model
+from tillroll.operators.ordering import durable
 from tillroll.plans.base_sql import with_
 from tillroll.plans.queries_customers import SCORED, features, scored
 from tillroll.plans.queries_series import days
@@ -128,17 +129,22 @@ add(
 )
 
 
-def _ts(t: StarTables):
-    return FO.ts_ml_models(days(t).select("Date", "Daily_Revenue"), trees=10, iters=5)
+def _ts(history):
+    return FO.ts_ml_models(history, trees=10, iters=5)
 
 
-add("ts_ml_models", lambda t: _ts(t).metrics)
-add("best_model", lambda t: best_model(_ts(t).metrics))
+add("ts_ml_models", lambda t: _ts(_history(t)).metrics)
+add("best_model", lambda t: best_model(_ts(_history(t)).metrics))
+
+
+def _history(t: StarTables):
+    """One row per day, read many times by fits and future rows."""
+    return durable(days(t).select("Date", "Daily_Revenue"))
 
 
 def _future(t: StarTables):
-    history = days(t).select("Date", "Daily_Revenue")
-    return FO.forecast_future(history, _ts(t))
+    history = _history(t)
+    return FO.forecast_future(history, _ts(history))
 
 
 add("forecast_future", _future)
@@ -146,8 +152,8 @@ add("forecast_totals", lambda t: FO.forecast_totals(_future(t)))
 
 
 def _insights(t: StarTables):
-    history = days(t).select("Date", "Daily_Revenue")
-    fitted = _ts(t)
+    history = _history(t)
+    fitted = _ts(history)
     return FO.forecast_insights(
         FO.forecast_future(history, fitted), S.series_performance(history), best_model(fitted.metrics)
     )

@@ -202,7 +202,7 @@ add(
     with_(DAILY, ", y AS (SELECT Country, \"Date\", CAST(Total_Revenue AS DOUBLE) AS x FROM daily)"
           + _DF.format(k="Country,", src="y", p="PARTITION BY Country", by="GROUP BY 1")),
 )
-_CAL = """, c AS (SELECT v, isodow("Date") - 1 AS dow, month("Date") AS mon, isodow("Date") >= 6 AS we FROM f),
+_CAL = """, c AS (SELECT v, CAST(isodow("Date") - 1 AS INTEGER) AS dow, CAST(month("Date") AS INTEGER) AS mon, isodow("Date") >= 6 AS we FROM f),
   w AS (SELECT dow AS k, CAST(sum(v) AS DOUBLE) / count(v) AS m FROM c GROUP BY 1),
   mo AS (SELECT mon AS k, CAST(sum(v) AS DOUBLE) / count(v) AS m FROM c GROUP BY 1)"""
 add(
@@ -268,27 +268,27 @@ add(
 )
 
 # --- the batch twin of the stream ------------------------------------------
-_HOURS = """, h AS (SELECT date_trunc('hour', ts) AS s, round(sum(value), 4) AS revenue, count(*) AS n FROM events GROUP BY 1)"""
+_HOURS = """, h AS (SELECT date_trunc('hour', ts) AS s, sum(CAST(value AS DECIMAL(18,2))) AS revenue, count(*) AS n
+    FROM events GROUP BY 1)"""
 _STAMP = "strftime({}, '%Y-%m-%d %H:%M:%S')"
 
 
 def _hours(t: StarTables):
-    return RW.window_revenue(t.events).withColumn("revenue", F.round("revenue", 4))
+    return RW.window_revenue(t.events.withColumn("value", F.col("value").cast("decimal(18,2)")))
 
 
 add(
     "window_revenue",
     _hours,
     f"""WITH {_HOURS[2:]} SELECT {_STAMP.format("s")} AS window_start, {_STAMP.format("s + INTERVAL 1 HOUR")} AS window_end,
-      revenue, n AS "rows" FROM h""",
+      CAST(revenue AS DOUBLE) AS revenue, n AS "rows" FROM h""",
 )
 add(
     "revenue_alerts",
-    lambda t: RW.revenue_alerts(_hours(t)).select(
-        "window_start", "window_end", "revenue", F.round("earlier_avg", 4).alias("earlier_avg"),
-        F.round("drop_pct", 4).alias("drop_pct"),
-    ),
-    f"""WITH {_HOURS[2:]}, a AS (SELECT *, avg(revenue) OVER (ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS e FROM h)
+    lambda t: RW.revenue_alerts(_hours(t)),
+    f"""WITH {_HOURS[2:]}, a AS (SELECT s, CAST(revenue AS DOUBLE) AS revenue,
+        CAST(sum(revenue) OVER w AS DOUBLE) / count(revenue) OVER w AS e FROM h
+        WINDOW w AS (ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
       SELECT {_STAMP.format("s")} AS window_start, {_STAMP.format("s + INTERVAL 1 HOUR")} AS window_end, revenue,
-      round(e, 4) AS earlier_avg, round((e - revenue) / e * 100, 4) AS drop_pct FROM a WHERE revenue < e * 0.8""",
+      e AS earlier_avg, (e - revenue) / e * 100 AS drop_pct FROM a WHERE revenue < e * 0.8::DOUBLE""",
 )

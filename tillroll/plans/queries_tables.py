@@ -116,16 +116,17 @@ add(
 add(
     "calendar_features",
     lambda t: C.calendar_features(t.tx.select("Date").distinct()),
-    with_(TX, """SELECT strftime(d, '%Y-%m-%d') AS "Date", year(d) AS "Year", month(d) AS "Month", day(d) AS "Day",
-      isodow(d) - 1 AS DayOfWeek, dayofyear(d) AS DayOfYear, weekofyear(d) AS WeekOfYear,
-      quarter(d) AS "Quarter", CAST(isodow(d) >= 6 AS INTEGER) AS IsWeekend,
+    with_(TX, """SELECT strftime(d, '%Y-%m-%d') AS "Date", CAST(year(d) AS INTEGER) AS "Year", CAST(month(d) AS INTEGER) AS "Month",
+      CAST(day(d) AS INTEGER) AS "Day", CAST(isodow(d) - 1 AS INTEGER) AS DayOfWeek,
+      CAST(dayofyear(d) AS INTEGER) AS DayOfYear, CAST(weekofyear(d) AS INTEGER) AS WeekOfYear,
+      CAST(quarter(d) AS INTEGER) AS "Quarter", CAST(isodow(d) >= 6 AS INTEGER) AS IsWeekend,
       CAST(day(d) = 1 AS INTEGER) AS IsMonthStart, CAST(d = last_day(d) AS INTEGER) AS IsMonthEnd
       FROM (SELECT DISTINCT "Date" AS d FROM tx)"""),
 )
 add(
     "hour_of_events",
     lambda t: t.events.groupBy(F.hour("ts").alias("Hour")).agg(F.count(F.lit(1)).alias("n")),
-    """SELECT hour(ts) AS "Hour", count(*) AS n FROM events GROUP BY 1""",
+    """SELECT CAST(hour(ts) AS INTEGER) AS "Hour", count(*) AS n FROM events GROUP BY 1""",
 )
 
 # --- the aggregate tables --------------------------------------------------

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tillroll import fixed
+from tillroll.functions.columns import ratio
 
 _WINDOWS = "window_start timestamp, window_end timestamp, revenue double, rows bigint, epoch bigint"
 
@@ -35,7 +36,9 @@ def revenue_alerts(windows: DataFrame, drop_ratio: float = fixed.ALERT_DROP_RATI
     One row per time window comes in, so ordering them all is small work.
     """
     earlier = Window.orderBy("window_start").rowsBetween(Window.unboundedPreceding, -1)
-    judged = windows.withColumn("earlier_avg", F.avg("revenue").over(earlier))
+    judged = windows.withColumn(
+        "earlier_avg", ratio(F.sum("revenue").over(earlier), F.count("revenue").over(earlier))
+    )
     return judged.filter(F.col("revenue") < F.col("earlier_avg") * drop_ratio).select(
         "window_start",
         "window_end",
