@@ -113,6 +113,12 @@ def test_cut_is_right_closed_and_open_below(spark):
     assert got == [None, "B", "S", "G", "P", None, None]
 
 
+def test_strip_equals_python(spark):
+    texts = ["", " ", "a", " a b ", "\u2003x\xa0", "é ", " é", "é", "\x85a\x1c", "a\u200b", "\t\n", "日本 ", "~", "a\u3000"]
+    df = spark.createDataFrame([(t,) for t in texts], "s string")
+    assert [r[0] for r in df.select(C.strip(F.col("s"))).collect()] == [t.strip() for t in texts]
+
+
 def test_ellipsize_and_rounding(spark):
     df = spark.createDataFrame([("a" * 50, 0.125, Decimal("2.345")), ("b" * 51, 0.375, Decimal("2.355"))],
                                "s string, x double, d decimal(10,3)")

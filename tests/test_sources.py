@@ -119,3 +119,13 @@ def test_model_round_trip(spark, tmp_path):
     sinks.save_model(fitted.model, str(tmp_path / "m"))
     again = PipelineModel.load(str(tmp_path / "m")).transform(df)
     assert again.select("Customer_ID", "Segment").exceptAll(fitted.segmented.select("Customer_ID", "Segment")).count() == 0
+
+
+def test_batch_job_from_csv(spark, tmp_path):
+    from tillroll.plans import job
+
+    sinks.export_csv(raw(spark), str(tmp_path / "raw"))
+    args = job.parser().parse_args(["--raw", str(tmp_path / "raw"), "--out", str(tmp_path / "out"), "--partition-by", "Year"])
+    job.run(spark, args)
+    assert spark.read.parquet(str(tmp_path / "out" / marts.FACT)).count() == 120
+    assert spark.read.parquet(str(tmp_path / "out" / "processing_summary")).first()["total_records"] == 120

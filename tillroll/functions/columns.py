@@ -11,9 +11,14 @@ from pyspark.sql import types as T
 from tillroll import fixed
 
 
+def strip(c: Column) -> Column:
+    """White space of every kind taken off both ends."""
+    return F.btrim(c, F.lit(fixed.WHITE_SPACE))
+
+
 def clean_text(c: Column) -> Column:
-    """Null becomes UNKNOWN; white space of every kind is stripped; upper case."""
-    return F.upper(F.btrim(F.coalesce(c, F.lit(fixed.UNKNOWN)), F.lit(fixed.WHITE_SPACE)))
+    """Null becomes UNKNOWN; stripped; upper case."""
+    return F.upper(F.coalesce(strip(c), F.lit(fixed.UNKNOWN)))
 
 
 def cut(c: Column, edges: Sequence, labels: Sequence[str], include_lowest: bool = False) -> Column:

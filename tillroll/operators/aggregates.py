@@ -127,3 +127,8 @@ def busiest(tx: DataFrame, key: str, n: int = 5) -> DataFrame:
 def filter_values(df: DataFrame, col: str) -> DataFrame:
     """Sorted distinct values, for a filter list."""
     return df.select(col).distinct().orderBy(col)
+
+
+def date_range(df: DataFrame, col: str = "Date") -> DataFrame:
+    """First and last day, for a date filter."""
+    return df.agg(F.min(col).alias("first_date"), F.max(col).alias("last_date"))

@@ -53,8 +53,10 @@ def customer_product_factors(
         .join(customers, "Customer_ID")
         .join(products, "StockCode")
     )
+    # As many blocks as the rated pairs have partitions, so that the fit grows with the data.
+    blocks = max(10, rated.rdd.getNumPartitions())
     als = ALS(
-        rank=rank, maxIter=iters, regParam=reg, userCol="user", itemCol="item", ratingCol="rating",
+        numUserBlocks=blocks, numItemBlocks=blocks, rank=rank, maxIter=iters, regParam=reg, userCol="user", itemCol="item", ratingCol="rating",
         coldStartStrategy="drop", seed=seed,
     )
     model = als.fit(rated.filter("part > 0"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tillroll.operators import chunks as CH
 from tillroll.operators import experiments as X
-from tillroll.operators.ordering import row_chunks, top_in_group
+from tillroll.operators.ordering import durable, row_chunks, top_in_group
 from tillroll.operators.similarity import cosine_topk
 from tillroll.plans.base_sql import CUSTOMERS, PRODUCTS, TX, with_
 from tillroll.plans.star_tables import StarTables
@@ -244,6 +244,19 @@ add(
         .select("chunk_type", "chunk_id", "content", "metadata"), 256
     ).select("chunk_id", F.size("embedding").alias("dims")),
 )
+
+
+def _search(t: StarTables):
+    chunks = durable(CH.build_chunks({"customer_analysis": t.customers, "product_performance": t.products}, ()))
+    model = CH.embedder(256).fit(chunks)
+    embedded = CH.apply_embedder(model, chunks)
+    return CH.search_chunks(model, embedded, "top product revenue range", 5, ["product_performance"])
+
+
+add(
+    "search_chunks",
+    lambda t: _search(t).select("chunk_type", "chunk_id", "place", "relevance_pct", "metadata"),
+)
 add(
     "cosine_topk",
     lambda t: cosine_topk(

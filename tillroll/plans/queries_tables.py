@@ -194,6 +194,29 @@ add(
     lambda t: A.filter_values(t.tx, "Country"),
     with_(TX, "SELECT DISTINCT Country FROM tx"),
 )
+add(
+    "filter_dates",
+    lambda t: A.date_range(t.daily),
+    with_(DAILY, """SELECT strftime(min("Date"), '%Y-%m-%d') AS first_date,
+      strftime(max("Date"), '%Y-%m-%d') AS last_date FROM daily"""),
+)
+add(
+    "top_products",
+    lambda t: A.top_n(t.products, "Total_Revenue", 10, ["StockCode", "Description"]).select(
+        "StockCode", "Description", "Total_Revenue"
+    ),
+    with_(PRODUCTS, """SELECT StockCode, Description, CAST(Total_Revenue AS DOUBLE) AS Total_Revenue FROM products
+      ORDER BY products.Total_Revenue DESC, StockCode, Description LIMIT 10"""),
+)
+add(
+    "top_customers",
+    lambda t: R.customer_table(
+        A.top_n(t.customers, "Total_Spent", 20, ["Customer_ID", "Country"]), star.TIER_EDGES
+    ),
+    with_(CUSTOMERS, f"""SELECT Customer_ID, Country, CAST(Total_Spent AS DOUBLE) AS Total_Spent, Total_Orders,
+      Total_Items, Avg_Order_Value, {TIER} AS Segment FROM customers
+      ORDER BY customers.Total_Spent DESC, Customer_ID, Country LIMIT 20"""),
+)
 
 # --- reports ---------------------------------------------------------------
 add(
