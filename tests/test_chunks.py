@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from tillroll.operators import chunks as CH
 from tillroll.operators import similarity
+from tillroll.sources.sinks import save_chunks
+from tillroll.sources.tables import scan_chunks
 
 DAY = dt.date(2009, 12, 1)
 
@@ -82,6 +84,18 @@ def test_topk_of_no_query_is_empty(spark):
     assert similarity.cosine_topk(df.filter("vec_id < 0"), df).count() == 0
 
 
+def test_stored_chunks_can_be_replaced_in_place(spark, tmp_path):
+    path = str(tmp_path / "chunks")
+    cols = "chunk_type string, chunk_id string, content string"
+    save_chunks(spark.createDataFrame([("a", "1", "x"), ("b", "1", "y")], cols), path)
+    new = spark.createDataFrame([("a", "1", "z"), ("a", "2", "w")], cols)
+    save_chunks(CH.upsert_chunks(spark.read.parquet(path).select("chunk_type", "chunk_id", "content"), new), path)
+    got = {(r["chunk_type"], r["chunk_id"]): r["content"] for r in spark.read.parquet(path).collect()}
+    assert got == {("a", "1"): "z", ("a", "2"): "w", ("b", "1"): "y"}
+    plan = scan_chunks(spark.read.parquet(path), ["a"])._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(chunk_type" in plan
+
+
 def test_build_embed_search_and_upsert(spark):
     customers = spark.createDataFrame(
         [(i, "NORWAY" if i < 3 else "UK", Decimal(100 - i)) for i in range(9)],

@@ -113,10 +113,16 @@ def top_n(df: DataFrame, by: str, n: int, ties: Sequence[str], ascending: bool =
     return df.orderBy(first, *ties).limit(n)
 
 
-def product_dim(tx: DataFrame, order: Sequence[str]) -> DataFrame:
-    """The first description of each code in the given order."""
-    return tx.groupBy("StockCode").agg(
-        F.min_by("Description", F.struct(*order)).alias("Description")
+def product_dim(tx: DataFrame, time: str = "InvoiceDate") -> DataFrame:
+    """The description of each code's earliest line, ties by text.
+
+    Lines are reduced to one row per (code, description) first, with fixed-width state.
+    """
+    return (
+        tx.groupBy("StockCode", "Description")
+        .agg(F.min(time).alias("_t"))
+        .groupBy("StockCode")
+        .agg(F.min_by("Description", F.struct("_t", "Description")).alias("Description"))
     )
 
 

@@ -169,7 +169,7 @@ add(
 )
 add(
     "churn_risk_summary",
-    lambda t: R.churn_risk_summary(_risked(t).filter(F.col("Churn_Risk") != "Medium")).select(
+    lambda t: R.churn_risk_summary(_risked(t)).select(
         "Churn_Risk", "Customer_Count", "Total_Revenue",
         F.round("Predicted_CLV", 4).alias("Predicted_CLV"),
     ),
@@ -177,7 +177,7 @@ add(
       coalesce(CAST(sum(Monetary) AS DOUBLE), 0.0) AS Total_Revenue,
       round(CAST(sum(Monetary) AS DOUBLE) / count(Customer_ID), 4) AS Predicted_CLV
       FROM (VALUES ('Low'), ('Medium'), ('High')) l(Churn_Risk)
-      LEFT JOIN (SELECT * FROM risked WHERE Churn_Risk <> 'Medium') r USING (Churn_Risk) GROUP BY 1"""),
+      LEFT JOIN risked r USING (Churn_Risk) GROUP BY 1"""),
 )
 add(
     "retention_actions",

@@ -257,28 +257,37 @@ add(
     "search_chunks",
     lambda t: _search(t).select("chunk_type", "chunk_id", "place", "relevance_pct", "metadata"),
 )
-add(
-    "cosine_topk",
-    lambda t: cosine_topk(
-        t.table("embeddings").filter(F.col("vec_id") < 5), t.table("embeddings"), 5
-    ).withColumn("similarity", F.round("similarity", 6)),
-    """WITH q AS (SELECT a.vec_id AS query_id, b.vec_id AS vector_id,
-        list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS s FROM embeddings a, embeddings b
-        WHERE a.vec_id < 5),
+
+
+def _centroids(t: StarTables):
+    """One query vector per label: the mean of the label's vectors."""
+    cells = t.table("embeddings").select("label", F.posexplode("embedding").alias("pos", "x"))
+    means = cells.groupBy("label", "pos").agg(F.avg("x").alias("x"))
+    # A label's list holds one value per dimension.
+    ordered = F.array_sort(F.collect_list(F.struct("pos", "x")))
+    return means.groupBy("label").agg(F.transform(ordered, lambda e: e["x"]).alias("embedding"))
+
+
+def _topk(t: StarTables, vectors, k: int):
+    queries = _centroids(t).select(F.col("label").cast("long").alias("vec_id"), "embedding")
+    return cosine_topk(queries, vectors, k).withColumn("similarity", F.round("similarity", 6))
+
+
+def _topk_sql(k: int, where: str = "true") -> str:
+    return f"""WITH cells AS (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS pos
+        FROM embeddings),
+      c AS (SELECT label, list(x ORDER BY pos) AS v FROM (SELECT label, pos, avg(x) AS x FROM cells GROUP BY 1, 2) GROUP BY 1),
+      q AS (SELECT CAST(c.label AS BIGINT) AS query_id, e.vec_id AS vector_id,
+        list_cosine_similarity(c.v, e.embedding::DOUBLE[]) AS s FROM c, embeddings e WHERE {where}),
       r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vector_id) AS place FROM q)
-      SELECT query_id, vector_id, round(s, 6) AS similarity, CAST(place AS INTEGER) AS place FROM r WHERE place <= 5""",
-)
+      SELECT query_id, vector_id, round(s, 6) AS similarity, CAST(place AS INTEGER) AS place FROM r WHERE place <= {k}"""
+
+
+add("cosine_topk", lambda t: _topk(t, t.table("embeddings"), 5), _topk_sql(5))
 add(
     "cosine_topk_typed",
-    lambda t: cosine_topk(
-        t.table("embeddings").filter(F.col("vec_id") < 5),
-        scan_chunks(t.table("embeddings"), [1, 2, 3], "label"), 3, skip_self=True,
-    ).withColumn("similarity", F.round("similarity", 6)),
-    """WITH q AS (SELECT a.vec_id AS query_id, b.vec_id AS vector_id,
-        list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS s FROM embeddings a, embeddings b
-        WHERE a.vec_id < 5 AND b.label IN (1, 2, 3) AND a.vec_id <> b.vec_id),
-      r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vector_id) AS place FROM q)
-      SELECT query_id, vector_id, round(s, 6) AS similarity, CAST(place AS INTEGER) AS place FROM r WHERE place <= 3""",
+    lambda t: _topk(t, scan_chunks(t.table("embeddings"), [1, 2, 3], "label"), 3),
+    _topk_sql(3, "e.label IN (1, 2, 3)"),
 )
 add(
     "chunks_by_type",

@@ -22,7 +22,6 @@ from tillroll.plans.base_sql import with_
 from tillroll.plans.queries_customers import SCORED, features, scored
 from tillroll.plans.queries_series import days
 from tillroll.plans.star_tables import StarTables
-from tillroll.sources import star
 
 QUERIES = {}
 
@@ -170,5 +169,5 @@ add("customer_product_factors", lambda t: _factors(t).metrics)
 add("similar_customers", lambda t: FA.similar_customers(_factors(t).customers, t.tx))
 add(
     "similar_products",
-    lambda t: FA.similar_products(_factors(t).products, t.tx, product_dim(t.tx, star.LINE_ORDER)),
+    lambda t: FA.similar_products(_factors(t).products, t.tx, product_dim(t.tx)),
 )

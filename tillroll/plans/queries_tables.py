@@ -174,9 +174,8 @@ add(
 )
 add(
     "product_dim",
-    lambda t: A.product_dim(t.tx, star.LINE_ORDER),
-    with_(TX, """SELECT StockCode, arg_min(Description, (InvoiceDate, Invoice, StockCode, Quantity, Price))
-      AS Description FROM tx GROUP BY 1"""),
+    lambda t: A.product_dim(t.tx),
+    with_(TX, """SELECT StockCode, arg_min(Description, (InvoiceDate, Description)) AS Description FROM tx GROUP BY 1"""),
 )
 add(
     "busiest_customers",
@@ -463,14 +462,42 @@ add(
     lambda t: business_report(
         {FACT: t.tx, "customer_analysis": t.stored_customers, "product_performance": t.stored_products,
          "country_performance": t.stored_countries}, star.TIER_EDGES,
-    ).filter(F.col("section") == "business_summary"),
-    with_(TX, """SELECT 'business_summary' AS section, metric, key, value FROM (
-      SELECT 'total_transactions' AS metric, '' AS key, CAST(count(*) AS DOUBLE) AS value FROM tx
-      UNION ALL SELECT 'total_revenue', '', CAST(sum(Revenue) AS DOUBLE) FROM tx
-      UNION ALL SELECT 'unique_customers', '', CAST(count(DISTINCT Customer_ID) AS DOUBLE) FROM tx
-      UNION ALL SELECT 'unique_products', '', CAST(count(DISTINCT StockCode) AS DOUBLE) FROM tx
-      UNION ALL SELECT 'countries', '', CAST(count(DISTINCT Country) AS DOUBLE) FROM tx
-      UNION ALL SELECT 'avg_order_value', '', CAST(sum(Total_Amount) AS DOUBLE) / count(*) FROM tx
-      UNION ALL (SELECT 'top_countries', Country, CAST(count(*) AS DOUBLE) FROM tx GROUP BY 2 ORDER BY 3 DESC, 2 LIMIT 5)
-      UNION ALL SELECT 'revenue_by_category', Product_Category, CAST(sum(Revenue) AS DOUBLE) FROM tx GROUP BY 2)"""),
+    ),
+    with_(CUSTOMERS + PRODUCTS[len(TX):] + COUNTRIES[len(TX):], f""",
+      q AS (SELECT quantile_cont(CAST(Total_Revenue AS DOUBLE), 0.25) AS q1,
+        quantile_cont(CAST(Total_Revenue AS DOUBLE), 0.75) AS q3 FROM products),
+      t AS (SELECT Segment, CAST(count(*) AS DOUBLE) AS customers, CAST(sum(Total_Spent) AS DOUBLE) / count(*) AS avg_spent,
+        CAST(sum(Total_Orders) AS DOUBLE) / count(*) AS avg_orders
+        FROM (SELECT *, {TIER} AS Segment FROM customers) WHERE Segment IS NOT NULL GROUP BY 1)
+      SELECT section, metric, key, value FROM (
+      SELECT 'business_summary' AS section, 'total_transactions' AS metric, '' AS key, CAST(count(*) AS DOUBLE) AS value FROM tx
+      UNION ALL SELECT 'business_summary', 'total_revenue', '', CAST(sum(Revenue) AS DOUBLE) FROM tx
+      UNION ALL SELECT 'business_summary', 'unique_customers', '', CAST(count(DISTINCT Customer_ID) AS DOUBLE) FROM tx
+      UNION ALL SELECT 'business_summary', 'unique_products', '', CAST(count(DISTINCT StockCode) AS DOUBLE) FROM tx
+      UNION ALL SELECT 'business_summary', 'countries', '', CAST(count(DISTINCT Country) AS DOUBLE) FROM tx
+      UNION ALL SELECT 'business_summary', 'avg_order_value', '', CAST(sum(Total_Amount) AS DOUBLE) / count(*) FROM tx
+      UNION ALL (SELECT 'business_summary', 'top_countries', Country, CAST(count(*) AS DOUBLE) FROM tx
+        GROUP BY 3 ORDER BY 4 DESC, 3 LIMIT 5)
+      UNION ALL SELECT 'business_summary', 'revenue_by_category', Product_Category, CAST(sum(Revenue) AS DOUBLE) FROM tx GROUP BY 3
+      UNION ALL SELECT 'customers', 'total_customers', '', CAST(count(*) AS DOUBLE) FROM customers
+      UNION ALL SELECT 'customers', 'high_value_customers', '', CAST(count(*) FILTER (Total_Spent > 1000) AS DOUBLE) FROM customers
+      UNION ALL SELECT 'customers', 'repeat_customers', '', CAST(count(*) FILTER (Total_Orders > 1) AS DOUBLE) FROM customers
+      UNION ALL SELECT 'customers', 'customers', Segment, customers FROM t
+      UNION ALL SELECT 'customers', 'avg_spent', Segment, avg_spent FROM t
+      UNION ALL SELECT 'customers', 'avg_orders', Segment, avg_orders FROM t
+      UNION ALL SELECT 'products', 'total_products', '', CAST(count(*) AS DOUBLE) FROM products
+      UNION ALL SELECT 'products', 'avg_revenue_per_product', '', CAST(sum(Total_Revenue) AS DOUBLE) / count(*) FROM products
+      UNION ALL SELECT 'products', 'low_performing_products', '',
+        CAST(count(*) FILTER (CAST(Total_Revenue AS DOUBLE) < (SELECT q1 FROM q)) AS DOUBLE) FROM products
+      UNION ALL SELECT 'products', 'high_performing_products', '',
+        CAST(count(*) FILTER (CAST(Total_Revenue AS DOUBLE) > (SELECT q3 FROM q)) AS DOUBLE) FROM products
+      UNION ALL SELECT 'products', 'category_performance', Product_Category, CAST(sum(Total_Revenue) AS DOUBLE) FROM products GROUP BY 3
+      UNION ALL SELECT 'markets', 'total_markets', '', CAST(count(*) AS DOUBLE) FROM countries
+      UNION ALL SELECT 'markets', 'total_revenue', '', CAST(sum(Total_Revenue) AS DOUBLE) FROM countries
+      UNION ALL SELECT 'markets', 'market_concentration_pct', '', CAST((SELECT sum(x) FROM (SELECT Total_Revenue AS x FROM countries
+        ORDER BY 1 DESC, Country LIMIT 3)) AS DOUBLE) / CAST(sum(Total_Revenue) AS DOUBLE) * 100 FROM countries
+      UNION ALL (SELECT 'markets', 'top_markets', Country, CAST(Total_Revenue AS DOUBLE) FROM countries
+        ORDER BY countries.Total_Revenue DESC, Country LIMIT 5)
+      UNION ALL (SELECT 'markets', 'emerging_markets', Country, CAST(Total_Revenue AS DOUBLE) FROM countries
+        ORDER BY countries.Total_Revenue, Country LIMIT 5))"""),
 )

@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 
 from tillroll.functions.columns import rounded
+from tillroll.operators.ordering import durable
 
 
 def save_tables(
@@ -49,3 +50,11 @@ def save_report(report: DataFrame, path: str) -> None:
 
 def save_model(model, path: str) -> None:
     model.write().overwrite().save(path)
+
+
+def save_chunks(chunks: DataFrame, path: str) -> None:
+    """Store chunks by type, so that a search of some types reads only those.
+
+    The rows are checkpointed first, because a merge reads the folder it replaces.
+    """
+    durable(chunks).write.mode("overwrite").partitionBy("chunk_type").parquet(path)
