@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tillroll import fixed
 from tillroll.functions.columns import calendar_features
 from tillroll.operators import series as S
 from tillroll.operators.etl import sales_only
+from tillroll.operators.ordering import shared_folder
 from tillroll.plans.base_sql import DAILY, TX, with_
 from tillroll.plans.star_tables import StarTables
 from tillroll.sources import star
@@ -292,3 +295,24 @@ add(
       SELECT {_STAMP.format("s")} AS window_start, {_STAMP.format("s + INTERVAL 1 HOUR")} AS window_end, revenue,
       e AS earlier_avg, (e - revenue) / e * 100 AS drop_pct FROM a WHERE revenue < e * 0.8::DOUBLE""",
 )
+
+
+def _watched(t: StarTables):
+    """The events folder read as a stream to its end; alerts of the windows it closed."""
+    source = t.spark.readStream.schema(t.events.schema).option("pathGlobFilter", "events.parquet")
+    stream = source.parquet(t.sf_dir).withColumn("value", F.col("value").cast("decimal(18,2)"))
+    folder = f"{shared_folder(t.spark)}/revenue-watch-{uuid.uuid4()}"
+    RW.stream_revenue_alerts(stream, folder).awaitTermination()
+    return t.spark.read.parquet(f"{folder}/alerts").drop("epoch")
+
+
+# A window is closed once the watermark, ten minutes behind the last event, has passed it.
+add(
+    "stream_revenue_alerts",
+    _watched,
+    f"""WITH {_HOURS[2:]}, c AS (SELECT * FROM h WHERE s + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE),
+      a AS (SELECT s, CAST(revenue AS DOUBLE) AS revenue, CAST(sum(revenue) OVER w AS DOUBLE) / count(revenue) OVER w AS e FROM c
+        WINDOW w AS (ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+      SELECT {_STAMP.format("s")} AS window_start, {_STAMP.format("s + INTERVAL 1 HOUR")} AS window_end, revenue,
+      e AS earlier_avg, (e - revenue) / e * 100 AS drop_pct FROM a WHERE revenue < e * 0.8::DOUBLE""",
+)

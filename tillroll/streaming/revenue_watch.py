@@ -5,12 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tillroll import fixed
 from tillroll.functions.columns import ratio
 
-_WINDOWS = "window_start timestamp, window_end timestamp, revenue double, rows bigint, epoch bigint"
-
 
 def window_revenue(
     events: DataFrame,
@@ -65,15 +64,17 @@ def stream_revenue_alerts(
     all windows stored up to it, so that a retry gives the same alerts.
     """
 
+    closed = window_revenue(events, time, value, window, delay)
+    schema = StructType([*closed.schema.fields, StructField("epoch", LongType())])
+
     def close(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
         batch.write.mode("overwrite").parquet(f"{folder}/windows/epoch={epoch}")
-        stored = spark.read.schema(_WINDOWS).parquet(f"{folder}/windows").filter(F.col("epoch") <= epoch)
+        stored = spark.read.schema(schema).parquet(f"{folder}/windows").filter(F.col("epoch") <= epoch)
         mine = stored.filter(F.col("epoch") == epoch).select("window_start")
         fired = revenue_alerts(stored, drop_ratio).join(mine, "window_start", "left_semi")
         fired.write.mode("overwrite").parquet(f"{folder}/alerts/epoch={epoch}")
 
-    closed = window_revenue(events, time, value, window, delay)
     return (
         closed.writeStream.outputMode("append")
         .option("checkpointLocation", f"{folder}/checkpoint")
