@@ -129,3 +129,22 @@ def test_batch_job_from_csv(spark, tmp_path):
     job.run(spark, args)
     assert spark.read.parquet(str(tmp_path / "out" / marts.FACT)).count() == 120
     assert spark.read.parquet(str(tmp_path / "out" / "processing_summary")).first()["total_records"] == 120
+
+
+def test_raw_csv_as_other_tools_write_it(spark, tmp_path):
+    path = tmp_path / "raw.csv"
+    path.write_text(
+        "Invoice,StockCode,Description,Quantity,InvoiceDate,Price,Customer ID,Country\n"
+        '1,A,"SAID ""HI"", TWICE",2,2009-12-01 07:45:00,6.95,13085.0,United Kingdom\n'
+        "1,B,,3,2009-12-01 07:45:00,1.5,,United Kingdom\n"
+        "2,C,x,4,never,1.5,7,France\n"
+    )
+    df = tables.read_table(spark, str(path), "csv", RAW_LINES)
+    first, second, third = df.collect()
+    assert first["Customer ID"] == 13085 and first["Description"] == 'SAID "HI", TWICE'
+    assert first["InvoiceDate"] == dt.datetime(2009, 12, 1, 7, 45) and first["Price"] == Decimal("6.95")
+    assert second["Customer ID"] is None and second["Description"] is None
+    assert third["InvoiceDate"] is None
+    from tillroll.operators.etl import clean
+
+    assert clean(df).count() == 2

@@ -25,7 +25,7 @@ def save_tables(
         out = df if digits is None else rounded(df, digits)
         writer = out.write.mode("overwrite").format(fmt)
         if fmt == "csv":
-            writer = writer.option("header", True)
+            writer = writer.option("header", True).option("escape", '"')
         if partition_by and name in partition_by:
             writer = writer.partitionBy(*partition_by[name])
         writer.save(f"{folder}/{name}")
@@ -35,7 +35,7 @@ def save_tables(
 
 def export_csv(df: DataFrame, path: str) -> None:
     """A query result as header CSV, one file per partition."""
-    df.write.mode("overwrite").option("header", True).csv(path)
+    df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
 def append_results(df: DataFrame, path: str) -> None:

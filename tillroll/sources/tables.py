@@ -18,15 +18,33 @@ from tillroll.schemas import BY_DATASET
 def read_table(
     spark: SparkSession, path: str, fmt: str = "parquet", schema: T.StructType | None = None
 ) -> DataFrame:
-    """Parquet, ORC, JSON or header CSV; CSV and JSON need a schema."""
-    reader = spark.read
-    if fmt in ("csv", "json"):
-        if schema is None:
-            raise ValueError(f"{fmt} needs an explicit schema")
-        reader = reader.schema(schema)
-    if fmt == "csv":
-        reader = reader.option("header", True)
-    return reader.format(fmt).load(path)
+    """Parquet, ORC, JSON or header CSV; CSV and JSON need a schema.
+
+    Whole numbers in CSV may be written with a fraction of zero, as tools do that hold a
+    column with gaps in floating point: `13085.0` reads as 13085. Quotes inside a quoted
+    CSV field are doubled.
+    """
+    if fmt in ("csv", "json") and schema is None:
+        raise ValueError(f"{fmt} needs an explicit schema")
+    if fmt == "json":
+        return spark.read.schema(schema).json(path)
+    if fmt != "csv":
+        return spark.read.format(fmt).load(path)
+    text = T.StructType(
+        [
+            T.StructField(f.name, T.StringType() if isinstance(f.dataType, T.IntegralType) else f.dataType)
+            for f in schema.fields
+        ]
+    )
+    df = spark.read.schema(text).option("header", True).option("escape", '"').csv(path)
+    return df.select(
+        *[
+            F.col(f"`{f.name}`").try_cast("decimal(38,6)").cast(f.dataType).alias(f.name)
+            if isinstance(f.dataType, T.IntegralType)
+            else F.col(f"`{f.name}`")
+            for f in schema.fields
+        ]
+    )
 
 
 def load_catalog(
