@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillroll import fixed
-from tillroll.functions.columns import ellipsize
+from tillroll.functions.columns import ellipsize, ratio
 from tillroll.operators.aggregates import busiest
 from tillroll.operators.learning import metric_rows, regression
 from tillroll.operators.ordering import durable, global_rank
@@ -34,20 +34,26 @@ def customer_product_factors(
 ) -> Factors:
     """Alternating least squares on standardised revenue per customer and product.
 
-    Revenue is averaged per pair before the fit; one pair in five is left for the error.
+    Lines are reduced to (customer, product) pairs in one pass and checkpointed; keys, scale
+    and ratings all come from the pairs. One pair in five is left for the error.
     """
     spark = tx.sparkSession
-    known = tx.filter(F.col("Customer_ID").isNotNull()).select(
-        "Customer_ID", "StockCode", F.col("Revenue").cast("double").alias("r")
+    r = F.col("Revenue").cast("double")
+    pairs = durable(
+        tx.filter(F.col("Customer_ID").isNotNull())
+        .groupBy("Customer_ID", "StockCode")
+        .agg(F.count(r).alias("n"), F.sum(r).alias("s"), F.sum(r * r).alias("q"))
     )
-    scale = known.agg(F.struct(F.avg("r").alias("m"), F.stddev_pop("r").alias("s"))).scalar()
-    pairs = known.groupBy("Customer_ID", "StockCode").agg(F.avg("r").alias("r"))
-    customers, products = dense_ids(known, "Customer_ID", "user"), dense_ids(known, "StockCode", "item")
+    mean = F.sum("s") / F.sum("n")
+    spread = F.sqrt(F.greatest(F.sum("q") / F.sum("n") - mean * mean, F.lit(0.0)))
+    scale = pairs.agg(F.struct(mean.alias("m"), spread.alias("d"))).scalar()
+    customers, products = dense_ids(pairs, "Customer_ID", "user"), dense_ids(pairs, "StockCode", "item")
+    rating = F.try_divide(ratio(F.col("s"), F.col("n")) - F.col("_s.m"), F.col("_s.d"))
     rated = durable(
         pairs.withColumn("_s", scale)
         .select(
             "Customer_ID", "StockCode",
-            F.coalesce(F.try_divide(F.col("r") - F.col("_s.m"), F.col("_s.s")), F.lit(0.0)).cast("float").alias("rating"),
+            F.coalesce(rating, F.lit(0.0)).cast("float").alias("rating"),
             F.pmod(F.xxhash64("Customer_ID", "StockCode", F.lit(seed)), F.lit(5)).alias("part"),
         )
         .join(customers, "Customer_ID")
@@ -56,8 +62,8 @@ def customer_product_factors(
     # As many blocks as the rated pairs have partitions, so that the fit grows with the data.
     blocks = max(10, rated.rdd.getNumPartitions())
     als = ALS(
-        numUserBlocks=blocks, numItemBlocks=blocks, rank=rank, maxIter=iters, regParam=reg, userCol="user", itemCol="item", ratingCol="rating",
-        coldStartStrategy="drop", seed=seed,
+        rank=rank, maxIter=iters, regParam=reg, numUserBlocks=blocks, numItemBlocks=blocks,
+        userCol="user", itemCol="item", ratingCol="rating", coldStartStrategy="drop", seed=seed,
     )
     model = als.fit(rated.filter("part > 0"))
     error = {

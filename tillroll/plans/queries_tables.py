@@ -9,7 +9,7 @@ from tillroll.operators import aggregates as A
 from tillroll.operators import etl
 from tillroll.operators import reports as R
 from tillroll.plans.base_sql import (
-    CLEAN, COUNTRIES, CUSTOMERS, DAILY, MONTHLY, PRODUCTS, RAW, TIER, TX, with_,
+    CLEAN, COUNTRIES, CUSTOMERS, DAILY, MONTHLY, PRODUCTS, TIER, TX, with_,
 )
 from tillroll.plans.marts import FACT, business_report
 from tillroll.sources import star, tables
