@@ -34,8 +34,8 @@ def customer_product_factors(
 ) -> Factors:
     """Alternating least squares on standardised revenue per customer and product.
 
-    Lines are reduced to (customer, product) pairs in one pass and checkpointed; keys, scale
-    and ratings all come from the pairs. One pair in five is left for the error.
+    Lines are reduced to (customer, product) pairs in one pass and stored; keys, scale and
+    ratings all come from the pairs. One pair in five is left for the error.
     """
     spark = tx.sparkSession
     r = F.col("Revenue").cast("double")

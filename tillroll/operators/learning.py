@@ -1,7 +1,7 @@
 """Shared steps of the model operators: splits, scores, vectors.
 
 Rows go to folds by a hash of their key, so a recomputed partition gives the same
-split. The table a model learns from is checkpointed: the many passes of a fit then read
+split. The table a model learns from is stored once: the many passes of a fit then read
 rows and not the plan behind them. Only scores and importances, a few numbers each, come back to the driver.
 """
 

@@ -1,7 +1,7 @@
 """Ranks, running totals and exact quantiles over a whole table.
 
 An unpartitioned window would put every row on one task. Here the rows are range
-partitioned by a total order, sorted inside each partition and checkpointed once.
+partitioned by a total order, sorted inside each partition and stored once.
 A row's place is then (partition, position), and only one number per partition is
 needed to turn that into a place in the whole table. Range bounds are cut anywhere
 in the order key, so a hot leading value spreads over many partitions.
@@ -10,6 +10,7 @@ in the order key, so a hot leading value spreads over many partitions.
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -30,9 +31,15 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: lineage is cut, and the rows survive a lost executor."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """The rows written once under the shared folder and read back.
+
+    Lineage is cut and the rows survive a lost executor. Being a columnar table, a later
+    read takes only the columns it needs, and Spark knows its size when it plans joins.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4()}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def _placed(df: DataFrame, order: Sequence[str]) -> DataFrame:

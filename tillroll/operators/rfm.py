@@ -24,7 +24,7 @@ def rfm_lines(tx: DataFrame, as_of=None) -> DataFrame:
     """Line-count RFM: frequency and variety count lines, returns lower the spend.
 
     Guests stay in as one pseudo-customer with a null key. The fact is read once: the
-    customer rows are checkpointed, and the analysis day comes from them.
+    customer rows are stored, and the analysis day comes from them.
     """
     grouped = durable(
         tx.groupBy("Customer_ID").agg(
@@ -54,7 +54,7 @@ def rfm_features(sales: DataFrame, as_of=None, time: str = "InvoiceDate") -> Dat
 
     The country is that of the earliest line, ties by name. It is found per (customer,
     country) first, so that every aggregate over the fact has fixed-width state and none
-    needs a sort. The customer rows are checkpointed, because scores and models read
+    needs a sort. The customer rows are stored, because scores and models read
     them several times.
     """
     grouped = sales.groupBy("Customer_ID").agg(

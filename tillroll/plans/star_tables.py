@@ -52,7 +52,7 @@ class StarTables:
     def monthly(self) -> DataFrame:
         return aggregates.monthly_trends(self.tx)
 
-    # For queries that read an aggregate more than once: built once, then checkpointed.
+    # For queries that read an aggregate more than once: built once, then stored.
     @cached_property
     def stored_products(self) -> DataFrame:
         return durable(self.products)

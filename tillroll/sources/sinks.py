@@ -55,6 +55,6 @@ def save_model(model, path: str) -> None:
 def save_chunks(chunks: DataFrame, path: str) -> None:
     """Store chunks by type, so that a search of some types reads only those.
 
-    The rows are checkpointed first, because a merge reads the folder it replaces.
+    The rows are stored elsewhere first, because a merge reads the folder it replaces.
     """
     durable(chunks).write.mode("overwrite").partitionBy("chunk_type").parquet(path)
