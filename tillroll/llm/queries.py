@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillroll.llm import mixing, packing, sharding, sql
-from tillroll.llm.common import table, word_count
+from tillroll.llm import mixing, packing, quality, sharding, sql, toxicity
+from tillroll.llm.common import key_residue, stored, table, word_count
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +21,16 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document, learned from the labelled ones outside the held-out fifth."""
+    held_out = key_residue(F.col("doc_id"), 5) == 0
+    features = stored(quality.measured(table(spark, sf_dir, "documents")))
+    train = quality.labelled(features, table(spark, sf_dir, "labels"), "quality", ~held_out)
+    return quality.scored(features, quality.fit(train)).select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted")
+    )
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents concatenated and cut into windows of 2048 tokens."""
     return packing.pack(table(spark, sf_dir, "documents"))
@@ -35,10 +45,22 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned from the labelled ones outside the held-out third."""
+    held_out = key_residue(F.col("doc_id"), 3) == 1
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(toxicity.labelled(docs, table(spark, sf_dir, "labels"), "toxic", ~held_out))
+    return toxicity.score(docs, model).select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted")
+    )
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
+    "op2_quality": op2_quality,
     "op3_packing": op3_packing,
     "op8_mixing": op8_mixing,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLE_SQL = {

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from tillroll.llm.common import HASH_BITS, seeded_hash, stored
 
-BUCKET_ROWS = 8192
+BUCKET_ROWS = 2048
 
 
 def assign(
