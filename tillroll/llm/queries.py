@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillroll.llm import mixing, packing, quality, sharding, sql, toxicity
+from tillroll.llm import mixing, ngram_join, packing, quality, sharding, sql, toxicity
 from tillroll.llm.common import key_residue, stored, table, word_count
 
 
@@ -36,6 +36,11 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near duplicates among all documents: 4-word sets, similarity 0.85 or more."""
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed by words, sources weighing 5, 2, 1 in turn, at most 3 times their size."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("words"))
@@ -59,6 +64,7 @@ QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_quality": op2_quality,
     "op3_packing": op3_packing,
+    "op6_ngram_join": op6_ngram_join,
     "op8_mixing": op8_mixing,
     "op10_toxicity": op10_toxicity,
 }
