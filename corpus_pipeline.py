@@ -9,8 +9,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillroll.llm import mixing, packing
-from tillroll.llm.common import stored, table, word_count
+from tillroll.llm import mixing, ngram_join, packing, quality, toxicity
+from tillroll.llm.common import keep_rows, key_residue, stored, table, word_count
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose quality score reaches 0.3, learned from the labelled ones outside the held-out fifth."""
+    labels = table(spark, sf_dir, "labels")
+    learn = key_residue(F.col("doc_id"), 5) != 0
+    known = docs.join(labels.filter(learn).select("doc_id").dropDuplicates(), "doc_id", "left_semi")
+    features = stored(quality.measured(known))
+    model = quality.fit(quality.labelled(features, labels, "quality", learn))
+    return keep_rows(docs, "text", quality.tester(model, 0.3))
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose toxicity score is under 0.7, learned from the labelled ones outside the held-out third."""
+    learn = key_residue(F.col("doc_id"), 3) != 1
+    train = toxicity.labelled(docs, table(spark, sf_dir, "labels"), "toxic", learn)
+    return keep_rows(docs, "text", toxicity.tester(toxicity.fit(train), 0.7))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies (five-word sets, similarity 0.8 or more) the smallest doc_id."""
+    return ngram_join.one_of_each(docs, size=5, percent=80)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,6 +47,9 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 STAGES = [
+    ("quality", keep_good),
+    ("toxicity", drop_toxic),
+    ("near_copies", drop_near_copies),
     ("mixing", mix_sources),
     ("packing", pack_sequences),
 ]

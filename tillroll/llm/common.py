@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +12,8 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bits of `seeded_hash`.
 HASH_BITS = 60
+#: Up to so many keys (8 bytes each) are broadcast to pick rows; beyond it the rows are shuffled.
+BROADCAST_KEYS = 2_000_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -49,3 +52,28 @@ def key_residue(key: Column, by: int) -> Column:
 def word_count(text: Column) -> Column:
     """Number of words as a long, 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def keep_rows(docs: DataFrame, text: str, tester) -> DataFrame:
+    """The rows whose text passes, all their columns unchanged.
+
+    `tester()` runs once per task and returns a function from a list of texts (null as empty) to
+    a list of booleans.
+    """
+    at = docs.columns.index(text)
+
+    def run(batches):
+        passes = tester()
+        for batch in batches:
+            yield batch.filter(pa.array(passes([x or "" for x in batch.column(at).to_pylist()]), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def without_keys(docs: DataFrame, keys: DataFrame, key: str, how: str = "left_anti") -> DataFrame:
+    """`docs` without (or, with left_semi, only) the rows whose key is in `keys`, a column `_key`.
+
+    Up to BROADCAST_KEYS keys are counted and sent to the tasks; more are joined by a shuffle.
+    """
+    few = keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
+    return docs.join(F.broadcast(keys) if few else keys, F.col(key) == F.col("_key"), how)

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillroll.llm.common import stored
+from tillroll.llm.common import stored, without_keys
 from tillroll.llm.components import components
 from tillroll.llm.words import mix, sequence_hashes, shingles, word_hashes
 
@@ -33,8 +33,6 @@ _BLOCK = 1 << 16
 _FAN_IN = 64
 #: Seeds of the orders besides the first.
 SEEDS = (0x5851F42D4C957F2D, 0x14057B7EF767814F)
-#: Up to so many keys (8 bytes each) are broadcast to pick rows; beyond it the rows are shuffled.
-BROADCAST_KEYS = 2_000_000
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -113,12 +111,6 @@ def _sets(docs: DataFrame, size: int, percent: int, levels: np.ndarray) -> DataF
     return docs.mapInArrow(run, f"key {docs.schema['key'].dataType.simpleString()}, n long, class binary, first array<long>, others binary")
 
 
-def _picked(table: DataFrame, keys: DataFrame) -> DataFrame:
-    """The rows of `table` whose key is in `keys`."""
-    few = keys.count() <= BROADCAST_KEYS
-    return table.join(F.broadcast(keys) if few else keys, "key", "left_semi")
-
-
 def _sharing(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     """Pairs that share a prefix token under every one of the random orders."""
 
@@ -130,8 +122,8 @@ def _sharing(pairs: DataFrame, reps: DataFrame) -> DataFrame:
                 keep.append(all(np.isin(p, q).any() for p, q in zip(a, b)))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    keys = stored(pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).dropDuplicates())
-    marks = _picked(reps.select("key", "others"), keys)
+    keys = stored(pairs.select(F.col("a").alias("_key")).union(pairs.select(F.col("b").alias("_key"))).dropDuplicates())
+    marks = without_keys(reps.select("key", "others"), keys, "key", "left_semi")
     both = pairs.join(marks.withColumnsRenamed({"key": "a", "others": "x"}), "a").join(
         marks.withColumnsRenamed({"key": "b", "others": "y"}), "b"
     )
@@ -154,8 +146,8 @@ def _verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Dat
                 keep.append(100 * common >= percent * (len(s) + len(last) - common))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    keys = stored(pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).dropDuplicates())
-    texts = stored(_picked(docs, keys).dropDuplicates(["key"]))
+    keys = stored(pairs.select(F.col("a").alias("_key")).union(pairs.select(F.col("b").alias("_key"))).dropDuplicates())
+    texts = stored(without_keys(docs, keys, "key", "left_semi").dropDuplicates(["key"]))
     both = pairs.join(texts.withColumnsRenamed({"key": "a", "text": "x"}), "a").join(
         texts.withColumnsRenamed({"key": "b", "text": "y"}), "b"
     )
@@ -246,3 +238,17 @@ def near_duplicates(
             F.coalesce("component", "rep", "key").alias("component_id"),
         )
     )
+
+
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 4, percent: int = 85) -> DataFrame:
+    """The rows of `docs` whose key is the smallest of its component, all their columns unchanged.
+
+    Of rows that share a key one stays. Rows without a key stay unless they equal a document with one.
+    """
+    found = stored(near_duplicates(docs, key, text, size, percent).select(F.col(key).alias("_key"), "component_id"))
+    gone = stored(found.filter("_key <> component_id").select("_key").dropDuplicates())
+    again = stored(found.groupBy("_key").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1 AND _key IS NOT NULL").select("_key"))
+    kept = without_keys(docs, gone, key)
+    if again.isEmpty():
+        return kept
+    return without_keys(kept, again, key).unionByName(without_keys(kept, again, key, "left_semi").dropDuplicates([key]))

@@ -194,16 +194,28 @@ def _calibration(train: DataFrame, model: dict, bins: int = 64) -> tuple[float,
     return float(w[0]), float(w[1])
 
 
+def probabilities(x: np.ndarray, model: dict) -> np.ndarray:
+    if "constant" in model:
+        return np.full(len(x), model["constant"])
+    return 1 / (1 + np.exp(-np.clip(difference(x, model) * model["slope"] + model["shift"], -35, 35)))
+
+
+def tester(model: dict, threshold: float):
+    """For `keep_rows`: passes texts whose score reaches the threshold."""
+
+    def start():
+        shape = (-1, len(FEATURES))
+        return lambda texts: (probabilities(np.array([statistics(t) for t in texts]).reshape(shape), model) >= threshold).tolist()
+
+    return start
+
+
 def scored(features: DataFrame, model: dict, key: str = "doc_id") -> DataFrame:
     """key, score per row of `measured`."""
 
     def run(batches):
         for batch in batches:
-            x = _matrix(batch.column(1))
-            if "constant" in model:
-                p = np.full(len(x), model["constant"])
-            else:
-                p = 1 / (1 + np.exp(-np.clip(difference(x, model) * model["slope"] + model["shift"], -35, 35)))
+            p = probabilities(_matrix(batch.column(1)), model)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p)], names=[key, "score"])
 
     kind = features.schema[key].dataType.simpleString()

@@ -335,3 +335,15 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, learn, key: str = "
     """
     marks = labels.filter(learn).select(F.col(key).alias("_key"), F.col(label).cast("int").alias("label")).filter("label IN (0, 1)")
     return stored(docs.join(marks.dropDuplicates(), F.col(key) == F.col("_key")).select("text", "label").dropDuplicates())
+
+
+def tester(model: dict, threshold: float):
+    """For `keep_rows`: passes texts whose score is under the threshold."""
+    terms, weights = model["terms"], model["weights"]
+
+    def start():
+        lexicon, w = Lexicon(terms), np.array(weights)
+        limit = np.log(threshold / (1 - threshold))
+        return lambda texts: [float(np.dot(hit_features(t, lexicon), w[:-1]) + w[-1]) < limit for t in texts]
+
+    return start
