@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillroll.llm import mixing, ngram_join, packing, quality, sharding, sql, toxicity
+from tillroll.llm import mixing, neighbours, ngram_join, packing, quality, sharding, sql, topk, toxicity
 from tillroll.llm.common import key_residue, stored, table, word_count
 
 
@@ -36,6 +36,16 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 highest inner products of every 50th vector with all others."""
+    return topk.top_k(table(spark, sf_dir, "embeddings"), lambda key: key % 50 == 0, 5)
+
+
+def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 nearest vectors of every 100th vector."""
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), lambda key: key % 100 == 0, 10)
+
+
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near duplicates among all documents: 4-word sets, similarity 0.85 or more."""
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
@@ -64,12 +74,15 @@ QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_quality": op2_quality,
     "op3_packing": op3_packing,
+    "op4_topk": op4_topk,
     "op6_ngram_join": op6_ngram_join,
+    "op7_neighbours": op7_neighbours,
     "op8_mixing": op8_mixing,
     "op10_toxicity": op10_toxicity,
 }
 
 ORACLE_SQL = {
     "op1_sharding": sql.SHARDING,
+    "op4_topk": sql.TOP_K,
     "op8_mixing": sql.MIXING,
 }
