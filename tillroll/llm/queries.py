@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillroll.llm import mixing, neighbours, ngram_join, packing, quality, sharding, sql, topk, toxicity
+from tillroll.llm import language_model, mixing, neighbours, ngram_join, packing, quality, sharding, sql, topk, toxicity
 from tillroll.llm.common import key_residue, stored, table, word_count
 
 
@@ -41,6 +41,14 @@ def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), lambda key: key % 50 == 0, 5)
 
 
+def op5_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's log10 probability, learned from the documents outside the held-out fifth."""
+    held_out = key_residue(F.col("doc_id"), 5) == 1
+    return language_model.score(table(spark, sf_dir, "documents"), ~held_out).select(
+        "doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )
+
+
 def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 10 nearest vectors of every 100th vector."""
     return neighbours.nearest(table(spark, sf_dir, "embeddings"), lambda key: key % 100 == 0, 10)
@@ -75,6 +83,7 @@ QUERIES = {
     "op2_quality": op2_quality,
     "op3_packing": op3_packing,
     "op4_topk": op4_topk,
+    "op5_language_model": op5_language_model,
     "op6_ngram_join": op6_ngram_join,
     "op7_neighbours": op7_neighbours,
     "op8_mixing": op8_mixing,
