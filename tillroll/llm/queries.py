@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillroll.llm import language_model, mixing, neighbours, ngram_join, packing, quality, sharding, sql, topk, toxicity
-from tillroll.llm.common import key_residue, stored, table, word_count
+from tillroll.llm import edit_counts, language_model, mixing, neighbours, ngram_join, packing, quality, sharding, sql, topk, toxicity
+from tillroll.llm.common import key_residue, seeded_hash, stored, table, word_count
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,6 +68,31 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document before and after three edits of its own.
+
+    Seventeen characters go at one place, the source and language come in at another, and the first
+    character becomes a heading mark; the places follow from the doc_id.
+    """
+    chars = F.coalesce(F.length("text"), F.lit(0)) + 1
+
+    def change(place, removed, inserted):
+        return F.struct(place.cast("long").alias("at"), F.lit(removed).cast("long").alias("removed"), inserted.alias("inserted"))
+
+    named = F.concat(F.lit(" "), F.coalesce("source", F.lit("none")), F.lit("/"), F.coalesce("lang", F.lit("none")), F.lit(": "))
+    edits = F.array(
+        change(F.pmod(seeded_hash(F.col("doc_id"), "cut"), chars), 17, F.lit("")),
+        change(F.pmod(seeded_hash(F.col("doc_id"), "put"), chars), 0, named),
+        change(F.lit(0), 1, F.lit("# ")),
+    )
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    done = edit_counts.edited(stored(edit_counts.counted(docs)), edits)
+    return done.select(
+        "doc_id", "tokens_before", "tokens", F.length("text").cast("long").alias("chars"), "recounted",
+        F.crc32(F.col("text").cast("binary")).alias("text_crc32"),
+    )
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document, learned from the labelled ones outside the held-out third."""
     held_out = key_residue(F.col("doc_id"), 3) == 1
@@ -87,6 +112,7 @@ QUERIES = {
     "op6_ngram_join": op6_ngram_join,
     "op7_neighbours": op7_neighbours,
     "op8_mixing": op8_mixing,
+    "op9_token_counts": op9_token_counts,
     "op10_toxicity": op10_toxicity,
 }
 
