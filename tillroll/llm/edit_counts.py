@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tillroll.llm.tokens import WordEncoder, text_groups, tokenizer_path
 
@@ -121,8 +122,9 @@ def counted(docs: DataFrame, text: str = "text", tokenizer: str | None = None) -
                 sums = [pa.array([getattr(t, n) for t in trees], pa.list_(pa.int32())) for n in ("chars", "tokens")]
                 yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a) for i in range(batch.num_columns)), *sums], names=names)
 
-    fields = docs.schema.add("tree_chars", "array<int>").add("tree_tokens", "array<int>")
-    return docs.mapInArrow(run, fields)
+    sums = T.ArrayType(T.IntegerType())
+    fields = [*docs.schema.fields, T.StructField("tree_chars", sums), T.StructField("tree_tokens", sums)]
+    return docs.mapInArrow(run, T.StructType(fields))
 
 
 def edited(rows: DataFrame, edits, key: str = "doc_id", text: str = "text", tokenizer: str | None = None) -> DataFrame:
