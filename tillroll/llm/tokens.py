@@ -1,17 +1,20 @@
-"""Token ids of whole texts, with a cache of encoded words."""
+"""Token ids of whole texts, with caches of encoded words."""
 
 from __future__ import annotations
 
 import os
+import sys
 import re
+from array import array
 
 import numpy as np
+import regex
 
-#: A word with the white space before it, or the white space at the end of the text.
-_CHUNK = re.compile(r"\s*\S+|\s+")
-#: White space for Python's patterns but not for the tokenizer's: such a text is encoded in one go.
-_ODD = re.compile("[\x1c-\x1f]")
-#: Words kept per task. It bounds memory only: a word that was let go is encoded again.
+#: How the byte-level tokenizer cuts a text before it merges bytes (a fixed value of its vocabulary).
+_PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+#: White space other than single blanks and line ends between words.
+_OTHER_SPACE = re.compile(r"[^\S \n]")
+#: Words kept per task and cache. It bounds memory only: a word that was let go is encoded again.
 CACHE_WORDS = 400_000
 
 
@@ -21,41 +24,86 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in the vocabulary: itself if it is visible, else the next from 256 on."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = iter(range(256, 512))
+    return {b: chr(b) if b in shown else chr(next(hidden)) for b in range(256)}
+
+
 class WordEncoder:
     """Ids of texts as little-endian bytes.
 
-    The byte-level pattern never joins a character other than white space to white space after
-    it, so a text may be cut in front of every run of white space and the pieces encoded by
-    themselves. Most pieces are words seen before.
+    The byte-level pattern never joins a letter, digit or mark to white space after it, so a text
+    of words between single blanks and line ends falls apart into words with the blank before
+    them. Most of those were seen before. Any other text is cut by the pattern itself, and whole
+    texts of a tokenizer of another kind go through the library's own pipeline.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True
-        self.dtype = np.dtype("<u2" if self.model.get_vocab_size() <= 1 << 16 else "<u4")
-        self.cache: dict[str, bytes] = {}
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        found = self.model.encode_batch_fast(texts, add_special_tokens=False)
+        self.whole = Tokenizer.from_file(path)
+        self.whole.encode_special_tokens = True
+        self.dtype = np.dtype("<u2" if self.whole.get_vocab_size() <= 1 << 16 else "<u4")
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
+        probe = " a b1\n\nc  d's ._.\té"
+        self.merge, self.letters = self.whole.model.tokenize, _byte_letters()
+        self.pieces: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+        self.bytewise = sys.byteorder == "little" and self._cut(probe) == self._whole([probe])[0]
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        found = self.whole.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, self.dtype).tobytes() for x in found]
 
-    def chunks(self, text: str) -> list[str]:
-        return [text] if _ODD.search(text) else _CHUNK.findall(text)
+    def _piece(self, piece: str) -> bytes:
+        ids = self.pieces.get(piece)
+        if ids is None:
+            spelt = piece.encode().decode("latin-1").translate(self.letters)
+            ids = array(self.code, [x.id for x in self.merge(spelt)]).tobytes()
+            if len(self.pieces) >= CACHE_WORDS:
+                self.pieces.clear()
+            self.pieces[piece] = ids
+        return ids
+
+    def _cut(self, text: str) -> bytes:
+        if text[1:].isalpha() and (text[0] == " " or text[0].isalpha()):
+            return self._piece(text)
+        return b"".join(map(self._piece, _PIECES.findall(text)))
+
+    def _words(self, text: str) -> list[str] | None:
+        """The words with their blank or line end before them, or None if the text has other white space."""
+        if "  " in text or "\n\n" in text or " \n" in text or "\n " in text or _OTHER_SPACE.search(text):
+            return None
+        if not text or text[0] in " \n" or text[-1] in " \n":
+            return None
+        return text.replace("\n", " \n").split(" ")
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [self.chunks(x) for x in texts]
-        new = list(set().union(*cut).difference(self.cache))
-        if len(self.cache) + len(new) > CACHE_WORDS:
-            self.cache = {}
-            new = list(set().union(*cut))
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            self.cache.update(zip(part, self._ids(part)))
-        get = self.cache.__getitem__
-        return [b"".join(map(get, x)) for x in cut]
+        if not self.bytewise:
+            return self._whole(texts)
+        out = []
+        for text in texts:
+            words = self._words(text)
+            if words is None:
+                out.append(self._cut(text) if text else b"")
+                continue
+            get = self.words.get
+            found = list(map(get, words))
+            found[0] = self._cut(words[0])
+            if None in found:
+                for i, ids in enumerate(found):
+                    if ids is None:
+                        w = words[i]
+                        ids = self._cut(w if w[0] == "\n" else " " + w)
+                        found[i] = ids
+                        if len(self.words) >= CACHE_WORDS:
+                            self.words.clear()
+                        self.words[w] = ids
+            out.append(b"".join(found))
+        return out
 
 
 def text_groups(texts: list[str], chars: int = 500_000):
