@@ -65,7 +65,7 @@ def vectors(spark, n=300, dims=8):
 @pytest.mark.parametrize("per_pass", [2, 512])
 @pytest.mark.parametrize("skip", [False, True])
 def test_cosine_topk_by_brute_force(spark, monkeypatch, per_pass, skip):
-    monkeypatch.setattr(similarity, "_QUERIES_PER_PASS", per_pass)
+    monkeypatch.setattr(similarity, "BLOCK_QUERIES", per_pass)
     m, df = vectors(spark)
     norm = np.linalg.norm(m, axis=1, keepdims=True)
     unit = np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)

@@ -81,10 +81,10 @@ def test_bootstrap_is_repeatable_and_near_the_normal_interval(spark):
     assert one["ci_upper"] == pytest.approx(middle + half, abs=half * 0.25)
 
 
-def test_bucketed_bootstrap_keeps_the_width(spark):
-    """With far fewer buckets than rows the interval still has the right width."""
+def test_bootstrap_keeps_the_width(spark):
+    """The interval of a larger table has the right width too."""
     pdf, df = groups(spark, 20_000)
-    row = X.ab_bootstrap_ci(df, "g", "x", ["t"], 500, buckets=512).first()
+    row = X.ab_bootstrap_ci(df, "g", "x", ["t"], 500).first()
     a, b = (pdf[pdf["g"] == k]["x"] for k in ("control", "treatment"))
     width = 2 * 1.96 * np.sqrt(a.var() / len(a) + b.var() / len(b))
     assert row["ci_upper"] - row["ci_lower"] == pytest.approx(width, rel=0.2)
@@ -176,3 +176,26 @@ def test_assignment(spark):
         X.assign_variants(df, "id", ["a"], [0.5, 0.5], "s")
     with pytest.raises(ValueError):
         X.assign_variants(df, "id", ["a", "b"], [0.5, 0.4], "s")
+
+
+def test_tiny_shares_get_rows(spark):
+    out = X.assign_variants(spark.range(400_000), "id", ["a", "b"], [0.00004, 0.99996], "s")
+    assert 4 <= out.filter("variant = 'a'").count() <= 40
+
+
+def test_sequential_looks_skip_nulls(spark):
+    rows = [(i, "control" if i % 2 else "treatment", float(i % 7 + i % 2)) for i in range(400)]
+    gaps = [(1000 + i, "control" if i % 2 else "treatment", None) for i in range(50)]
+    order = [(float(r[0]) if r[0] < 1000 else r[0] - 1000 + 0.5, *r[1:]) for r in rows + gaps]
+    schema = "t double, g string, x double"
+    whole = X.sequential_looks(spark.createDataFrame([r for r in order if r[2] is not None], schema), "g", "x", ["t"])
+    holes = X.sequential_looks(spark.createDataFrame(order, schema), "g", "x", ["t"])
+    got, want = (np.array(sorted(map(tuple, x.collect()))) for x in (holes, whole))
+    assert len(want) and np.allclose(got, want, rtol=1e-9)
+
+
+def test_no_p_value_is_no_evidence(spark):
+    schema = "p_value double, relative_change_percent double, effect_size_cohens_d double"
+    rows = spark.createDataFrame([(None, 5.0, 0.1), (0.2, 5.0, 0.1), (0.01, 5.0, 0.1), (0.01, 1.0, 0.1), (0.01, -1.0, 0.1)], schema)
+    said = [r["recommendation"].split()[0] for r in X.ab_verdict(rows).collect()]
+    assert said == ["Insufficient", "Insufficient", "Strong", "Moderate", "Do"]

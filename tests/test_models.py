@@ -166,3 +166,12 @@ def test_factors_put_like_customers_together(spark):
     names = tx.groupBy("StockCode").agg(F.min("Description").alias("Description"))
     goods = FA.similar_products(f.products, tx, names, 2, 3).collect()
     assert len(goods) == 6 and all(r["description"] == "x" * 50 + "..." for r in goods)
+
+
+def test_rare_class_is_in_every_part(spark):
+    from tillroll.operators import lifetime
+
+    rows = [(i, 1.0 if i % 400 == 0 else 0.0) for i in range(2000)]
+    df = spark.createDataFrame(rows, "Customer_ID int, label double")
+    got = lifetime._stratified(df, ["Customer_ID"], 5, 7).groupBy("part", "label").count().collect()
+    assert {(r["part"], r["label"]): r["count"] for r in got} == {**{(p, 0.0): 399 for p in range(5)}, **{(p, 1.0): 1 for p in range(5)}}

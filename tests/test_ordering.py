@@ -73,3 +73,19 @@ def test_row_chunks_and_top_in_group(spark):
     top = O.top_in_group(df.withColumn("one", F.lit(1)), ["one"], "g", 3).orderBy("place").collect()
     want = pdf.groupby("g").size().reset_index(name="n").sort_values(["n", "g"], ascending=[False, True])
     assert [(r["g"], r["n"]) for r in top] == list(want.head(3).itertuples(index=False, name=None))
+
+
+def test_ranges_follow_the_data(spark, monkeypatch):
+    from tillroll.operators import ordering
+
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "3")
+    monkeypatch.setattr(ordering, "RANGE_ROWS", 1000)
+    try:
+        for n, least in ((500, 1), (20_000, 12)):
+            placed = ordering._placed(spark.range(n), ["id"])
+            assert placed.select("_part").distinct().count() >= least
+            ranked = ordering.global_rank(spark.range(n), ["id"])
+            assert ranked.filter("rank <> id + 1").count() == 0
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)

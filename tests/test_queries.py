@@ -11,12 +11,7 @@ from tillroll.plans import registry
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 CHECKED = sorted(registry.oracle_sql())
-# Fits of several models each; the model tests cover their parts.
-LONG = {
-    "ml_cluster_summary", "customer_segments", "best_model", "forecast_totals", "forecast_insights",
-    "ml_cluster_profiles", "clv_metrics", "clv_importances", "churn_metrics", "tune_kmeans",
-}
-UNCHECKED = sorted(set(registry.queries()) - set(CHECKED) - LONG)
+UNCHECKED = sorted(set(registry.queries()) - set(CHECKED))
 
 
 @pytest.fixture(scope="module")

@@ -134,3 +134,32 @@ def test_time_folds(spark):
     _, df = days(spark, 22)
     folds = column(S.time_folds(df, "Date", 3), "fold")
     assert folds == [0.0] * 7 + [1.0] * 5 + [2.0] * 5 + [3.0] * 5
+
+
+def test_even_period(spark):
+    import numpy as np
+
+    x = np.arange(24) * 2.0 + np.tile([3, -1, 0, 5, -4, -3], 4)
+    rows = [(i, float(v)) for i, v in enumerate(x)]
+    got = S.decompose(spark.createDataFrame(rows, "t int, v double"), "v", "t", period=6).orderBy("t").collect()
+    weights = np.array([0.5, 1, 1, 1, 1, 1, 0.5]) / 6
+    for i, r in enumerate(got):
+        want = weights @ x[i - 3 : i + 4] if 3 <= i < 21 else None
+        assert (r["trend"] is None) == (want is None) and (want is None or abs(r["trend"] - want) < 1e-9)
+        assert want is None or abs(r["residual"]) < 1e-9
+
+
+def test_ewm_with_gaps(spark):
+    import pandas as pd
+
+    values = [1.0, 2.0, None, 4.0, None, None, 3.0]
+    df = spark.createDataFrame(list(enumerate(values)), "t int, v double")
+    got = [r[2] for r in S.ewm(df, "v", [0.3], "t").orderBy("t").collect()]
+    want = pd.Series(values).ewm(alpha=0.3).mean().tolist()
+    assert all(abs(a - b) < 1e-12 for a, b in zip(got, want))
+
+
+def test_sequences_longer_than_a_block(spark):
+    df = spark.createDataFrame([("k", i, float(i)) for i in range(40)], "k string, t int, v double")
+    got = S.sequences(df, "k", "v", ["t"], 5, 10, None, 3).collect()
+    assert len(got) == 35 and all(r["sequence"] == [r["target"] - j for j in range(5, 0, -1)] for r in got)

@@ -148,3 +148,19 @@ def test_raw_csv_as_other_tools_write_it(spark, tmp_path):
     from tillroll.operators.etl import clean
 
     assert clean(df).count() == 2
+
+
+def test_fractions_are_no_whole_numbers(spark, tmp_path):
+    from pyspark.sql import types as T
+
+    (tmp_path / "x.csv").write_text("q,c\n12.7,13085.0\n13085.9,oops\n-3,7.00\n")
+    schema = T.StructType().add("q", T.IntegerType()).add("c", T.LongType())
+    got = [tuple(r) for r in tables.read_table(spark, str(tmp_path / "x.csv"), "csv", schema).collect()]
+    assert got == [(None, 13085), (None, None), (-3, 7)]
+
+
+def test_an_empty_table_replaces_the_last_run(spark, tmp_path):
+    df = spark.range(3)
+    assert sinks.save_tables({"t": df}, str(tmp_path)) == ["t"]
+    assert sinks.save_tables({"t": df.limit(0)}, str(tmp_path)) == []
+    assert spark.read.schema("id long").parquet(str(tmp_path / "t")).count() == 0

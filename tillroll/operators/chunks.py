@@ -214,13 +214,15 @@ def build_chunks(catalog: Mapping[str, DataFrame], tx_order: Sequence, size: int
 
 
 def upsert_chunks(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Both tables with one row per (type, id); a new row replaces an old one.
+    """Both tables with one row per (type, id); a new row replaces an old one, and of rows equally new
+    the later and then the greater one stays.
 
     The winner is a maximum, so copies of one key shrink before the shuffle.
     """
     both = old.withColumn("_version", F.lit(0)).unionByName(new.withColumn("_version", F.lit(1)))
     rest = [c for c in old.columns if c not in ("chunk_type", "chunk_id")]
-    newest = F.max_by(F.struct(*rest), F.struct("_version", *[c for c in rest if c == "created_at"]))
+    order = [*[c for c in rest if c == "created_at"], F.to_json(F.struct(*rest))]
+    newest = F.max_by(F.struct(*rest), F.struct("_version", *order))
     return (
         both.groupBy("chunk_type", "chunk_id")
         .agg(newest.alias("_row"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -107,6 +108,37 @@ _POISSON_CDF = (
 )
 
 
+_GOLDEN = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _uniform(h: np.ndarray) -> np.ndarray:
+    """Numbers from 0 to 1 by a hash of 64-bit numbers (the finalizer of splitmix64)."""
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return ((h ^ (h >> np.uint64(31))) >> np.uint64(11)) * 2.0**-53
+
+
+def _resampled(b: int):
+    """Per task: for every resample, sums of weighted values and weights of both groups."""
+
+    def run(batches):
+        total, steps = np.zeros((4, b)), np.arange(1, b + 1, dtype=np.uint64) * _GOLDEN
+        for batch in batches:
+            h, x = batch["h"].to_numpy().view(np.uint64), batch["x"].to_numpy()
+            treated = batch["treated"].to_numpy(bool)
+            for at in range(0, len(x), 512):
+                part = slice(at, at + 512)
+                w = np.searchsorted(_POISSON_CDF, _uniform(h[part, None] + steps), side="right").astype(float)
+                for i, who in enumerate((~treated[part], treated[part])):
+                    total[2 * i] += x[part][who] @ w[who]
+                    total[2 * i + 1] += w[who].sum(axis=0)
+        yield pd.DataFrame(
+            {"replicate": np.arange(b, dtype=np.int32), "s0": total[0], "n0": total[1], "s1": total[2], "n1": total[3]}
+        )
+
+    return run
+
+
 def ab_bootstrap_ci(
     df: DataFrame,
     group: str,
@@ -114,43 +146,23 @@ def ab_bootstrap_ci(
     key: Sequence[str],
     b: int = 1000,
     seed: int = fixed.SEED,
-    buckets: int = 4096,
     control: str = CONTROL,
     treatment: str = TREATMENT,
 ) -> DataFrame:
-    """95% interval of the difference of means from `b` Poisson resamples.
+    """95% interval of the difference of means from `b` Poisson resamples of the rows.
 
-    Rows fall into hash buckets whose sums are built once; the resamples then weigh
-    bucket sums, so the work per resample does not grow with the table. With fewer rows
-    than buckets this resamples single rows.
+    The weight of a row in a resample follows from a hash of its key and the resample's number, so
+    a retried task draws the same. Each task keeps two running sums per group and resample and sends
+    those on.
     """
-    x = F.col(metric).cast("double")
-    sums = (
-        df.filter(F.col(metric).isNotNull() & F.col(group).isin(control, treatment))
-        .groupBy(group, F.pmod(F.xxhash64(*key, F.lit(seed)), F.lit(buckets)).alias("bucket"))
-        .agg(F.sum(x).alias("s"), F.count(F.lit(1)).alias("n"))
+    rows = df.filter(F.col(metric).isNotNull() & F.col(group).isin(control, treatment)).select(
+        (F.col(group) == treatment).alias("treated"), F.col(metric).cast("double").alias("x"),
+        F.xxhash64(*key, F.lit(seed)).alias("h"),
     )
-    uniform = F.pmod(
-        F.xxhash64(F.col("bucket"), F.col(group), F.col("replicate"), F.lit(seed)),
-        F.lit(1 << 53),
-    ) / float(1 << 53)
-    weight = F.lit(len(_POISSON_CDF))
-    for k in range(len(_POISSON_CDF) - 1, -1, -1):
-        weight = F.when(F.col("u") < _POISSON_CDF[k], F.lit(k)).otherwise(weight)
-    draws = (
-        sums.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(b))))
-        .withColumn("u", uniform)
-        .withColumn("w", weight)
-        .filter(F.col("w") > 0)
+    sums = rows.mapInPandas(_resampled(b), "replicate int, s0 double, n0 double, s1 double, n1 double")
+    diffs = sums.groupBy("replicate").agg(
+        (ratio(F.sum("s1"), F.sum("n1")) - ratio(F.sum("s0"), F.sum("n0"))).alias("diff")
     )
-
-    def mean(who: str) -> Column:
-        mine = F.col(group) == who
-        return ratio(
-            F.sum(F.when(mine, F.col("w") * F.col("s"))), F.sum(F.when(mine, F.col("w") * F.col("n")))
-        )
-
-    diffs = draws.groupBy("replicate").agg((mean(treatment) - mean(control)).alias("diff"))
     # `b` rows are left, so the built-in exact percentile is small.
     return diffs.agg(
         F.count("diff").alias("replicates"),
@@ -160,7 +172,7 @@ def ab_bootstrap_ci(
 
 
 def ab_verdict(tests: DataFrame) -> DataFrame:
-    """Launch decision and wording for rows of `ab_ttest`."""
+    """Launch decision and wording for rows of `ab_ttest`; without a p-value there is no evidence."""
     p, change = F.col("p_value"), F.col("relative_change_percent")
     d = F.abs(F.col("effect_size_cohens_d"))
     return tests.withColumns(
@@ -175,10 +187,10 @@ def ab_verdict(tests: DataFrame) -> DataFrame:
             "effect_magnitude": F.when(d < 0.2, "Small effect")
             .when(d < 0.5, "Medium effect")
             .otherwise("Large effect"),
-            "recommendation": F.when(p >= 0.05, "Insufficient evidence to launch")
-            .when(change > 2, "Strong recommendation to launch")
-            .when(change > 0, "Moderate recommendation to launch")
-            .otherwise("Do not launch - negative impact"),
+            "recommendation": F.when((p < 0.05) & (change > 2), "Strong recommendation to launch")
+            .when((p < 0.05) & (change > 0), "Moderate recommendation to launch")
+            .when(p < 0.05, "Do not launch - negative impact")
+            .otherwise("Insufficient evidence to launch"),
         }
     )
 
@@ -377,12 +389,13 @@ def running_moments(
     step: int = fixed.SEQUENTIAL_STEP,
     bucket: int = _BLOCKS_PER_BUCKET,
 ) -> DataFrame:
-    """Per group, count, sum and sum of squares of its first 10, 20, 30, ... rows.
+    """Per group, count, sum and sum of squares of its first 10, 20, 30, ... rows with a metric.
 
     Rows are numbered in order and summed in blocks of `step`. Running sums are built
     inside buckets of blocks and then shifted by the buckets before, so no window holds
     a whole group. The metric is centred on its mean, which keeps the squares accurate.
     """
+    df = df.filter(F.col(metric).isNotNull())
     centre = df.agg(F.avg(F.col(metric).cast("double"))).scalar()
     ranked = rank_in_groups(df.select(group, *order, metric), [group], list(order), "row")
     x = F.col("x")
@@ -436,7 +449,8 @@ def sequential_looks(
     control: str = CONTROL,
     treatment: str = TREATMENT,
 ) -> DataFrame:
-    """One row per look: sample size per group, t and p over the first rows of each group."""
+    """One row per look: sample size per group, t and p over the first observed rows of each group."""
+    df = df.filter(F.col(metric).isNotNull())
     sizes = df.agg(
         F.least(F.count_if(F.col(group) == control), F.count_if(F.col(group) == treatment))
     ).scalar()
@@ -464,7 +478,7 @@ def sequential_test(
     treatment: str = TREATMENT,
 ) -> DataFrame:
     """One row: looks, corrected level, first look that passes it, last p."""
-    if df.limit(fixed.SEQUENTIAL_MIN_ROWS).count() < fixed.SEQUENTIAL_MIN_ROWS:
+    if df.filter(F.col(metric).isNotNull()).limit(fixed.SEQUENTIAL_MIN_ROWS).count() < fixed.SEQUENTIAL_MIN_ROWS:
         raise ValueError(f"a sequential test needs {fixed.SEQUENTIAL_MIN_ROWS} rows")
     looks = sequential_looks(df, group, metric, order, control=control, treatment=treatment)
     level = F.lit(fixed.ALPHA) / looks.agg(F.count(F.lit(1))).scalar()
@@ -485,14 +499,15 @@ def sequential_test(
 def assign_variants(
     df: DataFrame, key: str, segments: Sequence[str], ratios: Sequence[float], salt: str
 ) -> DataFrame:
-    """Adds `variant` by a salted hash of the key: stable, and no shuffle."""
+    """Adds `variant` by a salted 64-bit hash of the key: stable, and no shuffle."""
     if len(segments) != len(ratios):
         raise ValueError("segments and ratios differ in length")
     if abs(sum(ratios) - 1.0) > 1e-9:
         raise ValueError("ratios must sum to 1")
-    place = F.pmod(F.xxhash64(F.col(key), F.lit(salt)), F.lit(10_000))
-    out, upper = F.lit(segments[-1]), 1.0
-    for name, share in reversed(list(zip(segments[:-1], ratios[:-1]))):
-        upper -= ratios[segments.index(name) + 1]
-        out = F.when(place < round(upper * 10_000), F.lit(name)).otherwise(out)
+    place = F.xxhash64(F.col(key), F.lit(salt))
+    out = F.lit(segments[-1])
+    for i in range(len(segments) - 2, -1, -1):
+        # The hash runs from -2^63 to 2^63 - 1.
+        bound = min(2**63 - 1, int(math.fsum(ratios[: i + 1]) * 2.0**64) - 2**63)
+        out = F.when(place < bound, F.lit(segments[i])).otherwise(out)
     return df.withColumn("variant", out)

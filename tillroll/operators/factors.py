@@ -30,10 +30,13 @@ def dense_ids(df: DataFrame, key: str, name: str) -> DataFrame:
 
 
 def customer_product_factors(
-    tx: DataFrame, rank: int = 50, iters: int = 10, reg: float = 0.1, seed: int = fixed.SEED
+    tx: DataFrame, rank: int = 50, iters: int = 10, reg: float = 0.1, seed: int = fixed.SEED, blocks: int = 10
 ) -> Factors:
     """Alternating least squares on standardised revenue per customer and product.
 
+    `blocks` is the number of customer blocks and of product blocks; ratings are cut into its
+    square. For a large table take enough that a block's factors fit a task.
+
     Lines are reduced to (customer, product) pairs in one pass and stored; keys, scale and
     ratings all come from the pairs. One pair in five is left for the error.
     """
@@ -59,8 +62,6 @@ def customer_product_factors(
         .join(customers, "Customer_ID")
         .join(products, "StockCode")
     )
-    # As many blocks as the rated pairs have partitions, so that the fit grows with the data.
-    blocks = max(10, rated.rdd.getNumPartitions())
     als = ALS(
         rank=rank, maxIter=iters, regParam=reg, numUserBlocks=blocks, numItemBlocks=blocks,
         userCol="user", itemCol="item", ratingCol="rating", coldStartStrategy="drop", seed=seed,

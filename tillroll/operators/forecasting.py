@@ -174,15 +174,17 @@ def ts_ml_models(
     recent: int = 30,
     seed: int = fixed.SEED,
 ) -> Forecast:
-    """Three models: errors over expanding folds, and on the last days by a fit without them.
+    """Three models: errors over expanding folds, and on the last `recent` days by a fit without them.
 
-    The returned models are fitted on all days.
+    The returned models are fitted on all days. A series needs twice `recent` days with features.
     """
     spark = series.sparkSession
     clean, features = series_features(series, value)
     data = durable(assemble(time_folds(clean, "Date", folds), features).select("Date", value, "fold", "features"))
     ends = data.agg(F.max("Date").alias("b"), F.count(F.lit(1)).alias("n")).first()
-    cut = F.date_sub(F.lit(ends["b"]), min(recent, ends["n"] // 4))
+    if ends["n"] < 2 * recent:
+        raise ValueError(f"{ends['n']} days with features; {2 * recent} are needed to hold out {recent}")
+    cut = F.date_sub(F.lit(ends["b"]), recent)
     rows, models, weights = [], {}, {}
     for name, estimator in _estimators(value, trees, iters, seed).items():
         errors = []
@@ -328,7 +330,10 @@ def holt_winters(
     key: str = "series",
     horizon: int = 30,
 ) -> DataFrame:
-    """Additive trend and season per series: constants, errors on the last days, forecast."""
+    """Additive trend and season per series: constants, errors on the last days, forecast.
+
+    A series with fewer than two periods to train on has nulls and its `train_rows`.
+    """
     schema = (
         f"{key} string, alpha double, beta double, gamma double, aic double, bic double, "
         "rmse double, mse double, mae double, train_rows int, forecast array<double>"
@@ -338,7 +343,7 @@ def holt_winters(
         x = pdf.sort_values("Date")["x"].to_numpy(dtype=float)
         cut = int(len(x) * train_frac)
         if cut < 2 * period:
-            return pd.DataFrame(columns=[c.split()[0] for c in schema.split(", ")])
+            return _unfitted(schema, key, pdf, cut)
         ahead, sse, (a, b, g) = _smooth(x[:cut], period, len(x) - cut)
         aic, bic = _criteria(sse, cut, 4 + period)
         row = {key: pdf[key].iloc[0], "alpha": a, "beta": b, "gamma": g, "aic": aic, "bic": bic}
@@ -349,6 +354,11 @@ def holt_winters(
     return slim.groupBy(key).applyInPandas(fit, schema)
 
 
+def _unfitted(schema: str, key: str, pdf: pd.DataFrame, train_rows: int) -> pd.DataFrame:
+    row = dict.fromkeys([c.split()[0] for c in schema.split(", ")])
+    return pd.DataFrame([row | {key: pdf[key].iloc[0], "train_rows": train_rows}])
+
+
 def _lagged(x: np.ndarray, count: int, start: int) -> list[np.ndarray]:
     return [x[start - k : len(x) - k] for k in range(1, count + 1)]
 
@@ -358,7 +368,7 @@ def _arma(z: np.ndarray, p: int, q: int):
     residual = np.zeros(len(z))
     long = 0
     if q:
-        long = min(max(2 * (p + q), 7), len(z) // 4)
+        long = max(2 * (p + q), 7)
         design = np.column_stack([np.ones(len(z) - long), *_lagged(z, long, long)])
         beta = np.linalg.lstsq(design, z[long:], rcond=None)[0]
         residual[long:] = z[long:] - design @ beta
@@ -393,7 +403,10 @@ def ar_grid(
     train_frac: float = 0.8,
     key: str = "series",
 ) -> DataFrame:
-    """Order of lowest AIC per series by least squares, with errors on the last days."""
+    """Order of lowest AIC per series by least squares, with errors on the last days.
+
+    A series too short for every order has nulls and its `train_rows`.
+    """
     schema = (
         f"{key} string, p int, d int, q int, aic double, bic double, rmse double, mse double, "
         "mae double, train_rows int, forecast array<double>"
@@ -407,7 +420,7 @@ def ar_grid(
             z = np.diff(x[:cut], d)
             for p in ps:
                 for q in qs:
-                    if len(z) < 20 + 4 * (p + q):
+                    if len(z) < max(20 + 4 * (p + q), 4 * max(2 * (p + q), 7) if q else 0):
                         continue
                     beta, residual, sse, n = _arma(z, p, q)
                     # Compared per row, because orders use different numbers of rows.
@@ -415,7 +428,7 @@ def ar_grid(
                     if best is None or aic / n < best[0]:
                         best = (aic / n, aic, bic, p, d, q, z, beta, residual)
         if best is None:
-            return pd.DataFrame(columns=[c.split()[0] for c in schema.split(", ")])
+            return _unfitted(schema, key, pdf, cut)
         _, aic, bic, p, d, q, z, beta, residual = best
         ahead = _ahead(z, residual, beta, p, q, len(x) - cut)
         if d:

@@ -18,19 +18,36 @@ from tillroll.operators.learning import (
     Fitted, area_under_roc, assemble, cross_validate, importances, metric_rows, regression,
     with_fold,
 )
-from tillroll.operators.ordering import durable
+from tillroll.operators.ordering import durable, rank_in_groups
 from tillroll.operators.rfm import fill_median, with_risk_band
 
 # One row in five is a test row.
 _PARTS = 5
 
 
-def _prepared(df: DataFrame, features: Sequence[str], label: str, folds: int, seed: int) -> DataFrame:
-    """Median-filled vectors with a test part and a cross-validation fold."""
+def _stratified(df: DataFrame, key: Sequence[str], folds: int, seed: int) -> DataFrame:
+    """Adds test part and fold by the row's place among those of its label, in order of a key hash.
+
+    Every part and every fold then holds each label in its share of the table, to within a row.
+    """
+    placed = rank_in_groups(df.withColumn("_h", F.xxhash64(*key, F.lit(seed))), ["label"], ["_h", *key], "_place")
+    place = F.col("_place") - 1
+    return placed.withColumns(
+        {"part": (place % _PARTS).cast("int"), "fold": (F.floor(place / _PARTS) % folds).cast("int")}
+    ).drop("_h", "_place")
+
+
+def _prepared(
+    df: DataFrame, features: Sequence[str], label: str, folds: int, seed: int, classes: bool = False
+) -> DataFrame:
+    """Median-filled vectors with a test part and a cross-validation fold, by class if the label is one."""
     slim = df.select("Customer_ID", F.col(label).cast("double").alias("label"), *features)
-    vectors = assemble(fill_median(slim, features), features).select("Customer_ID", "label", "features")
-    split = with_fold(vectors, ["Customer_ID"], _PARTS, seed, "part")
-    return durable(with_fold(split, ["Customer_ID"], folds, seed + 1, "fold"))
+    filled = fill_median(slim, features)
+    if classes:
+        split = _stratified(filled, ["Customer_ID"], folds, seed)
+    else:
+        split = with_fold(with_fold(filled, ["Customer_ID"], _PARTS, seed, "part"), ["Customer_ID"], folds, seed + 1, "fold")
+    return durable(assemble(split, features).select("Customer_ID", "label", "features", "part", "fold"))
 
 
 def clv_model(
@@ -102,10 +119,10 @@ def churn_model(
 ) -> Fitted:
     """Boosted trees on `Is_Churned`; adds probability and risk band.
 
-    The test part is split per class by key hash, so both classes are in it.
+    Test part and folds are dealt out per class, so both classes are in each.
     """
     spark = df.sparkSession
-    data = _prepared(df, features, "Is_Churned", folds, seed)
+    data = _prepared(df, features, "Is_Churned", folds, seed, classes=True)
     if data.select("label").distinct().limit(2).count() < 2:
         raise ValueError("churn labels have one class only")
     boosted = GBTClassifier(labelCol="label", maxIter=iters, maxDepth=3, stepSize=0.1, seed=seed)
@@ -155,7 +172,7 @@ def churn_mlp(
         "Customer_ID", "Country", F.col("Is_Churned").cast("double").alias("label"),
         *[F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f) for f in features],
     )
-    data = durable(with_fold(slim, ["Customer_ID", "Country"], _PARTS, seed, "part"))
+    data = durable(_stratified(slim, ["Customer_ID", "Country"], 1, seed))
     net = MultilayerPerceptronClassifier(
         featuresCol="scaled", labelCol="label", layers=[len(features), *hidden, 2], maxIter=iters, seed=seed
     )

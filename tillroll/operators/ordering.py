@@ -9,7 +9,7 @@ in the order key, so a hot leading value spreads over many partitions.
 
 from __future__ import annotations
 
-import tempfile
+import math
 import uuid
 from collections.abc import Sequence
 
@@ -18,15 +18,11 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder: the one the session names, or a local one in a local session."""
+    """The folder named by spark.checkpoint.dir; where that is unset, one in the warehouse."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-            folder = tempfile.mkdtemp(prefix="tillroll-checkpoint-")
-        context.setCheckpointDir(folder)
+        warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"{warehouse}/_stored")
     return context.getCheckpointDir()
 
 
@@ -42,13 +38,21 @@ def durable(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of one range of a large table, about; of a small one, of which the shuffle setting makes fewer ranges.
+RANGE_ROWS, SMALL_RANGE_ROWS = 1_000_000, 10_000
+
+
 def _placed(df: DataFrame, order: Sequence[str]) -> DataFrame:
     """Adds `_part` and `_pos` (from 1): the row's place in the sorted table.
 
-    The number of partitions follows the data: Spark starts from its shuffle setting and
-    merges neighbouring small ranges at run time.
+    The rows are stored before they are sorted, so that finding the range bounds does not compute
+    them a second time, and the number of ranges grows with theirs beyond the shuffle setting.
     """
-    laid = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    kept = durable(df)
+    rows = kept.count()
+    setting = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = max(1, math.ceil(rows / RANGE_ROWS), min(setting, math.ceil(rows / SMALL_RANGE_ROWS)))
+    laid = kept.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
     # The id holds the partition number above bit 33 and the row's position below it.
     # It is written with the rows, so that a later read cannot number them anew.
     return (

@@ -89,8 +89,8 @@ def _tag(alpha: float) -> str:
 
 
 def _discounted(values: Column, keep: float) -> Column:
-    """The last value plus `keep` times the one before, and so on."""
-    return F.aggregate(values, F.lit(0.0), lambda acc, x: acc * keep + x)
+    """The last value plus `keep` times the one before, and so on; a null counts as 0 in its place."""
+    return F.aggregate(values, F.lit(0.0), lambda acc, x: acc * keep + F.coalesce(x["v"], F.lit(0.0)))
 
 
 def ewm(
@@ -102,18 +102,18 @@ def ewm(
 ) -> DataFrame:
     """Exponentially weighted mean with weights (1-a)^i scaled to sum to one.
 
-    Weights below 1e-17 cannot change a double, which bounds the frame.
+    A null has no weight but keeps its place, so what lies before it fades as much. Weights below 1e-17 cannot change a double, which bounds the frame.
     """
     made = {}
     for a in alphas:
         keep = 1.0 - a
         rows = math.ceil(math.log(1e-17) / math.log(keep))
-        frame = F.collect_list(F.col(value).cast("double")).over(
-            _over(order, series).rowsBetween(-rows, 0)
-        )
-        made[f"{value}_ewm_{_tag(a)}"] = (
-            _discounted(frame, keep) * a / (1 - F.pow(F.lit(keep), F.size(frame)))
-        )
+        x = F.col(value).cast("double")
+        over = _over(order, series).rowsBetween(-rows, 0)
+        # Structs, because collected lists leave nulls out.
+        frame = F.collect_list(F.struct(x.alias("v"))).over(over)
+        there = F.collect_list(F.struct(x.isNotNull().cast("double").alias("v"))).over(over)
+        made[f"{value}_ewm_{_tag(a)}"] = F.try_divide(_discounted(frame, keep), _discounted(there, keep))
     return df.withColumns(made)
 
 
@@ -151,16 +151,20 @@ def lag_features(df: DataFrame, value: str, order: str, series: str | None = Non
 def decompose(
     df: DataFrame, value: str, order: str, period: int = fixed.SEASON, series: str | None = None
 ) -> DataFrame:
-    """Additive trend, season and residual for an odd period.
+    """Additive trend, season and residual.
 
-    The trend is a centred mean over one period; the season is the mean detrended value
-    per place in the period, shifted to sum to zero.
+    The trend is a centred mean over one period, its two ends weighing half each if the period
+    is even; the season is the mean detrended value per place in the period, shifted to sum to zero.
     """
     half = period // 2
     key = [series] if series else []
     x = F.col(value).cast("double")
     around = _over(order, series).rowsBetween(-half, half)
-    trend = F.when(F.count(value).over(around) == period, F.sum(value).over(around).cast("double") / period)
+    total = F.sum(value).over(around).cast("double")
+    if period % 2 == 0:
+        ends = F.lag(x, half).over(_over(order, series)) + F.lead(x, half).over(_over(order, series))
+        total = total - ends / 2
+    trend = F.when(F.count(value).over(around) == 2 * half + 1, total / period)
     base = df.withColumns({"_t": F.row_number().over(_over(order, series)) - 1, "trend": trend})
     base = base.withColumns({"_place": F.col("_t") % period, "_detrended": x - F.col("trend")})
     per_place = Window.partitionBy(*key, "_place")
@@ -297,20 +301,21 @@ def sequences(
     order: Sequence[str],
     length: int = 5,
     min_rows: int = 10,
-    top: int = 100,
+    top: int | None = None,
     block: int = _BLOCK,
 ) -> DataFrame:
-    """The `length` values before each row, for the `top` keys with enough rows.
+    """The `length` values before each row, for all keys with enough rows, or the `top` ones.
 
-    A key's rows are numbered in order and cut into blocks; each block also receives
-    the last rows of the block before it, so a hot key is spread over many tasks and
-    every window is still whole.
+    A key's rows are numbered in order and cut into blocks, of `length` rows at least; each block
+    also receives the last rows of the block before it, so a hot key is spread over many
+    tasks and every window is still whole.
     """
-    keys = (
-        value_counts(tx, key).filter(F.col("n") >= min_rows).limit(top).select(key)
-    )
+    block = max(block, length)
+    keys = value_counts(tx, key).filter(F.col("n") >= min_rows)
+    if top is not None:
+        keys = keys.limit(top)
     rows = rank_in_groups(
-        tx.join(F.broadcast(keys), key).select(key, *[c for c in order if c != key], value),
+        tx.join(keys.select(key), key).select(key, *[c for c in order if c != key], value),
         [key], list(order), "row",
     )
     at = F.floor((F.col("row") - 1) / block).cast("long")

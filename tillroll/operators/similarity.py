@@ -1,7 +1,8 @@
-"""Exact cosine top-k of a few query vectors against a large table of vectors."""
+"""Exact cosine top-k of a table of query vectors against a table of vectors."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -9,47 +10,37 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-# Query vectors per pass: what one task holds besides its own batch of vectors.
-_QUERIES_PER_PASS = 512
-
-
-def _best_of(queries: list, vector: str, vector_id: str, k: int, skip_self: bool):
-    ids = [q[0] for q in queries]
-    matrix = np.array([q[1] for q in queries], dtype=float)
-    norm = np.linalg.norm(matrix, axis=1, keepdims=True)
-    matrix = np.divide(matrix, norm, out=np.zeros_like(matrix), where=norm > 0)
-
-    def scan(batches):
-        best = pd.DataFrame()
-        for batch in batches:
-            batch = batch[batch[vector].notna()]
-            if batch.empty:
-                continue
-            v = np.stack(batch[vector].to_numpy()).astype(float)
-            size = np.linalg.norm(v, axis=1, keepdims=True)
-            v = np.divide(v, size, out=np.zeros_like(v), where=size > 0)
-            similarity = v @ matrix.T
-            found = batch[vector_id].to_numpy()
-            parts = [best]
-            for j, q in enumerate(ids):
-                s = similarity[:, j]
+#: Vectors and queries of which one task holds a block each.
+BLOCK_VECTORS, BLOCK_QUERIES = 16_384, 2_048
+_CHUNK = 128
+
+
+def _unit(column: pd.Series) -> np.ndarray:
+    v = np.stack(column.to_numpy()).astype(float)
+    size = np.linalg.norm(v, axis=1, keepdims=True)
+    return np.divide(v, size, out=np.zeros_like(v), where=size > 0)
+
+
+def _best_of(k: int, skip_self: bool):
+    """The k best vectors of a block for each query of a block, ties at the k-th place by id."""
+
+    def scan(vectors: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
+        parts = [pd.DataFrame({"query_id": queries["query_id"][:0], "vector_id": vectors["vector_id"][:0], "similarity": np.zeros(0)})]
+        if len(vectors) and len(queries):
+            vectors = vectors.sort_values("vector_id")
+            v, found = _unit(vectors["vector"]), vectors["vector_id"].to_numpy()
+            q, ids = _unit(queries["vector"]), queries["query_id"].to_numpy()
+            for at in range(0, len(q), _CHUNK):
+                similarity, own = q[at : at + _CHUNK] @ v.T, ids[at : at + _CHUNK]
                 if skip_self:
-                    s = np.where(found == q, -np.inf, s)
-                # Ties at the k-th place all stay; the final ranking settles them.
-                if len(s) > k:
-                    keep = np.flatnonzero(s >= np.partition(s, -k)[-k])
-                else:
-                    keep = np.arange(len(s))
-                keep = keep[np.isfinite(s[keep])]
-                parts.append(pd.DataFrame({"query_id": q, "vector_id": found[keep], "similarity": s[keep]}))
-            best = (
-                pd.concat([p for p in parts if len(p)] or [best])
-                .sort_values(["query_id", "similarity", "vector_id"], ascending=[True, False, True])
-                .groupby("query_id", sort=False)
-                .head(k)
-            )
-        if len(best):
-            yield best
+                    similarity = np.where(own[:, None] == found[None, :], -np.inf, similarity)
+                order = np.argsort(-similarity, axis=1, kind="stable")[:, :k]
+                best = np.take_along_axis(similarity, order, axis=1)
+                row, place = np.nonzero(np.isfinite(best))
+                parts.append(
+                    pd.DataFrame({"query_id": own[row], "vector_id": found[order[row, place]], "similarity": best[row, place]})
+                )
+        return pd.concat([p for p in parts if len(p)] or parts[:1])
 
     return scan
 
@@ -65,32 +56,33 @@ def cosine_topk(
 ) -> DataFrame:
     """`query_id, vector_id, similarity, place` of the k nearest vectors of each query.
 
-    Query ids are unique. Each task scores its vectors against all queries of a pass and
-    keeps k rows per query, so only tasks x queries x k rows are shuffled. More queries
-    than one pass holds take further passes over the vectors.
+    Query ids are unique. Both sides stay tables: they are cut into blocks by a hash of their id,
+    every block of queries meets every block of vectors in a task of its own, and k rows per query
+    and block go on to the ranking.
     """
     id_type = vectors.schema[vector_id].dataType.simpleString()
-    schema = f"query_id {id_type}, vector_id {id_type}, similarity double"
-    slim = vectors.select(vector_id, vector)
-    wanted = queries.select(query_id, vector).filter(F.col(vector).isNotNull())
-    out = None
-    while True:
-        block = wanted.orderBy(query_id).limit(_QUERIES_PER_PASS).collect()
-        found = (
-            slim.mapInPandas(_best_of(block, vector, vector_id, k, skip_self), schema)
-            if block
-            else vectors.sparkSession.createDataFrame([], schema)
+    slim = vectors.select(F.col(vector_id).alias("vector_id"), F.col(vector).alias("vector")).filter("vector IS NOT NULL")
+    wanted = queries.select(F.col(query_id).alias("query_id"), F.col(vector).alias("vector")).filter("vector IS NOT NULL")
+    stripes = max(1, math.ceil(slim.count() / BLOCK_VECTORS))
+    blocks = max(1, math.ceil(wanted.count() / BLOCK_QUERIES))
+
+    def dealt(df: DataFrame, key: str, mine: str, parts: int, other: str, copies: int) -> DataFrame:
+        return df.withColumn(mine, F.pmod(F.xxhash64(key), F.lit(parts))).withColumn(
+            other, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(copies - 1).cast("long")))
         )
-        out = found if out is None else out.unionByName(found)
-        if len(block) < _QUERIES_PER_PASS:
-            break
-        wanted = wanted.filter(F.col(query_id) > block[-1][0])
+
+    left = dealt(slim, "vector_id", "_stripe", stripes, "_block", blocks)
+    right = dealt(wanted, "query_id", "_block", blocks, "_stripe", stripes)
+    right = right.toDF(*right.columns)
+    grid = ("_stripe", "_block")
+    out = left.groupBy(*grid).cogroup(right.groupBy(*grid)).applyInPandas(
+        _best_of(k, skip_self), f"query_id {id_type}, vector_id {id_type}, similarity double"
+    )
     w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vector_id")
     return out.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k)
 
 
 def with_details(hits: DataFrame, vectors: DataFrame, vector_id: str, cols: Sequence[str]) -> DataFrame:
     """Adds columns of the found vectors and the similarity in percent."""
-    return hits.join(
-        vectors.select(F.col(vector_id).alias("vector_id"), *cols), "vector_id"
-    ).withColumn("relevance_pct", F.round(F.col("similarity") * 100, 1))
+    found = vectors.select(F.col(vector_id).alias("vector_id"), *cols)
+    return found.join(hits, "vector_id").withColumn("relevance_pct", F.round(F.col("similarity") * 100, 1))

@@ -237,18 +237,25 @@ add(
         UNION ALL SELECT 'product_performance', (count(*) + 49) // 50 FROM products)
       SELECT * FROM n UNION ALL SELECT 'total', CAST(sum(chunks) AS BIGINT) FROM n"""),
 )
+
+
+def _all_chunks(t: StarTables):
+    """Chunks of the fact, the customers and the products."""
+    catalog = {
+        "retail_transactions_processed": t.tx, "customer_analysis": t.customers, "product_performance": t.products,
+    }
+    return durable(CH.build_chunks(catalog, star.LINE_ORDER))
+
+
 add(
     "embed_chunks",
-    lambda t: CH.embed_chunks(
-        CH.customer_chunks(t.customers, [F.desc("Total_Spent"), "Customer_ID", "Country"])
-        .select("chunk_type", "chunk_id", "content", "metadata"), 256
-    ).select("chunk_id", F.size("embedding").alias("dims")),
+    lambda t: CH.embed_chunks(_all_chunks(t)).select("chunk_type", "chunk_id", F.size("embedding").alias("dims")),
 )
 
 
 def _search(t: StarTables):
-    chunks = durable(CH.build_chunks({"customer_analysis": t.customers, "product_performance": t.products}, ()))
-    model = CH.embedder(256).fit(chunks)
+    chunks = _all_chunks(t)
+    model = CH.embedder().fit(chunks)
     embedded = CH.apply_embedder(model, chunks)
     return CH.search_chunks(model, embedded, "top product revenue range", 5, ["product_performance"])
 

@@ -1,7 +1,7 @@
 """Registered queries: clusters, value and churn models, forecasts and factors.
 
-Tree counts and iterations are smaller than the operators' defaults, to keep the
-registered run short; all of the data is used.
+Every model is fitted with its operator's defaults. Queries that show different sides of one fit
+share it: a session fits each model of a table once and keeps its stored rows.
 """
 
 from __future__ import annotations
@@ -24,6 +24,19 @@ from tillroll.plans.queries_series import days
 from tillroll.plans.star_tables import StarTables
 
 QUERIES = {}
+_FITS: dict = {}
+
+
+def forget() -> None:
+    """Fits anew from here on."""
+    _FITS.clear()
+
+
+def _once(t: StarTables, name: str, fit):
+    key = (t.spark.sparkContext.applicationId, t.sf_dir, name)
+    if key not in _FITS:
+        _FITS[key] = fit()
+    return _FITS[key]
 
 
 def add(name: str, build, sql: str | None = None) -> None:
@@ -35,11 +48,19 @@ def _lines(t: StarTables):
     return R.rfm_lines(t.tx).filter(F.col("Customer_ID").isNotNull())
 
 
-add("kmeans_segments", lambda t: CL.kmeans_segments(_lines(t)).segmented.select("Customer_ID", "Segment"))
-add("kmeans_centers", lambda t: CL.kmeans_segments(_lines(t)).centers)
-add("segment_stats", lambda t: CL.segment_stats(CL.kmeans_segments(_lines(t)).segmented))
-add("tune_kmeans", lambda t: CL.tune_kmeans(_lines(t), ks=(4, 6, 8), seeds=(42, 123)))
-add("cluster_sweep", lambda t: CL.cluster_sweep(features(t), ks=(2, 4, 6)).centers)
+def _kmeans(t: StarTables):
+    return _once(t, "kmeans", lambda: CL.kmeans_segments(_lines(t)))
+
+
+def _sweep(t: StarTables):
+    return _once(t, "sweep", lambda: CL.cluster_sweep(features(t)))
+
+
+add("kmeans_segments", lambda t: _kmeans(t).segmented.select("Customer_ID", "Segment"))
+add("kmeans_centers", lambda t: _kmeans(t).centers)
+add("segment_stats", lambda t: CL.segment_stats(_kmeans(t).segmented))
+add("tune_kmeans", lambda t: CL.tune_kmeans(_lines(t)))
+add("cluster_sweep", lambda t: _sweep(t).centers)
 
 
 def _features_sql(table: str) -> str:
@@ -62,12 +83,18 @@ add(
 )
 add(
     "ml_cluster_profiles",
-    lambda t: CL.cluster_profiles(CL.cluster_sweep(features(t), ks=(3, 4)).segmented),
+    lambda t: CL.cluster_profiles(_sweep(t).segmented),
 )
 
 
 def _clv(t: StarTables):
-    return LT.clv_model(features(t), trees=20, folds=3)
+    """Predictions on the scored customers, so that the table of all models can be built on them."""
+
+    def fit():
+        fitted = LT.clv_model(scored(t))
+        return fitted._replace(predictions=durable(fitted.predictions))
+
+    return _once(t, "clv", fit)
 
 
 add("clv_model", lambda t: _clv(t).predictions.select("Customer_ID", "Monetary", "Predicted_CLV"))
@@ -75,23 +102,25 @@ add("clv_metrics", lambda t: _clv(t).metrics)
 add("clv_importances", lambda t: _clv(t).importances)
 
 
-def _churn(t: StarTables, base=None):
-    return LT.churn_model(R.churn_labels(base if base is not None else features(t)), iters=5, folds=2)
+def _churn(t: StarTables):
+    def fit():
+        fitted = LT.churn_model(R.churn_labels(_clv(t).predictions))
+        return fitted._replace(predictions=durable(fitted.predictions))
+
+    return _once(t, "churn", fit)
 
 
 add("churn_model", lambda t: _churn(t).predictions.select("Customer_ID", "Is_Churned", "Churn_Probability", "Churn_Risk"))
 add("churn_metrics", lambda t: _churn(t).metrics)
 add(
     "churn_mlp",
-    lambda t: LT.churn_mlp(R.churn_labels_quantile(t.customers, t.tx), hidden=(16, 8), iters=30).metrics,
+    lambda t: LT.churn_mlp(R.churn_labels_quantile(t.customers, t.tx)).metrics,
 )
 
 
 def _segmented(t: StarTables):
     """Scores, clusters, predicted value and churn risk in one customer table."""
-    base = LT.clv_model(scored(t), trees=10, folds=2).predictions
-    risky = _churn(t, base).predictions
-    return CL.cluster_sweep(risky, ks=(3, 4)).segmented
+    return _once(t, "segmented", lambda: CL.cluster_sweep(_churn(t).predictions).segmented)
 
 
 add("ml_cluster_summary", lambda t: R.ml_cluster_summary(_segmented(t)))
@@ -99,7 +128,7 @@ add("customer_segments", lambda t: _segmented(t).drop("Churn_Rule"))
 
 
 def _week(t: StarTables):
-    return FO.forecast_models(t.daily, trees=10)
+    return _once(t, "week", lambda: FO.forecast_models(t.daily))
 
 
 add("forecast_models", lambda t: _week(t).metrics)
@@ -128,22 +157,21 @@ add(
 )
 
 
-def _ts(history):
-    return FO.ts_ml_models(history, trees=10, iters=5)
+def _history(t: StarTables):
+    """One row per day, read many times by fits and future rows."""
+    return _once(t, "history", lambda: durable(days(t).select("Date", "Daily_Revenue")))
 
 
-add("ts_ml_models", lambda t: _ts(_history(t)).metrics)
-add("best_model", lambda t: best_model(_ts(_history(t)).metrics))
+def _ts(t: StarTables):
+    return _once(t, "ts", lambda: FO.ts_ml_models(_history(t)))
 
 
-def _history(t: StarTables):
-    """One row per day, read many times by fits and future rows."""
-    return durable(days(t).select("Date", "Daily_Revenue"))
+add("ts_ml_models", lambda t: _ts(t).metrics)
+add("best_model", lambda t: best_model(_ts(t).metrics))
 
 
 def _future(t: StarTables):
-    history = _history(t)
-    return FO.forecast_future(history, _ts(history))
+    return FO.forecast_future(_history(t), _ts(t))
 
 
 add("forecast_future", _future)
@@ -151,18 +179,14 @@ add("forecast_totals", lambda t: FO.forecast_totals(_future(t)))
 
 
 def _insights(t: StarTables):
-    history = _history(t)
-    fitted = _ts(history)
-    return FO.forecast_insights(
-        FO.forecast_future(history, fitted), S.series_performance(history), best_model(fitted.metrics)
-    )
+    return FO.forecast_insights(_future(t), S.series_performance(_history(t)), best_model(_ts(t).metrics))
 
 
 add("forecast_insights", _insights)
 
 
 def _factors(t: StarTables):
-    return FA.customer_product_factors(t.tx, rank=10, iters=5)
+    return _once(t, "factors", lambda: FA.customer_product_factors(t.tx))
 
 
 add("customer_product_factors", lambda t: _factors(t).metrics)

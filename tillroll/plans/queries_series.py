@@ -250,11 +250,10 @@ add(
 )
 add(
     "sequences",
-    lambda t: S.sequences(t.tx, "Customer_ID", "Revenue", star.LINE_ORDER, block=16).withColumn(
+    lambda t: S.sequences(t.tx, "Customer_ID", "Revenue", star.LINE_ORDER).withColumn(
         "sequence", F.concat_ws(",", F.col("sequence").cast("array<string>"))
     ),
-    with_(TX, """, k AS (SELECT Customer_ID FROM tx WHERE Customer_ID IS NOT NULL GROUP BY 1 HAVING count(*) >= 10
-        ORDER BY count(*) DESC, 1 LIMIT 100),
+    with_(TX, """, k AS (SELECT Customer_ID FROM tx WHERE Customer_ID IS NOT NULL GROUP BY 1 HAVING count(*) >= 10),
       r AS (SELECT Customer_ID, Revenue, row_number() OVER (PARTITION BY Customer_ID
         ORDER BY InvoiceDate, Invoice, StockCode, Quantity, Price) AS "row" FROM tx JOIN k USING (Customer_ID)),
       s AS (SELECT Customer_ID, "row", Revenue, list(CAST(Revenue AS VARCHAR)) OVER (PARTITION BY Customer_ID

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 
 from tillroll.functions.columns import rounded
-from tillroll.operators.ordering import durable
 
 
 def save_tables(
@@ -17,11 +17,13 @@ def save_tables(
     digits: int | None = None,
     partition_by: Mapping[str, Sequence[str]] | None = None,
 ) -> list[str]:
-    """Write each table that has rows to `folder/name`; the names written come back."""
+    """Write each table to `folder/name`, over what an earlier run left there.
+
+    The names of the tables that have rows come back. Whether there are any is read from what was
+    written, so no table is computed twice.
+    """
     written = []
     for name, df in tables.items():
-        if df.isEmpty():
-            continue
         out = df if digits is None else rounded(df, digits)
         writer = out.write.mode("overwrite").format(fmt)
         if fmt == "csv":
@@ -29,7 +31,9 @@ def save_tables(
         if partition_by and name in partition_by:
             writer = writer.partitionBy(*partition_by[name])
         writer.save(f"{folder}/{name}")
-        written.append(name)
+        reader = df.sparkSession.read.schema(out.schema)
+        if not reader.option("header", fmt == "csv").format(fmt).load(f"{folder}/{name}").isEmpty():
+            written.append(name)
     return written
 
 
@@ -55,6 +59,17 @@ def save_model(model, path: str) -> None:
 def save_chunks(chunks: DataFrame, path: str) -> None:
     """Store chunks by type, so that a search of some types reads only those.
 
-    The rows are stored elsewhere first, because a merge reads the folder it replaces.
+    The rows are written beside the store first, because a merge reads the folder it replaces. Then
+    the folders change places, so a failure on the way leaves one whole store.
     """
-    durable(chunks).write.mode("overwrite").partitionBy("chunk_type").parquet(path)
+    spark = chunks.sparkSession
+    files = spark._jvm.org.apache.hadoop.fs
+    fresh, old = f"{path.rstrip('/')}-new-{uuid.uuid4()}", f"{path.rstrip('/')}-old-{uuid.uuid4()}"
+    chunks.write.partitionBy("chunk_type").parquet(fresh)
+    target = files.Path(path)
+    system = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    if system.exists(target) and not system.rename(target, files.Path(old)):
+        raise OSError(f"cannot move {path}")
+    if not system.rename(files.Path(fresh), target):
+        raise OSError(f"cannot move {fresh}")
+    system.delete(files.Path(old), True)

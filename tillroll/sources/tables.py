@@ -21,8 +21,8 @@ def read_table(
     """Parquet, ORC, JSON or header CSV; CSV and JSON need a schema.
 
     Whole numbers in CSV may be written with a fraction of zero, as tools do that hold a
-    column with gaps in floating point: `13085.0` reads as 13085. Quotes inside a quoted
-    CSV field are doubled.
+    column with gaps in floating point: `13085.0` reads as 13085; with any other fraction a
+    cell is null, as if it were no number. Quotes inside a quoted CSV field are doubled.
     """
     if fmt in ("csv", "json") and schema is None:
         raise ValueError(f"{fmt} needs an explicit schema")
@@ -39,7 +39,7 @@ def read_table(
     df = spark.read.schema(text).option("header", True).option("escape", '"').csv(path)
     return df.select(
         *[
-            F.col(f"`{f.name}`").try_cast("decimal(38,6)").cast(f.dataType).alias(f.name)
+            _whole(F.col(f"`{f.name}`")).try_cast(f.dataType).alias(f.name)
             if isinstance(f.dataType, T.IntegralType)
             else F.col(f"`{f.name}`")
             for f in schema.fields
@@ -47,6 +47,12 @@ def read_table(
     )
 
 
+def _whole(text):
+    """The text as a decimal, null unless it is a whole number."""
+    exact = text.try_cast("decimal(38,18)")
+    return F.when(exact == F.floor(exact), exact)
+
+
 def load_catalog(
     spark: SparkSession,
     folder: str,
