@@ -7,12 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tillroll.plans import (
-    queries_customers, queries_experiments, queries_models, queries_series, queries_tables,
+    queries_customers, queries_experiments, queries_models, queries_series, queries_sources, queries_tables,
 )
 from tillroll.plans.present import present
 from tillroll.plans.star_tables import StarTables
 
-_MODULES = (queries_tables, queries_customers, queries_series, queries_experiments, queries_models)
+_MODULES = (queries_tables, queries_customers, queries_series, queries_experiments, queries_models, queries_sources)
 
 
 def _all() -> dict:
