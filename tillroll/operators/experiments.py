@@ -477,13 +477,17 @@ def sequential_test(
     control: str = CONTROL,
     treatment: str = TREATMENT,
 ) -> DataFrame:
-    """One row: looks, corrected level, first look that passes it, last p."""
+    """One row: rows in the smaller group, looks, corrected level, first look that passes it, last p."""
     if df.filter(F.col(metric).isNotNull()).limit(fixed.SEQUENTIAL_MIN_ROWS).count() < fixed.SEQUENTIAL_MIN_ROWS:
         raise ValueError(f"a sequential test needs {fixed.SEQUENTIAL_MIN_ROWS} rows")
     looks = sequential_looks(df, group, metric, order, control=control, treatment=treatment)
     level = F.lit(fixed.ALPHA) / looks.agg(F.count(F.lit(1))).scalar()
+    observed = df.filter(F.col(metric).isNotNull()).agg(
+        F.least(F.count_if(F.col(group) == control), F.count_if(F.col(group) == treatment))
+    )
     judged = looks.withColumn("_level", level)
     return judged.agg(
+        F.max(observed.scalar()).alias("total_samples_available"),
         F.count(F.lit(1)).alias("tests_performed"),
         F.max("_level").alias("alpha_spent_per_test"),
         F.min(F.when(F.col("p_value") < F.col("_level"), F.col("sample_size"))).alias("early_stopping_point"),

@@ -38,26 +38,40 @@ w AS (SELECT c.n AS n1, c.m AS m1, c.sd AS sd1, c.v AS v1, c.med AS med1, t.n AS
 tt AS (SELECT *, (m1 - m2) / sqrt(pool * (1.0::DOUBLE / n1 + 1.0::DOUBLE / n2)) AS t, (m2 - m1) / m1 * 100 AS rel,
     (m2 - m1) / sqrt(pool) AS d FROM w)"""
 
+
+def _t_tail(source: str, keys: str, t: str, df: str) -> str:
+    """Two-sided p of t by Simpson's rule over the density's tail, which u / (1 - u) maps to 0..1."""
+    return f"""p AS (SELECT {keys}, 2 * exp(lgamma(({df} + 1) / 2.0) - lgamma({df} / 2.0)) / sqrt(pi() * {df})
+      * sum(CASE WHEN i = 0 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END
+        * pow(1 + pow(abs({t}) + (i / 4000.0::DOUBLE) / (1 - i / 4000.0::DOUBLE), 2) / {df}, -({df} + 1) / 2.0)
+        / pow(1 - i / 4000.0::DOUBLE, 2)) / 12000 AS p_value
+      FROM {source}, range(4000) AS grid(i) GROUP BY {keys}, {t}, {df})"""
+
+
 add(
     "ab_ttest",
-    lambda t: _rounded(X.ab_ttest(t.experiment, "group", "metric").drop("p_value")),
-    with_(EXP, """SELECT n1 AS control_n, round(m1, 6) AS control_mean, round(sd1, 6) AS control_std,
+    lambda t: _rounded(X.ab_ttest(t.experiment, "group", "metric")),
+    with_(EXP, ", " + _t_tail("tt", "n1, n2", "t", "(n1 + n2 - 2)") + """SELECT n1 AS control_n, round(m1, 6) AS control_mean, round(sd1, 6) AS control_std,
       round(med1, 6) AS control_median, n2 AS treatment_n, round(m2, 6) AS treatment_mean, round(sd2, 6) AS treatment_std,
       round(med2, 6) AS treatment_median, round(t, 6) AS t_statistic, n1 + n2 - 2 AS degrees_of_freedom,
       round(m2 - m1, 6) AS absolute_difference, round(rel, 6) AS relative_change_percent,
-      round(d, 6) AS effect_size_cohens_d FROM tt"""),
+      round(d, 6) AS effect_size_cohens_d, round(p_value, 6) AS p_value FROM tt JOIN p USING (n1, n2)"""),
 )
 add(
     "ab_mann_whitney",
-    lambda t: _rounded(X.ab_mann_whitney(t.experiment, "group", "metric").drop("p_value")),
+    lambda t: _rounded(X.ab_mann_whitney(t.experiment, "group", "metric")),
     with_(EXP, """, r AS (SELECT g, x, rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2.0::DOUBLE AS r
         FROM ab),
       k AS (SELECT sum(p * p * p - p) AS ties FROM (SELECT CAST(count(*) AS DOUBLE) AS p FROM ab GROUP BY x)),
       u AS (SELECT sum(r) FILTER (g = 'control') - count(*) FILTER (g = 'control') * (count(*) FILTER (g = 'control') + 1) / 2.0::DOUBLE AS u,
-        CAST(count(*) FILTER (g = 'control') AS DOUBLE) AS n1, CAST(count(*) FILTER (g = 'treatment') AS DOUBLE) AS n2 FROM r)
-      SELECT u AS u_statistic, CAST(n1 AS BIGINT) AS n1, CAST(n2 AS BIGINT) AS n2,
-      round((greatest(u, n1 * n2 - u) - n1 * n2 / 2 - 0.5) /
-        sqrt(n1 * n2 / 12 * (n1 + n2 + 1 - ties / ((n1 + n2) * (n1 + n2 - 1)))), 6) AS z FROM u, k"""),
+        CAST(count(*) FILTER (g = 'control') AS DOUBLE) AS n1, CAST(count(*) FILTER (g = 'treatment') AS DOUBLE) AS n2 FROM r),
+      zz AS (SELECT u, n1, n2, (greatest(u, n1 * n2 - u) - n1 * n2 / 2 - 0.5) /
+        sqrt(n1 * n2 / 12 * (n1 + n2 + 1 - ties / ((n1 + n2) * (n1 + n2 - 1)))) AS z FROM u, k),
+      -- twice the upper tail, by Simpson's rule over 12 units from z on
+      p AS (SELECT sum(CASE WHEN i IN (0, 4000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END
+        * exp(-pow(z + i * 0.003::DOUBLE, 2) / 2)) * 0.003::DOUBLE / 3 * 2 / sqrt(2 * pi()) AS p FROM zz, range(4001) AS grid(i))
+      SELECT u AS u_statistic, CAST(n1 AS BIGINT) AS n1, CAST(n2 AS BIGINT) AS n2, round(z, 6) AS z,
+      round(least(1.0::DOUBLE, p), 6) AS p_value FROM zz, p"""),
 )
 add(
     "ab_bootstrap_ci",
@@ -107,14 +121,15 @@ add(
 )
 add(
     "segment_pairwise_ttest",
-    lambda t: _rounded(X.segment_pairwise_ttest(_quartiles(t)).drop("p_value", "significant"), 3),
+    lambda t: _rounded(X.segment_pairwise_ttest(_quartiles(t)), 3),
     with_(QUARTILES, """, s AS (SELECT Spending_Quartile AS k, CASE Spending_Quartile WHEN 'Low' THEN 1 WHEN 'Medium' THEN 2
-        WHEN 'High' THEN 3 ELSE 4 END AS i, count(x) AS n, avg(x) AS m, var_samp(x) AS v, var_pop(x) AS vp FROM seg GROUP BY 1)
-      SELECT a.k AS segment_1, b.k AS segment_2, round(a.m, 3) AS segment_1_mean, round(b.m, 3) AS segment_2_mean,
-      round(b.m - a.m, 3) AS difference,
-      round((a.m - b.m) / sqrt(((a.n - 1) * a.v + (b.n - 1) * b.v) / (a.n + b.n - 2) * (1.0::DOUBLE / a.n + 1.0::DOUBLE / b.n)), 3) AS t_statistic,
-      round((b.m - a.m) / sqrt((a.vp + b.vp) / 2), 3) AS effect_size, a.n AS sample_size_1, b.n AS sample_size_2
-      FROM s a JOIN s b ON a.i < b.i WHERE a.n > 10 AND b.n > 10"""),
+        WHEN 'High' THEN 3 ELSE 4 END AS i, count(x) AS n, avg(x) AS m, var_samp(x) AS v, var_pop(x) AS vp FROM seg GROUP BY 1),
+      pairs AS (SELECT a.k AS k1, b.k AS k2, a.m AS m1, b.m AS m2, a.n AS n1, b.n AS n2, (b.m - a.m) / sqrt((a.vp + b.vp) / 2) AS e,
+      (a.m - b.m) / sqrt(((a.n - 1) * a.v + (b.n - 1) * b.v) / (a.n + b.n - 2) * (1.0::DOUBLE / a.n + 1.0::DOUBLE / b.n)) AS t
+      FROM s a JOIN s b ON a.i < b.i WHERE a.n > 10 AND b.n > 10), """ + _t_tail("pairs", "k1, k2", "t", "(n1 + n2 - 2)") + """
+      SELECT k1 AS segment_1, k2 AS segment_2, round(m1, 3) AS segment_1_mean, round(m2, 3) AS segment_2_mean,
+      round(m2 - m1, 3) AS difference, round(t, 3) AS t_statistic, round(p_value, 3) AS p_value, p_value < 0.05 AS significant,
+      round(e, 3) AS effect_size, n1 AS sample_size_1, n2 AS sample_size_2 FROM pairs JOIN p USING (k1, k2)"""),
 )
 add(
     "ab_bayes_posterior",
@@ -134,15 +149,19 @@ _SEQ = """, rn AS (SELECT g, x, row_number() OVER (PARTITION BY g ORDER BY ts, e
     AND c.r < (SELECT min(n) FROM st))"""
 add(
     "sequential_looks",
-    lambda t: _rounded(X.sequential_looks(t.experiment, "group", "metric", _ARRIVAL).drop("p_value"), 5),
-    with_(EXP, _SEQ + " SELECT n AS sample_size, round(t, 5) AS t_statistic FROM looks"),
+    lambda t: _rounded(X.sequential_looks(t.experiment, "group", "metric", _ARRIVAL), 5),
+    with_(EXP, _SEQ + ", " + _t_tail("looks", "n", "t", "(2 * n - 2)") + """
+      SELECT n AS sample_size, round(t, 5) AS t_statistic, round(p_value, 5) AS p_value FROM looks JOIN p USING (n)"""),
 )
 add(
     "sequential_test",
-    lambda t: X.sequential_test(t.experiment, "group", "metric", _ARRIVAL).select(
-        "tests_performed", "alpha_spent_per_test"
-    ),
-    with_(EXP, _SEQ + " SELECT count(*) AS tests_performed, 0.05::DOUBLE / count(*) AS alpha_spent_per_test FROM looks"),
+    lambda t: _rounded(X.sequential_test(t.experiment, "group", "metric", _ARRIVAL), but=("alpha_spent_per_test",)),
+    with_(EXP, _SEQ + ", " + _t_tail("looks", "n", "t", "(2 * n - 2)") + """,
+      l AS (SELECT *, 0.05::DOUBLE / count(*) OVER () AS level FROM p),
+      e AS (SELECT (SELECT min(n) FROM st) AS total_samples_available, count(*) AS tests_performed, max(level) AS alpha_spent_per_test,
+        min(n) FILTER (p_value < level) AS early_stopping_point, round(max_by(p_value, n), 6) AS final_p_value FROM l)
+      SELECT *, CASE WHEN early_stopping_point IS NULL THEN 'Continue to planned sample size' ELSE 'Stop early' END
+      AS recommendation FROM e"""),
 )
 add(
     "assign_variants",
