@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tillroll.functions import columns as C
 from tillroll.operators import aggregates as A
@@ -12,6 +13,7 @@ from tillroll.plans.base_sql import (
     CLEAN, COUNTRIES, CUSTOMERS, DAILY, MONTHLY, PRODUCTS, TIER, TX, with_,
 )
 from tillroll.plans.marts import FACT, business_report
+from tillroll.schemas import TRANSACTIONS
 from tillroll.sources import star, tables
 
 QUERIES = {}
@@ -409,22 +411,19 @@ add(
     """SELECT l_returnflag, l_linestatus, count(*) AS row_count, sum(l_quantity) AS quantity
       FROM lineitem GROUP BY 1, 2""",
 )
+_PROFILED = tuple(
+    (f.name, f.dataType.simpleString(), isinstance(f.dataType, T.NumericType)) for f in TRANSACTIONS.fields
+)
 add(
     "profile_transactions",
-    lambda t: tables.profile(
-        t.tx.select("Quantity", "Price", "Revenue", "Customer_ID", "Country", "Price_Range")
-    ),
+    lambda t: tables.profile(t.tx).withColumn("stddev", F.round("stddev", 4)),
     with_(TX, """, q AS (SELECT count(*) AS n FROM tx)""" + "".join(
         f""", {c.lower()}_p AS (SELECT '{c}' AS "column", '{typ}' AS type, count(*) AS "rows",
           count(*) - count({c}) AS nulls,
           CAST(count(*) - count({c}) AS DOUBLE) / count(*) * 100 AS null_pct,
           CAST(min({c}) AS VARCHAR) AS min_text, CAST(max({c}) AS VARCHAR) AS max_text,
           {mean} AS mean, {std} AS stddev, {q25} AS p25, {q50} AS p50, {q75} AS p75 FROM tx)"""
-        for c, typ, num in (
-            ("Quantity", "int", True), ("Price", "decimal(12,2)", True),
-            ("Revenue", "decimal(18,2)", True), ("Customer_ID", "bigint", True),
-            ("Country", "string", False), ("Price_Range", "string", False),
-        )
+        for c, typ, num in _PROFILED
         for mean, std, q25, q50, q75 in [
             (
                 f"CAST(sum({c}) AS DOUBLE) / count({c})",
@@ -436,10 +435,7 @@ add(
             if num
             else ("CAST(NULL AS DOUBLE)",) * 5
         ]
-    ) + """
-      SELECT * FROM quantity_p UNION ALL SELECT * FROM price_p UNION ALL SELECT * FROM revenue_p
-      UNION ALL SELECT * FROM customer_id_p UNION ALL SELECT * FROM country_p
-      UNION ALL SELECT * FROM price_range_p"""),
+    ) + " " + " UNION ALL ".join(f"SELECT * FROM {c.lower()}_p" for c, _, _ in _PROFILED)),
 )
 add(
     "sample_rows",

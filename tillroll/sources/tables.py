@@ -140,7 +140,7 @@ def profile(df: DataFrame) -> DataFrame:
                 F.min(c).cast("string").alias("min_text"),
                 F.max(c).cast("string").alias("max_text"),
                 (mean_of(c) if is_num else none).alias("mean"),
-                (F.round(F.stddev_samp(c.cast("double")), 4) if is_num else none).alias("stddev"),
+                (F.stddev_samp(c.cast("double")) if is_num else none).alias("stddev"),
             )
         )
     base = df.agg(F.array(*measures).alias("m")).select(F.inline("m"))

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import LongType, StructField, StructType
 
 from tillroll import fixed
 from tillroll.functions.columns import ratio
@@ -29,14 +28,20 @@ def window_revenue(
     )
 
 
-def revenue_alerts(windows: DataFrame, drop_ratio: float = fixed.ALERT_DROP_RATIO) -> DataFrame:
+def revenue_alerts(
+    windows: DataFrame, drop_ratio: float = fixed.ALERT_DROP_RATIO, total=None, count: int = 0
+) -> DataFrame:
     """Windows below `drop_ratio` times the mean of all earlier windows.
 
-    One row per time window comes in, so ordering them all is small work.
+    `total` and `count` sum up windows before the first of these. One row per time window comes in,
+    so ordering them is small work.
     """
     earlier = Window.orderBy("window_start").rowsBetween(Window.unboundedPreceding, -1)
+    kind = windows.schema["revenue"].dataType
+    start = F.lit(0 if total is None else total).cast(kind)
     judged = windows.withColumn(
-        "earlier_avg", ratio(F.sum("revenue").over(earlier), F.count("revenue").over(earlier))
+        "earlier_avg",
+        ratio(start + F.coalesce(F.sum("revenue").over(earlier), F.lit(0).cast(kind)), F.lit(count) + F.count("revenue").over(earlier)),
     )
     return judged.filter(F.col("revenue") < F.col("earlier_avg") * drop_ratio).select(
         "window_start",
@@ -60,20 +65,28 @@ def stream_revenue_alerts(
     """Start the watch on a streaming DataFrame.
 
     Closed windows are written under `folder/windows`, alerts under `folder/alerts`, one
-    sub-folder per epoch that a retry overwrites. An epoch judges its own windows against
-    all windows stored up to it, so that a retry gives the same alerts.
+    sub-folder per epoch that a retry overwrites. Windows close in order of time, so all earlier
+    windows belong to earlier epochs: `folder/state` holds their sum and number after each epoch. An
+    epoch reads its own windows and the state of the epoch before, whatever was stored by then, and a
+    retry gives the same alerts.
     """
 
     closed = window_revenue(events, time, value, window, delay)
-    schema = StructType([*closed.schema.fields, StructField("epoch", LongType())])
 
     def close(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
         batch.write.mode("overwrite").parquet(f"{folder}/windows/epoch={epoch}")
-        stored = spark.read.schema(schema).parquet(f"{folder}/windows").filter(F.col("epoch") <= epoch)
-        mine = stored.filter(F.col("epoch") == epoch).select("window_start")
-        fired = revenue_alerts(stored, drop_ratio).join(mine, "window_start", "left_semi")
-        fired.write.mode("overwrite").parquet(f"{folder}/alerts/epoch={epoch}")
+        mine = spark.read.schema(closed.schema).parquet(f"{folder}/windows/epoch={epoch}")
+        total, count = None, 0
+        if epoch:
+            total, count = spark.read.parquet(f"{folder}/state/epoch={epoch - 1}").select("total", "n").first()
+        revenue_alerts(mine, drop_ratio, total, count).write.mode("overwrite").parquet(f"{folder}/alerts/epoch={epoch}")
+        kind = closed.schema["revenue"].dataType
+        state = mine.agg(
+            (F.lit(total or 0).cast(kind) + F.coalesce(F.sum("revenue"), F.lit(0).cast(kind))).alias("total"),
+            (F.lit(count) + F.count("revenue")).alias("n"),
+        )
+        state.write.mode("overwrite").parquet(f"{folder}/state/epoch={epoch}")
 
     return (
         closed.writeStream.outputMode("append")
