@@ -19,6 +19,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from pyspark.sql import SparkSession  # noqa: E402
 
+from tillroll.operators.ordering import drop_session_tables  # noqa: E402
 from tillroll.plans import queries_models, registry  # noqa: E402
 
 HEADLINE = (
@@ -57,6 +58,7 @@ def main() -> None:
             start = time.perf_counter()
             queries[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
             taken.append(time.perf_counter() - start)
+            drop_session_tables(spark)
         times[name] = round(statistics.median(taken[1:]), 3)
         print(f"{times[name]:8.3f}s {name}", file=sys.stderr, flush=True)
     spark.stop()

@@ -89,3 +89,17 @@ def test_ranges_follow_the_data(spark, monkeypatch):
             assert ranked.filter("rank <> id + 1").count() == 0
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_session_tables_can_be_dropped(spark):
+    import os
+
+    from tillroll.operators import ordering
+    from tillroll.plans import queries_models
+
+    queries_models.forget()
+    folder = ordering.session_folder(spark).removeprefix("file:")
+    kept = ordering.durable(spark.range(5))
+    assert kept.count() == 5 and os.listdir(folder)
+    ordering.drop_session_tables(spark)
+    assert not os.path.exists(folder)

@@ -26,14 +26,25 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def session_folder(spark: SparkSession) -> str:
+    """Where this session's intermediate tables are."""
+    return f"{shared_folder(spark).rstrip('/')}/{spark.sparkContext.applicationId}"
+
+
+def drop_session_tables(spark: SparkSession) -> None:
+    """Delete the intermediate tables of this session; frames that read them are of no use after that."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(session_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def durable(df: DataFrame) -> DataFrame:
-    """The rows written once under the shared folder and read back.
+    """The rows written once under the session's part of the shared folder and read back.
 
     Lineage is cut and the rows survive a lost executor. Being a columnar table, a later
     read takes only the columns it needs, and Spark knows its size when it plans joins.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/table-{uuid.uuid4()}"
+    path = f"{session_folder(spark)}/table-{uuid.uuid4()}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
