@@ -10,16 +10,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillroll.llm import mixing, ngram_join, packing, quality, toxicity
-from tillroll.llm.common import keep_rows, key_residue, stored, table, word_count
+from tillroll.llm.common import keep_rows, key_residue, stored, table, training_marks, word_count
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality score reaches 0.3, learned from the labelled ones outside the held-out fifth."""
-    labels = table(spark, sf_dir, "labels")
     learn = key_residue(F.col("doc_id"), 5) != 0
-    known = docs.join(labels.filter(learn).select("doc_id").dropDuplicates(), "doc_id", "left_semi")
-    features = stored(quality.measured(known))
-    model = quality.fit(quality.labelled(features, labels, "quality", learn))
+    marks = training_marks(table(spark, sf_dir, "labels"), "quality", learn, "doc_id")
+    known = docs.join(F.broadcast(marks), docs["doc_id"] == marks["_key"], "left_semi")
+    model = quality.fit(quality.labelled(quality.measured(known), marks))
     return keep_rows(docs, "text", quality.tester(model, 0.3))
 
 
@@ -37,8 +36,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources mixed to weights 5, 2, 1 by words; a document taken twice is there twice."""
-    mixed = mixing.mix(docs.withColumn("_words", word_count(F.col("text"))), F.col("_words"))
-    return mixing.repeated(mixed).drop("_words")
+    return mixing.repeated(docs, word_count(F.col("text")))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bits of `seeded_hash`.
 HASH_BITS = 60
+#: Labelled rows that a classifier learns from at most (12 bytes each when broadcast); of more, a sample by hash.
+TRAINING_ROWS = 500_000
 #: Up to so many keys (8 bytes each) are broadcast to pick rows; beyond it the rows are shuffled.
 BROADCAST_KEYS = 2_000_000
 
@@ -29,7 +31,7 @@ def stored(df: DataFrame, codec: str = "zstd") -> DataFrame:
     partition number decided stays as it was written.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/llm-{uuid.uuid4()}"
+    path = f"{shared_folder(spark).rstrip('/')}/{spark.sparkContext.applicationId}/llm-{uuid.uuid4()}"
     df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -71,9 +73,23 @@ def keep_rows(docs: DataFrame, text: str, tester) -> DataFrame:
 
 
 def without_keys(docs: DataFrame, keys: DataFrame, key: str, how: str = "left_anti") -> DataFrame:
-    """`docs` without (or, with left_semi, only) the rows whose key is in `keys`, a column `_key`.
+    """`docs` without (or, with left_semi, only) the rows whose key is in `keys`, a stored column `_key`.
 
     Up to BROADCAST_KEYS keys are counted and sent to the tasks; more are joined by a shuffle.
     """
     few = keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
-    return docs.join(F.broadcast(keys) if few else keys, F.col(key) == F.col("_key"), how)
+    return docs.join(F.broadcast(keys) if few else keys, docs[key] == keys["_key"], how)
+
+
+def training_marks(labels: DataFrame, label: str, learn: Column, key: str, rows: int = TRAINING_ROWS) -> DataFrame:
+    """_key, label (0 or 1) of the labelled rows that meet `learn`, stored and fit to be broadcast.
+
+    Of more than `rows` of them, those whose hash is in a share of all hashes that holds about so
+    many. A key with both labels appears with both.
+    """
+    marks = labels.filter(learn).select(F.col(key).alias("_key"), F.col(label).cast("int").alias("label"))
+    marks = stored(marks.filter("label IN (0, 1) AND _key IS NOT NULL").dropDuplicates())
+    found = marks.count()
+    if found <= rows:
+        return marks
+    return stored(marks.filter(seeded_hash(F.col("_key"), "train") < int(rows / found * (1 << HASH_BITS))))

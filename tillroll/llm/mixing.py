@@ -116,6 +116,22 @@ def thresholds(
     ).select("source", "budget", "source_size", "target", "whole", F.coalesce("bound", F.lit(0)).alias("bound"))
 
 
+def _mixed(docs: DataFrame, size, key: str, source: str, weights, limit: int, budget: float, seed: str) -> DataFrame:
+    """row (all columns of `docs`), and mix_size, mix_source_size, mix_target, mix_copies beside it."""
+    measured = docs.select(
+        F.struct("*").alias("row"), F.coalesce(size.cast("long"), F.lit(0).cast("long")).alias("mix_size"),
+        F.col(source).alias("source"), seeded_hash(F.col(key), seed).alias("hash"),
+    )
+    slim = stored(measured.select("source", F.col("mix_size").alias("size"), "hash"))
+    plan = stored(thresholds(slim, weights, limit, (budget,))).select(
+        F.col("source").alias("_source"), F.col("source_size").alias("mix_source_size"),
+        F.col("target").alias("mix_target"), "whole", "bound",
+    )
+    copies = F.col("whole") + (F.col("hash") < F.col("bound")).cast("long")
+    joined = measured.join(plan, F.col("source").eqNullSafe(F.col("_source")))
+    return joined.withColumn("mix_copies", copies).select("row", "mix_size", "mix_source_size", "mix_target", "mix_copies")
+
+
 def mix(
     docs: DataFrame,
     size,
@@ -130,29 +146,25 @@ def mix(
 
     `size` is a column expression of whole numbers (null counts as 0). `mix_copies` says how
     often the mix takes the document, 0 included. Repeated rows of one key share a hash and go
-    together; a null source is a source of its own; an empty table gives no rows. Columns of
-    other names pass through unchanged.
+    together; a null source is a source of its own; an empty table gives no rows. All other columns
+    pass through; columns of these four names are replaced.
     """
-    measured = docs.withColumn("mix_size", F.coalesce(size.cast("long"), F.lit(0).cast("long"))).withColumn(
-        "_hash", seeded_hash(F.col(key), seed)
-    )
-    slim = stored(measured.select(F.col(source).alias("source"), F.col("mix_size").alias("size"), F.col("_hash").alias("hash")))
-    plan = stored(thresholds(slim, weights, limit, (budget,))).select(
-        F.col("source").alias("_source"), F.col("source_size").alias("mix_source_size"),
-        F.col("target").alias("mix_target"), F.col("whole").alias("_whole"), F.col("bound").alias("_bound"),
-    )
-    copies = F.col("_whole") + (F.col("_hash") < F.col("_bound")).cast("long")
-    return (
-        measured.join(plan, F.col(source).eqNullSafe(F.col("_source")))
-        .withColumn("mix_copies", copies)
-        .drop("_hash", "_source", "_whole", "_bound")
-    )
+    added = ["mix_size", "mix_source_size", "mix_target", "mix_copies"]
+    kept = [F.col("row")[c].alias(c) for c in docs.columns if c not in added]
+    return _mixed(docs, size, key, source, weights, limit, budget, seed).select(*kept, *added)
 
 
-def repeated(mixed: DataFrame) -> DataFrame:
-    """Each document as often as the mix takes it, without the columns that `mix` added."""
-    return (
-        mixed.filter("mix_copies > 0")
-        .withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("mix_copies"))))
-        .drop("_copy", "mix_size", "mix_source_size", "mix_target", "mix_copies")
-    )
+def repeated(
+    docs: DataFrame,
+    size,
+    key: str = "doc_id",
+    source: str = "source",
+    weights: Sequence[int] = (5, 2, 1),
+    limit: int = 3,
+    budget: float = 1.0,
+    seed: str = "mix",
+) -> DataFrame:
+    """Each document of `docs` as often as the mix takes it, with its own columns only."""
+    mixed = _mixed(docs, size, key, source, weights, limit, budget, seed).filter("mix_copies > 0")
+    copies = F.explode(F.sequence(F.lit(1).cast("long"), F.col("mix_copies")))
+    return mixed.select("row", copies.alias("_copy")).select("row.*")

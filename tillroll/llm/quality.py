@@ -137,7 +137,7 @@ def fit(train: DataFrame, to_pooled: float = 0.1, to_diagonal: float = 0.05) ->
         return {"constant": n[1] / total if total else 0.5}
     total = n[0] + n[1]
     centre = (moments[0][1] + moments[1][1]) / total
-    spread = np.sqrt(np.maximum(np.diag(moments[0][2] + moments[1][2]) / total - centre**2, 1e-9))
+    spread = np.sqrt(np.maximum(np.diag(moments[0][2] + moments[1][2]) / total - centre**2, 1e-4))
     means, scatters = {}, {}
     for k in (0, 1):
         mean = moments[k][1] / n[k]
@@ -222,7 +222,6 @@ def scored(features: DataFrame, model: dict, key: str = "doc_id") -> DataFrame:
     return features.select(key, "features").mapInArrow(run, f"`{key}` {kind}, score double")
 
 
-def labelled(features: DataFrame, labels: DataFrame, label: str, learn, key: str = "doc_id") -> DataFrame:
-    """label, features of the rows whose key meets `learn` and whose label is 0 or 1, stored."""
-    marks = labels.filter(learn).select(F.col(key).alias("_key"), F.col(label).cast("int").alias("label")).filter("label IN (0, 1)")
-    return stored(features.join(marks.dropDuplicates(), F.col(key) == F.col("_key")).select("label", "features"))
+def labelled(features: DataFrame, marks: DataFrame, key: str = "doc_id") -> DataFrame:
+    """label, features of the rows named by `training_marks`, stored. The marks are bounded and broadcast."""
+    return stored(features.join(F.broadcast(marks), F.col(key) == F.col("_key")).select("label", "features"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillroll.llm import edit_counts, language_model, mixing, neighbours, ngram_join, packing, quality, sharding, sql, topk, toxicity
-from tillroll.llm.common import key_residue, seeded_hash, stored, table, word_count
+from tillroll.llm.common import key_residue, seeded_hash, stored, table, training_marks, word_count
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,7 +25,8 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every document, learned from the labelled ones outside the held-out fifth."""
     held_out = key_residue(F.col("doc_id"), 5) == 0
     features = stored(quality.measured(table(spark, sf_dir, "documents")))
-    train = quality.labelled(features, table(spark, sf_dir, "labels"), "quality", ~held_out)
+    marks = training_marks(table(spark, sf_dir, "labels"), "quality", ~held_out, "doc_id")
+    train = quality.labelled(features, marks)
     return quality.scored(features, quality.fit(train)).select(
         "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted")
     )

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillroll.llm.common import stored
+from tillroll.llm.common import stored, training_marks
 
 #: A term must be in this share of the toxic documents learned from, and this many times as likely there.
 MIN_SHARE, MIN_RATIO = 0.02, 25.0
@@ -328,13 +328,21 @@ def score(docs: DataFrame, model: dict, key: str = "doc_id", text: str = "text")
     return slim.mapInArrow(run, f"`{key}` {slim.schema[key].dataType.simpleString()}, score double")
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str, learn, key: str = "doc_id") -> DataFrame:
-    """text, label of the documents to learn from, stored: rows whose key meets `learn` and whose label is 0 or 1.
+def labelled(
+    docs: DataFrame, labels: DataFrame, label: str, learn, key: str = "doc_id", text: str = "text"
+) -> DataFrame:
+    """text, label of the documents to learn from, stored: those of `training_marks`.
 
-    Each text counts once, so that a group of copies makes no term.
+    Each text counts once, so that a group of copies makes no term. Texts are told apart by 64-bit
+    hashes; the marks and the keys of the texts to keep are bounded and broadcast, so no text is
+    shuffled.
     """
-    marks = labels.filter(learn).select(F.col(key).alias("_key"), F.col(label).cast("int").alias("label")).filter("label IN (0, 1)")
-    return stored(docs.join(marks.dropDuplicates(), F.col(key) == F.col("_key")).select("text", "label").dropDuplicates())
+    marks = training_marks(labels, label, learn, key)
+    slim = docs.select(F.col(key).alias("_doc"), F.col(text).alias("text"))
+    known = slim.join(F.broadcast(marks), F.col("_doc") == F.col("_key"))
+    alike = known.groupBy(F.xxhash64("text").alias("_hash"), "label").agg(F.min("_key").alias("_key"))
+    once = stored(alike.select("_key", "label").dropDuplicates())
+    return stored(slim.join(F.broadcast(once), F.col("_doc") == F.col("_key")).select("text", "label"))
 
 
 def tester(model: dict, threshold: float):
