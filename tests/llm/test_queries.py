@@ -1,0 +1,11 @@
+import oracle
+import pytest
+
+from tillroll.llm import queries
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_query_against_duckdb(spark, name):
+    assert oracle.compare(queries.QUERIES[name](spark, SF), oracle.connect(SF), queries.ORACLE_SQL[name]) is None

@@ -103,11 +103,12 @@ def _parted(text: str, place: int) -> bool:
 
 
 def counted(docs: DataFrame, text: str = "text", tokenizer: str | None = None) -> DataFrame:
-    """`docs` with tree_chars and tree_tokens added: the segment tree of every text.
+    """`docs` with tree_chars and tree_tokens added (or put in place of others): the segment tree of every text.
 
     A null or empty text has a tree of one empty leaf. The root, element 1 of the array (from 0),
     holds the sums of the text.
     """
+    docs = docs.drop("tree_chars", "tree_tokens")
     path, at, names = tokenizer or tokenizer_path(), docs.columns.index(text), [*docs.columns, "tree_chars", "tree_tokens"]
 
     def run(batches):

@@ -55,8 +55,9 @@ def _frequencies(docs: DataFrame, size: int) -> np.ndarray:
         total = sum(np.frombuffer(zlib.decompress(x), np.int64) for x in group.column("counts").to_pylist())
         return pa.Table.from_batches([_packed(key[1].as_py(), [key[0].as_py()], [total])])
 
-    schema, parts = "part int, block int, counts binary", docs.rdd.getNumPartitions()
+    schema = "part int, block int, counts binary"
     rows = stored(docs.mapInArrow(count, schema))
+    parts = (rows.agg(F.max("part")).first()[0] or 0) + 1
     while True:
         parts = -(-parts // _FAN_IN)
         groups = rows.groupBy("block", F.floor(F.col("part") / _FAN_IN).cast("int").alias("whole"))
@@ -224,8 +225,8 @@ def near_duplicates(
     100 * common >= percent * all; `component_id` is the smallest key that links reach, the
     document's own included. `class_rep` is the smallest key with an equal set. A document
     without words, or null, has an empty set and links with nothing, not even with its like.
-    Rows of one key count as one document; rows of a null key keep a null component unless their
-    class has a key. An empty table gives no rows.
+    Rows of one key count as one document; rows of a null key take the component of a document with
+    an equal set, else null. An empty table gives no rows.
     """
     slim = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     sets, classes, labels = links_and_components(slim, size, percent)
@@ -243,7 +244,7 @@ def near_duplicates(
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 4, percent: int = 85) -> DataFrame:
     """The rows of `docs` whose key is the smallest of its component, all their columns unchanged.
 
-    Of rows that share a key one stays. Rows without a key stay unless they equal a document with one.
+    Of rows that share a key one stays. Rows without a key all stay.
     """
     found = stored(near_duplicates(docs, key, text, size, percent).select(F.col(key).alias("_key"), "component_id"))
     gone = stored(found.filter("_key <> component_id").select("_key").dropDuplicates())

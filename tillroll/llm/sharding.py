@@ -25,7 +25,7 @@ BUCKET_ROWS = 2048
 def assign(
     docs: DataFrame, shards: int, key: str = "doc_id", source: str = "source", seed: str = "shard"
 ) -> DataFrame:
-    """`docs` with `shard` (0 to shards - 1) and `slot` (from 0 in each shard) added.
+    """`docs` with `shard` (0 to shards - 1) and `slot` (from 0 in each shard) added, or put in place of others.
 
     The law is `rows`: shard counts are at most one apart, whatever the texts are, so equal texts
     may lie in different shards. A null source is a source of its own, a null key hashes as the
@@ -33,40 +33,40 @@ def assign(
     rows. All columns of `docs` travel with the rows: pass only those that are wanted.
     """
     laid = stored(
-        docs.withColumn("_hash", seeded_hash(F.col(key), seed)).withColumn("_row", F.xxhash64(*docs.columns))
+        docs.select(
+            F.struct("*").alias("row"), F.col(key).alias("key"), F.col(source).alias("source"),
+            seeded_hash(F.col(key), seed).alias("hash"), F.xxhash64(F.struct("*")).alias("tie"),
+        )
     )
     total = laid.count()
     bits = max(0, math.ceil(math.log2(max(1, total / BUCKET_ROWS))))
 
-    laid = laid.withColumn("_bin", F.shiftright("_hash", HASH_BITS - bits))
-    counts = laid.groupBy(F.col(source).alias("_source"), F.col("_bin").alias("_bin2")).agg(F.count(F.lit(1)).alias("_n"))
-    run = Window.partitionBy("_source").orderBy("_bin2")
+    laid = laid.withColumn("bin", F.shiftright("hash", HASH_BITS - bits))
+    counts = laid.groupBy(F.col("source").alias("_source"), F.col("bin").alias("_bin")).agg(F.count(F.lit(1)).alias("_n"))
+    run = Window.partitionBy("_source").orderBy("_bin")
     before = counts.withColumn("_before", F.sum("_n").over(run) - F.col("_n")).withColumn(
         "_all", F.sum("_n").over(Window.partitionBy("_source"))
     )
-    inside = Window.partitionBy(source, "_bin").orderBy("_hash", F.col(key), "_row")
+    inside = Window.partitionBy("source", "bin").orderBy("hash", "key", "tie")
     ranked = laid.withColumn("_at", F.row_number().over(inside)).join(
-        before, F.col(source).eqNullSafe(F.col("_source")) & (F.col("_bin") == F.col("_bin2"))
+        before, F.col("source").eqNullSafe(F.col("_source")) & (F.col("bin") == F.col("_bin"))
     )
-    share = (2 * (F.col("_before") + F.col("_at")) - 1) / (2 * F.col("_all"))
-    spread = ranked.withColumn("_share", share.cast("double")).drop("_source", "_bin", "_bin2", "_n", "_before", "_at", "_all")
+    share = ((2 * (F.col("_before") + F.col("_at")) - 1) / (2 * F.col("_all"))).cast("double")
+    spread = ranked.select("row", "key", "source", "hash", "tie", share.alias("share"))
 
-    spread = spread.withColumn("_bin", F.floor(F.col("_share") * (1 << bits)))
-    sums = spread.groupBy(F.col("_bin").alias("_bin2")).agg(F.count(F.lit(1)).alias("_n"))
+    spread = spread.withColumn("bin", F.floor(F.col("share") * (1 << bits)))
+    sums = spread.groupBy(F.col("bin").alias("_bin")).agg(F.count(F.lit(1)).alias("_n"))
     # One row per bucket, of about BUCKET_ROWS rows each.
-    starts = sums.withColumn("_start", F.sum("_n").over(Window.orderBy("_bin2")) - F.col("_n")).drop("_n")
-    order = Window.partitionBy("_bin").orderBy("_share", "_hash", F.col(source), F.col(key), "_row")
-    placed = spread.withColumn("_at", F.row_number().over(order)).join(starts, F.col("_bin") == F.col("_bin2"))
-    place = (F.col("_start") + F.col("_at") - 1).cast("long")
+    starts = sums.withColumn("_start", F.sum("_n").over(Window.orderBy("_bin")) - F.col("_n")).drop("_n")
+    order = Window.partitionBy("bin").orderBy("share", "hash", "source", "key", "tie")
+    placed = spread.withColumn("_at", F.row_number().over(order)).join(starts, F.col("bin") == F.col("_bin"))
     # Whole-number division, so that the cut does not hang on rounding.
-    shard = F.expr(f"(_place * {shards}L) div {max(1, total)}L")
+    placed = placed.withColumn("place", F.col("_start") + F.col("_at") - 1)
+    shard = F.expr(f"(place * {shards}L) div {max(1, total)}L")
+    placed = placed.withColumn("shard", shard)
     first = F.expr(f"(shard * {total}L + {shards - 1}L) div {shards}L")
-    return (
-        placed.withColumn("_place", place)
-        .withColumn("shard", shard.cast("int"))
-        .withColumn("slot", (F.col("_place") - first).cast("long"))
-        .drop("_hash", "_row", "_share", "_bin", "_bin2", "_start", "_at", "_place")
-    )
+    kept = [F.col("row")[c].alias(c) for c in docs.columns if c not in ("shard", "slot")]
+    return placed.select(*kept, F.col("shard").cast("int").alias("shard"), (F.col("place") - first).cast("long").alias("slot"))
 
 
 def write_shards(assigned: DataFrame, path: str) -> None:
