@@ -133,3 +133,18 @@ def test_components_of_chains_and_stars(spark):
     links = [(i, i + 1) for i in range(1, 60)] + [(100, x) for x in range(101, 140)] + [(5, 5), (201, 200), (200, 201)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {**{i: 1 for i in range(1, 61)}, **{x: 100 for x in range(100, 140)}, 200: 200, 201: 200}
+
+
+def test_rows_that_share_a_key(spark):
+    """A third of the rows under one key with texts of their own; copies of two of them under other keys."""
+    r = random.Random(7)
+    texts = [" ".join(f"t{i}x{r.randrange(500)}" for _ in range(40)) for i in range(60)]
+    rows = [(5, t, i) for i, t in enumerate(texts[:30])] + [(10 + i, t, i) for i, t in enumerate(texts[30:])]
+    rows += [(3, texts[0] + " more", 0), (200, texts[1] + " more", 1), (5, texts[2].upper(), 2), (5, texts[3], 3), (5, texts[4] + " more", 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n long").repartition(6)
+    got = sorted((x["doc_id"], x["component_id"]) for x in ngram_join.near_duplicates(docs).collect())
+    assert got == sorted([(3, 3), (5, 3), *[(5, 5)] * 32, (200, 5), *[(10 + i, 10 + i) for i in range(30)]])
+    kept = [tuple(x) for x in ngram_join.one_of_each(docs).collect()]
+    assert sorted(n for k, _, n in kept if k == 5) == list(range(1, 30))
+    assert sorted(k for k, _, _ in kept if k != 5) == [3, *range(10, 40)]
+    assert sorted(kept) == sorted(tuple(x) for x in ngram_join.one_of_each(docs.repartition(3)).collect())

@@ -72,13 +72,17 @@ def keep_rows(docs: DataFrame, text: str, tester) -> DataFrame:
     return docs.mapInArrow(run, docs.schema)
 
 
-def without_keys(docs: DataFrame, keys: DataFrame, key: str, how: str = "left_anti") -> DataFrame:
+def without_keys(docs: DataFrame, keys: DataFrame, key: str, how: str = "left_anti", text: str | None = None) -> DataFrame:
     """`docs` without (or, with left_semi, only) the rows whose key is in `keys`, a stored column `_key`.
 
+    With `text`, rows are picked by the key and the hash of that column, which `keys` holds as `_mark`.
     Up to BROADCAST_KEYS keys are counted and sent to the tasks; more are joined by a shuffle.
     """
     few = keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
-    return docs.join(F.broadcast(keys) if few else keys, docs[key] == keys["_key"], how)
+    same = docs[key] == keys["_key"]
+    if text is not None:
+        same &= F.xxhash64(docs[text]) == keys["_mark"]
+    return docs.join(F.broadcast(keys) if few else keys, same, how)
 
 
 def training_marks(labels: DataFrame, label: str, learn: Column, key: str, rows: int = TRAINING_ROWS) -> DataFrame:

@@ -6,7 +6,8 @@ documents hold is in hardly any prefix; its prefixes are indexed and make the ca
 more orders are random. A candidate has to share prefix tokens under those as well before any
 text is read for it.
 
-Documents of equal sets are one class and are compared once. Inside a group of many near
+Documents of equal sets are one class and are compared once; the class, not the key, is what links, so
+rows that share a key and differ in their texts are told apart. Inside a group of many near
 copies not all pairs are made: first every member is compared with one hub per token, and linked
 members become one component; only pairs of different components are compared after that.
 """
@@ -22,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillroll.llm.common import stored, without_keys
+from tillroll.llm.common import BROADCAST_KEYS, stored, without_keys
 from tillroll.llm.components import components
 from tillroll.llm.words import mix, sequence_hashes, shingles, word_hashes
 
@@ -80,7 +81,7 @@ def _packed(part: int, blocks, counts) -> pa.RecordBatch:
 
 
 def _sets(docs: DataFrame, size: int, percent: int, levels: np.ndarray) -> DataFrame:
-    """key, n, class (hash of the set, null if empty), first (prefix of order 1), others (of the random orders).
+    """key, mark, n, class (hash of the set, null if empty), first (prefix of order 1), others (of the random orders).
 
     Sets that cannot be similar to another one have no prefix: one more or less element is more
     than the threshold allows. `others` holds 16 bits of each token, which can only let too many
@@ -104,15 +105,23 @@ def _sets(docs: DataFrame, size: int, percent: int, levels: np.ndarray) -> DataF
                 short = [np.sort(np.partition(mix(s ^ np.uint64(k)), p - 1)[:p] & np.uint64(0xFFFF)) for k in SEEDS]
                 others.append(np.concatenate(short).astype("<u2").tobytes())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(names, pa.binary()),
+                [batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(names, pa.binary()),
                  pa.array(first, pa.list_(pa.int64())), pa.array(others, pa.binary())],
-                names=["key", "n", "class", "first", "others"],
+                names=["key", "mark", "n", "class", "first", "others"],
             )
 
-    return docs.mapInArrow(run, f"key {docs.schema['key'].dataType.simpleString()}, n long, class binary, first array<long>, others binary")
+    kind = docs.schema["key"].dataType.simpleString()
+    return docs.mapInArrow(run, f"key {kind}, mark long, n long, class binary, first array<long>, others binary")
+
 
+def _nodes(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The rows of `classes` in the pairs, marked for broadcast if there are up to BROADCAST_KEYS."""
+    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).dropDuplicates()
+    wanted = stored(classes.drop("class").join(nodes, "node"))
+    return F.broadcast(wanted) if wanted.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS else wanted
 
-def _sharing(pairs: DataFrame, reps: DataFrame) -> DataFrame:
+
+def _sharing(pairs: DataFrame, sets: DataFrame, classes: DataFrame) -> DataFrame:
     """Pairs that share a prefix token under every one of the random orders."""
 
     def run(batches):
@@ -123,17 +132,17 @@ def _sharing(pairs: DataFrame, reps: DataFrame) -> DataFrame:
                 keep.append(all(np.isin(p, q).any() for p, q in zip(a, b)))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    keys = stored(pairs.select(F.col("a").alias("_key")).union(pairs.select(F.col("b").alias("_key"))).dropDuplicates())
-    marks = without_keys(reps.select("key", "others"), keys, "key", "left_semi")
-    both = pairs.join(marks.withColumnsRenamed({"key": "a", "others": "x"}), "a").join(
-        marks.withColumnsRenamed({"key": "b", "others": "y"}), "b"
+    wanted = _nodes(pairs, classes)
+    marks = sets.select("row", "others").join(wanted.select("row", "node"), "row").select("node", "others")
+    both = pairs.join(marks.withColumnsRenamed({"node": "a", "others": "x"}), "a").join(
+        marks.withColumnsRenamed({"node": "b", "others": "y"}), "b"
     )
     schema = pairs.schema
     return both.select("a", "b", "x", "y").mapInArrow(run, schema)
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs whose sets, made anew from the whole texts, are similar enough."""
+def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs of nodes whose sets, made anew from the whole texts, are similar enough."""
 
     def run(batches):
         last_key, last = None, None
@@ -147,10 +156,11 @@ def _verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Dat
                 keep.append(100 * common >= percent * (len(s) + len(last) - common))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    keys = stored(pairs.select(F.col("a").alias("_key")).union(pairs.select(F.col("b").alias("_key"))).dropDuplicates())
-    texts = stored(without_keys(docs, keys, "key", "left_semi").dropDuplicates(["key"]))
-    both = pairs.join(texts.withColumnsRenamed({"key": "a", "text": "x"}), "a").join(
-        texts.withColumnsRenamed({"key": "b", "text": "y"}), "b"
+    # Rows alike in key and text are all fetched; any of them will do.
+    found = docs.join(_nodes(pairs, classes).select("node", F.col("rep").alias("key"), "mark"), ["key", "mark"])
+    texts = stored(found.select("node", "text").dropDuplicates(["node"]))
+    both = pairs.join(texts.withColumnsRenamed({"node": "a", "text": "x"}), "a").join(
+        texts.withColumnsRenamed({"node": "b", "text": "y"}), "b"
     )
     return both.select("a", "b", "x", "y").mapInArrow(run, pairs.schema)
 
@@ -165,19 +175,23 @@ def _close(x: str, y: str, percent: int):
 
 
 def links_and_components(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """sets (key, n, class), classes (class, rep), labels (node, component) of `docs` (key, text)."""
+    """sets (key, mark, n, class), classes (class, row, node, rep, mark), labels (node, component) of `docs` (key, text, mark).
+
+    `mark` is a hash of the text, `row` a stored row that stands for the class: of its rows with a key the
+    first by key and mark. Nodes number the classes in that order, so that hubs are the smallest keys.
+    """
     levels = _frequencies(docs.select("text"), size)
-    sets = stored(_sets(docs.select("key", "text"), size, percent, levels))
-    classes = stored(sets.filter("class IS NOT NULL").groupBy("class").agg(F.min("key").alias("rep")))
-    reps = sets.join(classes, (F.col("key") == F.col("rep")) & (sets["class"] == classes["class"]), "left_semi")
-    tokens = reps.select(F.col("key").alias("rep"), "n", F.posexplode("first").alias("at", "token"))
-    # The rows of one key can be repeated; a pair of a document with itself is never made below.
+    sets = stored(_sets(docs.select("key", "text", "mark"), size, percent, levels).withColumn("row", F.monotonically_increasing_id()))
+    named = sets.filter("class IS NOT NULL AND key IS NOT NULL").groupBy("class").agg(F.min(F.struct("key", "mark", "row")).alias("r"))
+    ordered = named.select("class", "r.row", F.col("r.key").alias("rep"), "r.mark").orderBy("rep", "mark")
+    classes = stored(ordered.withColumn("node", F.monotonically_increasing_id()))
+    reps = sets.join(classes.select("row", "node"), "row")
+    tokens = reps.select(F.col("node").alias("rep"), "n", F.posexplode("first").alias("at", "token"))
     shared = tokens.groupBy("token").agg(F.min("rep").alias("_low"), F.max("rep").alias("_high")).filter("_low < _high")
     index = stored(tokens.join(shared.select("token"), "token"))
 
-    kind = docs.schema["key"].dataType.simpleString()
-    labels = docs.sparkSession.createDataFrame([], f"node {kind}, component {kind}")
-    links = docs.sparkSession.createDataFrame([], f"a {kind}, b {kind}")
+    labels = docs.sparkSession.createDataFrame([], "node long, component long")
+    links = docs.sparkSession.createDataFrame([], "a long, b long")
     tested = links
     step = float(np.log(100 / percent))
     last = False
@@ -204,7 +218,7 @@ def links_and_components(docs: DataFrame, size: int, percent: int) -> tuple[Data
         pairs = stored(pairs.join(tested, ["a", "b"], "left_anti"))
         new = links.limit(0)
         if not pairs.isEmpty():
-            new = stored(_verified(stored(_sharing(pairs, sets)), docs, size, percent))
+            new = stored(_verified(stored(_sharing(pairs, sets, classes)), docs, classes, size, percent))
         found = not new.isEmpty()
         if found:
             links = stored(links.union(new))
@@ -215,6 +229,20 @@ def links_and_components(docs: DataFrame, size: int, percent: int) -> tuple[Data
         last = not found
 
 
+def _found(docs: DataFrame, key: str, text: str, size: int, percent: int) -> DataFrame:
+    """key, mark, n, class, rep, component_id, first_mark per row of `docs`; the last three are null without a keyed class.
+
+    `component_id` and `first_mark` are the smallest key of the component and, under it, the smallest mark.
+    """
+    slim = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("mark"))
+    sets, classes, labels = links_and_components(slim, size, percent)
+    placed = classes.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = placed.groupBy("component").agg(F.min(F.struct("rep", "mark")).alias("r"))
+    ids = least.select("component", F.col("r.rep").alias("component_id"), F.col("r.mark").alias("first_mark"))
+    by_class = stored(placed.select("class", "rep", "component").join(ids, "component").drop("component"))
+    return sets.select("key", "mark", "n", "class").join(by_class, "class", "left")
+
+
 def near_duplicates(
     docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 4, percent: int = 85
 ) -> DataFrame:
@@ -225,31 +253,31 @@ def near_duplicates(
     100 * common >= percent * all; `component_id` is the smallest key that links reach, the
     document's own included. `class_rep` is the smallest key with an equal set. A document
     without words, or null, has an empty set and links with nothing, not even with its like.
-    Rows of one key count as one document; rows of a null key take the component of a document with
-    an equal set, else null. An empty table gives no rows.
+    Rows that share a key link each by its own text; rows of a null key take the component of a document
+    with an equal set, else null. An empty table gives no rows.
     """
-    slim = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    sets, classes, labels = links_and_components(slim, size, percent)
-    return (
-        sets.select("key", "n", "class")
-        .join(classes, "class", "left")
-        .join(labels, F.col("rep") == F.col("node"), "left")
-        .select(
-            F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("rep", "key").alias("class_rep"),
-            F.coalesce("component", "rep", "key").alias("component_id"),
-        )
+    return _found(docs, key, text, size, percent).select(
+        F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("rep", "key").alias("class_rep"),
+        F.coalesce("component_id", "key").alias("component_id"),
     )
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 4, percent: int = 85) -> DataFrame:
-    """The rows of `docs` whose key is the smallest of its component, all their columns unchanged.
+    """One row of `docs` of each component, all its columns unchanged: of its smallest key the text of the smallest mark.
 
-    Of rows that share a key one stays. Rows without a key all stay.
+    Rows alike in key and text are one document and one of them stays, the same one in every run. Rows of
+    one key with other texts stay or go by their own components. Rows without a key all stay.
     """
-    found = stored(near_duplicates(docs, key, text, size, percent).select(F.col(key).alias("_key"), "component_id"))
-    gone = stored(found.filter("_key <> component_id").select("_key").dropDuplicates())
-    again = stored(found.groupBy("_key").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1 AND _key IS NOT NULL").select("_key"))
-    kept = without_keys(docs, gone, key)
+    found = _found(docs, key, text, size, percent).filter("key IS NOT NULL")
+    stays = F.col("class").isNull() | ((F.col("key") == F.col("component_id")) & (F.col("mark") == F.col("first_mark")))
+    rows = stored(found.groupBy(F.col("key").alias("_key"), F.col("mark").alias("_mark")).agg(
+        F.max(stays).alias("_stays"), F.count(F.lit(1)).alias("_n")))
+    gone = rows.filter("NOT _stays").select("_key", "_mark")
+    again = rows.filter("_stays AND _n > 1").select("_key", "_mark")
+    kept = without_keys(docs, gone, key, text=text)
     if again.isEmpty():
         return kept
-    return without_keys(kept, again, key).unionByName(without_keys(kept, again, key, "left_semi").dropDuplicates([key]))
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    groups = without_keys(kept, again, key, "left_semi", text).select(F.col(key).alias("_key"), F.xxhash64(text).alias("_mark"), whole.alias("_row"))
+    one = groups.groupBy("_key", "_mark").agg(F.min_by("_row", F.xxhash64(F.to_json("_row"))).alias("_row")).select("_row.*")
+    return without_keys(kept, again, key, text=text).unionByName(one)
