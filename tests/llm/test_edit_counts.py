@@ -66,3 +66,19 @@ def test_query(spark, sf_dir, count):
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     rows = queries.op9_token_counts(spark, sf_dir).collect()
     assert len(rows) == len(texts) and all(r["tokens_before"] == count(texts[r["doc_id"]]) for r in rows)
+
+
+def test_edits_make_and_break_added_tokens(monkeypatch):
+    from tokenizers import Tokenizer
+
+    fresh, coder = Tokenizer.from_file(tokenizer_path()), WordEncoder(tokenizer_path())
+    want = lambda t: len(fresh.encode(t, add_special_tokens=False).ids)
+    have = lambda t: len(coder.encode([t])[0]) // 2 if t else 0
+    monkeypatch.setattr(edit_counts, "LEAF_CHARS", 8)
+    text = "one two <|endoftext|> three  <|endoftext|>four five<|endof|> six "
+    leaves = edit_counts.cut_leaves(text)
+    tree = edit_counts.Tree.build([len(x) for x in leaves], [have(x) for x in leaves])
+    assert tree.tokens[1] == want(text)
+    for at, removed, inserted in [(text.index("<|endof|>") + 7, 0, "text"), (10, 1, ""), (9, 0, " <"), (3, 0, "<|endoftext|>"), (0, 2, "<|endof"), (7, 1, "text|> ")]:
+        text, _ = edit_counts.edit(tree, text, at, removed, inserted, have)
+        assert tree.tokens[1] == want(text)

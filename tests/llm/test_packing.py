@@ -54,3 +54,15 @@ def test_sequences_are_padded(edge_docs):
 
 def test_packing_nothing(no_docs):
     assert packing.pack(no_docs).count() == 0
+
+
+def test_added_tokens_are_the_librarys(spark):
+    from tokenizers import Tokenizer
+
+    fresh = Tokenizer.from_file(tokenizer_path())
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|>y  z", "two <|endoftext|><|endoftext|>\nwords", "<|endoftext|", "no token"]
+    want = [fresh.encode(t, add_special_tokens=False).ids for t in texts]
+    assert want[0] == [64, 220, 50256, 275]
+    assert [np.frombuffer(x, "<u2").tolist() for x in WordEncoder(tokenizer_path()).encode(texts)] == want
+    rows = packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), with_ids=True).collect()
+    assert {r["doc_id"]: r["ids"] for r in rows} == {i: [*x, 1] for i, x in enumerate(want)}

@@ -36,8 +36,9 @@ class WordEncoder:
 
     The byte-level pattern never joins a letter, digit or mark to white space after it, so a text
     of words between single blanks and line ends falls apart into words with the blank before
-    them. Most of those were seen before. Any other text is cut by the pattern itself, and whole
-    texts of a tokenizer of another kind go through the library's own pipeline.
+    them. Most of those were seen before. Any other text is cut by the pattern itself. Texts that
+    hold an added token of the tokenizer, and whole texts of a tokenizer of another kind, go through
+    the library's own pipeline.
     """
 
     def __init__(self, path: str):
@@ -45,7 +46,8 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
+        added = [re.escape(x.content) for x in self.whole.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(added)).search if added else None
         self.dtype = np.dtype("<u2" if self.whole.get_vocab_size() <= 1 << 16 else "<u4")
         self.code = "H" if self.dtype.itemsize == 2 else "I"
         probe = " a b1\n\nc  d's ._.\té"
@@ -86,6 +88,9 @@ class WordEncoder:
             return self._whole(texts)
         out = []
         for text in texts:
+            if self.added and self.added(text):
+                out += self._whole([text])
+                continue
             words = self._words(text)
             if words is None:
                 out.append(self._cut(text) if text else b"")
