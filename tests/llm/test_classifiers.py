@@ -141,3 +141,30 @@ def test_toxicity_edges(spark, edge_docs, edge_rows, no_docs):
     assert toxicity.score(no_docs, model).count() == 0
     empty = toxicity.fit(toxicity.labelled(no_docs, labels, "toxic", F.lit(True)))
     assert empty["terms"] == {} and toxicity.score(edge_docs, empty).count() == len(edge_rows)
+
+
+def test_rare_terms_are_learned(spark):
+    """A term in 1.5% of the toxic texts and in no clean one; words that are rare by chance are none."""
+    r = random.Random(11)
+    words = ["".join(r.choice("abcdefgh") for _ in range(r.randint(3, 8))) for _ in range(3000)]
+    rows = []
+    for i in range(6000):
+        body = r.choices(words, k=15)
+        if i % 5 == 0:
+            body[3] = "vermin" if i % 335 == 0 else "worthless"
+        rows.append((" ".join(body), int(i % 5 == 0)))
+    train = spark.createDataFrame(rows, "text string, label int")
+    model = toxicity.fit(train)
+    assert set(model["terms"]) == {"vermin", "worthless"}
+    cases = spark.createDataFrame([(1, " ".join([*words[:9], "vermin"])), (2, " ".join(words[:9]))], "doc_id long, text string")
+    got = {x["doc_id"]: x["score"] for x in toxicity.score(cases, model).collect()}
+    assert got[1] > 0.7 > got[2]
+
+
+def test_automaton_forgets_states(monkeypatch):
+    terms = {"worthless": 2, "vermin*": 1}
+    cases = ["wortless", "verminous", "vrmin", "worth", "none", "worthless"] * 3
+    want = [toxicity.Lexicon(terms).match(w) for w in cases]
+    monkeypatch.setattr(toxicity, "CACHE_MEMBERS", 5)
+    lexicon = toxicity.Lexicon(terms)
+    assert [lexicon.match(w) for w in cases] == want

@@ -1,7 +1,7 @@
 """Toxicity by a lexicon trie, Levenshtein automata and context windows.
 
-1. The lexicon is learned from labelled documents: words and word beginnings that many toxic
-   documents hold and hardly any clean one.
+1. The lexicon is learned from labelled documents: words and word beginnings that toxic documents
+   hold and hardly any clean one, more often than chance explains.
 2. Its trie is intersected with Levenshtein automata. The states of the product are sets of
    (trie node, edits so far), made when first reached and kept, so reading a word costs one look-up
    a letter, and a word far from every term is given up after a few letters.
@@ -23,8 +23,9 @@ from pyspark.sql import functions as F
 
 from tillroll.llm.common import stored, training_marks
 
-#: A term must be in this share of the toxic documents learned from, and this many times as likely there.
-MIN_SHARE, MIN_RATIO = 0.02, 25.0
+#: A term must be in this many toxic texts, be this many times as likely there as in clean ones, and be spread
+#: over both as it is by chance at most so often. None of the three grows with the texts learned from.
+MIN_TEXTS, MIN_RATIO, MAX_CHANCE = 3, 25.0, 1e-6
 #: Lengths of the word beginnings that can be terms.
 STEMS = range(4, 8)
 #: Words left and right of a hit that decide how it counts.
@@ -38,6 +39,8 @@ _QUOTES = "\"“”„«»"
 _EDGES = ".,;:!?()[]{}<>|…-–—'’`&%#*$=+~^_/\\" + _QUOTES
 #: Words whose match is kept in a task; a word that was let go is read again.
 CACHE_WORDS = 300_000
+#: Members of all automaton states kept in a task; states that were let go are made again.
+CACHE_MEMBERS = 3_000_000
 
 
 def words_of(text: str) -> list[str]:
@@ -81,13 +84,17 @@ class Lexicon:
             self.ends[node] = max(k, self.ends[node])
             self.open[node] |= term.endswith("*")
             self.terms[node] = term
+        self.cache: dict[str, tuple[int, str] | None] = {}
+        self._forget()
+
+    def _forget(self) -> None:
         self.states: dict[tuple, int] = {}
         self.members: list[tuple] = []
         self.steps: list[dict[str, int]] = []
         self.found: list[tuple[int, int] | None] = []
         self.final: list[tuple[int, str] | None] = []
+        self.held = 0
         self.start = self._state({(0, 0, "")}, None)
-        self.cache: dict[str, tuple[int, str] | None] = {}
 
     def _state(self, fresh: set, best: tuple[int, int] | None) -> int:
         """The number of the state with these members, skipped letters of terms included.
@@ -116,6 +123,7 @@ class Lexicon:
         if (members, best) not in self.states:
             self.states[members, best] = len(self.members)
             self.members.append(members)
+            self.held += len(members)
             self.steps.append({})
             self.found.append(best)
             ends = [(e, node) for node, e, held in members if not held and e <= self.ends[node]]
@@ -147,6 +155,8 @@ class Lexicon:
     def match(self, word: str) -> tuple[int, str] | None:
         if word in self.cache:
             return self.cache[word]
+        if self.held > CACHE_MEMBERS:
+            self._forget()
         state = self.start
         for letter in word:
             steps = self.steps[state]
@@ -191,54 +201,70 @@ def hit_features(text: str, lexicon: Lexicon) -> list[float]:
     return np.log1p([direct, misspelt, quoted, aimed, 100 * direct / len(raw)]).tolist()
 
 
-def _counts(rows: DataFrame, wanted: frozenset | None) -> DataFrame:
-    """term, n: documents that hold the word or word beginning; only the wanted ones if they are named."""
+def _counts(train: DataFrame) -> DataFrame:
+    """term, bad, good: toxic and clean documents that hold the word or word beginning."""
 
     def run(batches):
-        count: Counter = Counter()
+        count: tuple[Counter, Counter] = (Counter(), Counter())
         for batch in batches:
-            for text in batch.column(0).to_pylist():
+            for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 words = set(words_of(text or ""))
-                terms = words | {w[:k] + "*" for w in words for k in STEMS if len(w) >= k}
-                count.update(terms if wanted is None else terms & wanted)
-                if len(count) > 500_000:
-                    yield _term_batch(count)
-                    count = Counter()
-        yield _term_batch(count)
+                count[label].update(words | {w[:k] + "*" for w in words for k in STEMS if len(w) >= k})
+                if len(count[0]) + len(count[1]) > 500_000:
+                    yield _term_batch(*count)
+                    count = (Counter(), Counter())
+        yield _term_batch(*count)
 
-    return rows.mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    rows = train.select("label", "text").mapInArrow(run, "term string, bad long, good long")
+    return rows.groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
 
 
-def _term_batch(count: Counter) -> pa.RecordBatch:
+def _term_batch(good: Counter, bad: Counter) -> pa.RecordBatch:
+    terms = list(good.keys() | bad.keys())
     return pa.RecordBatch.from_arrays(
-        [pa.array(list(count), pa.string()), pa.array(list(count.values()), pa.int64())], names=["term", "n"]
+        [pa.array(terms, pa.string()), *(pa.array([c[t] for t in terms], pa.int64()) for c in (bad, good))], names=["term", "bad", "good"]
     )
 
 
+def _evident(counts: DataFrame, bad: int, good: int) -> DataFrame:
+    """The rows of `counts` that may be terms.
+
+    By chance each text that holds a word is toxic as often as any text is; that as many as here are has
+    at most a chance of exp(-evidence) (Chernoff's bound).
+    """
+    n, share = F.col("bad") + F.col("good"), bad / (bad + good)
+    ratio = (F.col("bad") + 0.5) / (bad + 1) / ((F.col("good") + 0.5) / (good + 1))
+    clean = F.when(F.col("good") > 0, F.col("good") * F.log(F.col("good") / (n * (1 - share)))).otherwise(0.0)
+    evidence = F.col("bad") * F.log(F.col("bad") / (n * share)) + clean
+    return counts.filter(F.col("bad") >= MIN_TEXTS).filter((ratio >= MIN_RATIO) & (evidence >= -float(np.log(MAX_CHANCE))))
+
+
 def learn_lexicon(train: DataFrame) -> dict[str, int]:
     """Terms from `train` (text, label 0 or 1) with the edits each allows; none if a class is missing.
 
-    A term is in MIN_SHARE of the toxic documents at least, so there are at most as many terms
-    as a document has words and beginnings, divided by that share, whatever the corpus holds. Of
-    terms that begin alike, the longest one that has nearly all the documents of the shorter one
-    stands for both. A term that words of clean documents lie close to allows no edits.
+    Terms are counted and picked in Spark; those picked reach the driver. Each is in MIN_TEXTS toxic
+    texts at least, so they are at most a third of the words and beginnings of the toxic texts, of which there are
+    at most TRAINING_ROWS. Of terms that begin alike, the longest one that has nearly all the documents
+    of the shorter one stands for both. A term that words of clean documents lie close to allows no edits.
     """
     sizes = {r["label"]: r["n"] for r in train.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     bad, good = sizes.get(1, 0), sizes.get(0, 0)
     if not bad or not good:
         return {}
-    least = max(3, int(MIN_SHARE * bad))
-    often = {r["term"]: r["n"] for r in _counts(train.filter("label = 1").select("text"), None).filter(F.col("n") >= least).collect()}
-    clean = {r["term"]: r["n"] for r in _counts(train.filter("label = 0").select("text"), frozenset(often)).collect()}
-    ratio = {t: (n + 0.5) / (bad + 1) / ((clean.get(t, 0) + 0.5) / (good + 1)) for t, n in often.items()}
-    good_terms = sorted((t for t, r in ratio.items() if r >= MIN_RATIO), key=lambda t: (len(t.rstrip("*")), "*" not in t, t))
+    often = {r["term"]: r["bad"] for r in _evident(_counts(train), bad, good).collect()}
+    good_terms = sorted(often, key=lambda t: (len(t.rstrip("*")), "*" not in t, t))
+    by_word = sorted(often)
     kept: set[str] = set()
     for term in good_terms:
         word = term.rstrip("*")
         if any(word[:k] + "*" in kept for k in STEMS if k <= len(word)):
             continue
-        longer = [t for t in good_terms if t.startswith(word) and often[t] >= 0.9 * often[term]]
-        kept.add(max(longer, key=lambda t: (len(t.rstrip("*")), "*" not in t)))
+        longer, at = [], bisect_left(by_word, word)
+        while at < len(by_word) and by_word[at].startswith(word):
+            if often[by_word[at]] >= 0.9 * often[term]:
+                longer.append(by_word[at])
+            at += 1
+        kept.add(min(longer, key=lambda t: (-len(t.rstrip("*")), "*" in t, t)))
     terms = {t: edits_allowed(t.rstrip("*")) for t in sorted(kept)}
     close = _close_words(train, terms)
     return {t: k if close.get((t, 1), 0) / bad >= MIN_RATIO * close.get((t, 0), 0) / good else 0 for t, k in terms.items()}
