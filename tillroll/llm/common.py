@@ -24,15 +24,15 @@ def shared_folder(spark: SparkSession) -> str:
     return named or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_stored"
 
 
-def stored(df: DataFrame, codec: str = "zstd") -> DataFrame:
-    """The rows written once to the shared folder and read back.
+def stored(df: DataFrame, codec: str = "zstd", by: str | None = None) -> DataFrame:
+    """The rows written once to the shared folder and read back; with `by`, in a folder for each of its values.
 
     Lineage ends there, so a lost executor costs no earlier stage, and whatever an order or a
     partition number decided stays as it was written.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/{spark.sparkContext.applicationId}/llm-{uuid.uuid4()}"
-    df.write.option("compression", codec).parquet(path)
+    df.write.option("compression", codec).parquet(path, partitionBy=by)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillroll.llm import edit_counts, language_model, mixing, neighbours, ngram_join, packing, quality, sharding, sql, topk, toxicity
+from tillroll.llm import (
+    edit_counts, language_model, lexical, mixing, neighbours, ngram_join, packing, quality, sharding, sql, topk, toxicity, warc, whitening,
+)
 from tillroll.llm.common import key_residue, seeded_hash, stored, table, training_marks, word_count
 
 
@@ -104,6 +106,37 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's first 32 whitened components, fitted to all vectors."""
+    rows = table(spark, sf_dir, "embeddings")
+    model = whitening.fit(rows, "embedding", 32)
+    white = whitening.transform(rows, "vec_id", "embedding", model)
+    shares = [] if model is None else model.explained.tolist()
+    return white.select("key", "deviation", F.posexplode("whitened").alias("at", "whitened")).select(
+        F.col("key").alias("vec_id"), (F.col("at") + 1).alias("component"), F.lit(0 if model is None else model.n).cast("long").alias("n"),
+        "deviation", "whitened", F.element_at(F.array(*map(F.lit, shares or [0.0])), F.col("at") + 1).alias("explained"),
+        F.lit(0.0 if model is None else model.identity_error).alias("identity_error"),
+    )
+
+
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written as WARC records and read back from the archives."""
+    path = warc.new_folder(spark)
+    pages = table(spark, sf_dir, "pages")
+    warc.write(pages, path, "page_id", "url", "html")
+    kind = pages.schema["page_id"].dataType
+    return warc.resolved(warc.read(spark, path)).select(
+        F.col("key").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+        F.col("refers_key").cast(kind).alias("refers_to"), "status",
+    )
+
+
+def op13_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best documents of every benchmark item."""
+    found = lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 20)
+    return found.select(F.col("item").alias("item_id"), "rank", F.col("key").alias("doc_id"), "score")
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_quality": op2_quality,
@@ -115,10 +148,15 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_token_counts": op9_token_counts,
     "op10_toxicity": op10_toxicity,
+    "op11_whitening": op11_whitening,
+    "op12_warc": op12_warc,
+    "op13_lexical": op13_lexical,
 }
 
 ORACLE_SQL = {
     "op1_sharding": sql.SHARDING,
     "op4_topk": sql.TOP_K,
     "op8_mixing": sql.MIXING,
+    "op12_warc": sql.WARC,
+    "op13_lexical": sql.LEXICAL,
 }

@@ -88,3 +88,41 @@ scored AS (
 ranked AS (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank FROM scored)
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 """
+
+#: SHA-1 in base32: twenty bits at a time make four characters.
+WARC = """
+WITH raw AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+hashed AS (SELECT page_id, octet_length(payload) AS bytes, sha1(payload) AS h, row_number() OVER () AS place FROM raw),
+told AS (
+    SELECT page_id, bytes,
+        array_to_string(list_transform(range(32), lambda i:
+            substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(h, 1 + 5 * (i // 4), 5))::BIGINT >> (15 - 5 * (i % 4))) & 31)::INT, 1)), '') AS digest,
+        row_number() OVER same AS r, first_value(page_id) OVER same AS first_page
+    FROM hashed WINDOW same AS (PARTITION BY h, bytes ORDER BY page_id DESC NULLS LAST, place)
+)
+SELECT page_id, bytes::BIGINT AS payload_bytes, digest AS payload_digest, CASE WHEN r = 1 THEN 'response' ELSE 'revisit' END AS record_type,
+    CASE WHEN r > 1 THEN first_page END AS refers_to, 'ok' AS status
+FROM told
+"""
+
+_TERMS = "regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+
+LEXICAL = f"""
+WITH docs AS (SELECT doc_id, row_number() OVER () AS place, {_TERMS} AS ts FROM documents),
+sized AS (SELECT doc_id, place, len(ts)::BIGINT AS n FROM docs WHERE len(ts) > 0),
+total AS (SELECT count(*)::BIGINT AS n_docs, sum(n)::BIGINT AS n_terms FROM sized),
+asked AS (SELECT item_id, place, term, count(*)::BIGINT AS times FROM
+    (SELECT item_id, row_number() OVER () AS place, unnest({_TERMS}) AS term FROM benchmark) GROUP BY ALL),
+held AS (SELECT place, term, count(*)::BIGINT AS tf FROM (SELECT place, unnest(ts) AS term FROM docs)
+    WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
+weights AS (SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w
+    FROM (SELECT term, count(*)::BIGINT AS df FROM held GROUP BY term), total),
+added AS (SELECT held.place, held.term, w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * n_docs) // n_terms))) AS value
+    FROM held JOIN sized USING (place) JOIN weights USING (term), total),
+scored AS (SELECT asked.item_id, asked.place AS item_place, added.place, sum(times * value)::BIGINT AS score
+    FROM asked JOIN added USING (term) GROUP BY ALL HAVING sum(times * value) > 0),
+ranked AS (SELECT item_id, doc_id, score,
+    (row_number() OVER (PARTITION BY item_place ORDER BY score DESC, doc_id NULLS LAST))::INTEGER AS rank
+    FROM scored JOIN sized USING (place))
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 20
+"""
