@@ -10,11 +10,11 @@ import uuid
 from pyspark.sql import functions as F
 
 from tillroll.operators.ordering import shared_folder
-from tillroll.plans import marts, queries_experiments, queries_tables
+from tillroll.plans import marts, queries_experiments, queries_tables, refresh
 from tillroll.plans.base_sql import COUNTRIES, CUSTOMERS, DAILY, MONTHLY, PRODUCTS, RAW, TX, with_
 from tillroll.plans.star_tables import StarTables
 from tillroll.schemas import RAW_LINES, WAREHOUSE
-from tillroll.sources import sinks, star, tables, warehouse
+from tillroll.sources import sinks, star, tables, versions, warehouse
 
 QUERIES = {}
 
@@ -133,3 +133,83 @@ add(
     _results_json,
     f"SELECT * FROM ({queries_experiments.QUERIES['ab_ttest'][1]}) UNION ALL SELECT * FROM ({queries_experiments.QUERIES['ab_ttest'][1]})",
 )
+
+
+# --- incremental refresh ---------------------------------------------------
+def _loaded_in_parts(t: StarTables):
+    """The lines loaded as three batches: early ones, later ones, and late lines of all days besides the last ones."""
+    root = _folder(t, "store")
+    late = F.crc32(F.col("Invoice").cast("binary")) % 50 == 0
+    year = F.year("InvoiceDate")
+    part = F.when(late | (year >= 2000), 3).when(year >= 1997, 2).otherwise(1)
+    sinks.save_tables({"lines": t.raw.withColumn("part", part)}, root, partition_by={"lines": ["part"]})
+    for k in (1, 2, 3):
+        lines = tables.read_table(t.spark, f"{root}/lines/part={k}")
+        refresh.load(lines, root, f"part {k}", star.CATEGORY_RULES, star.PRICE_EDGES)
+    return root
+
+
+add(
+    "refreshed_daily_sales",
+    lambda t: refresh.read(t.spark, _loaded_in_parts(t), "daily_sales"),
+    queries_tables.QUERIES["daily_sales"][1],
+)
+# The other tables of the store in one query: table, key, measure, and its value as a number or a text.
+_KEYS = {
+    "product_performance": ("StockCode", "Description", "Product_Category"),
+    "customer_analysis": ("Customer_ID", "Country"),
+    "country_performance": ("Country",),
+    "monthly_trends": ("Year", "Month"),
+    "processing_summary": (),
+}
+_WORDS = {"date_range", "First_Purchase_Date", "Last_Purchase_Date"}
+
+
+def _long_form(t: StarTables):
+    root = _loaded_in_parts(t)
+    _, manifest = versions.latest(t.spark, root)
+    out = None
+    for name, keys in _KEYS.items():
+        df = refresh.read(t.spark, root, name, manifest).drop("processing_date")
+        none = F.lit(None)
+        cells = [
+            F.struct(
+                F.lit(c).alias("measure"),
+                (none if c in _WORDS else F.col(c)).cast("double").alias("value"),
+                ((F.col(c) if c == "date_range" else F.date_format(c, "yyyy-MM-dd HH:mm:ss")) if c in _WORDS else none).cast("string").alias("words"),
+            )
+            for c in df.columns
+            if c not in keys
+        ]
+        part = df.select(F.lit(name).alias("mart"), F.concat_ws("|", *keys).alias("key"), F.inline(F.array(*cells)))
+        out = part if out is None else out.unionAll(part)
+    return out
+
+
+def _long_sql() -> str:
+    parts = []
+    for name, keys in _KEYS.items():
+        statement = queries_tables.QUERIES[name][1]
+        columns = [f.name for f in refresh.schema_of(name).fields if f.name not in (*keys, "processing_date")]
+        key = " || '|' || ".join(f'CAST("{k}" AS VARCHAR)' for k in keys) or "''"
+        parts += [
+            f"""SELECT '{name}' AS mart, {key} AS key, '{c}' AS measure, {'CAST(NULL AS DOUBLE)' if c in _WORDS else f'CAST("{c}" AS DOUBLE)'} AS value,
+              {f'CAST("{c}" AS VARCHAR)' if c in _WORDS else 'CAST(NULL AS VARCHAR)'} AS words FROM ({statement})"""
+            for c in columns
+        ]
+    return " UNION ALL ".join(parts)
+
+
+add("refreshed_tables", _long_form, _long_sql())
+
+
+def _days_done(t: StarTables):
+    _, manifest = versions.latest(t.spark, _loaded_in_parts(t))
+    return refresh.days_done(t.spark, manifest).groupBy("day").agg(F.sum("rows").alias("rows"))
+
+
+add(
+    "refreshed_days",
+    _days_done,
+    with_(TX, """SELECT strftime("Date", '%Y-%m-%d') AS day, count(*) AS "rows" FROM tx GROUP BY 1"""),
+)
