@@ -2,14 +2,17 @@
 
 Money is summed as decimal, which is exact in any order, and means are taken from
 those sums. Distinct counts are exact: Spark first groups by (key, value), so one
-hot key is spread over the values it holds before it is counted.
+hot key is spread over the values it holds before it is counted. Where several columns are
+counted, each is counted by itself, from a scan of its own column; one aggregate over all of them
+would copy every row once per column. So give these operators a stored table, in which a
+column can be read alone.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillroll.functions.columns import mean_of
@@ -22,6 +25,20 @@ def _total(name: str):
     return F.sum(name).cast(TOTAL)
 
 
+def distinct_count(df: DataFrame, column: str) -> Column:
+    """How many values a column holds, as a scalar column."""
+    return df.select(column).distinct().agg(F.count(column)).scalar()
+
+
+def distinct_per(df: DataFrame, group: str, columns: Mapping[str, str]) -> DataFrame:
+    """The group and, for each (name, column), how many values the column holds in it; 0 for none."""
+    out = None
+    for name, column in columns.items():
+        seen = df.select(group, column).distinct().groupBy(group).agg(F.count(column).alias(name))
+        out = seen if out is None else out.join(seen, group)
+    return out
+
+
 def daily_sales(tx: DataFrame) -> DataFrame:
     return tx.groupBy("Date", "Country").agg(
         _total("Revenue").alias("Total_Revenue"),
@@ -86,15 +103,18 @@ def processing_summary(tx: DataFrame) -> DataFrame:
             F.min("Date").cast("string"), F.lit(" to "), F.max("Date").cast("string")
         ).alias("date_range"),
         _total("Revenue").alias("total_revenue"),
-        F.countDistinct("StockCode").alias("unique_products"),
-        F.countDistinct("Customer_ID").alias("unique_customers"),
-        F.countDistinct("Country").alias("countries"),
+    ).select(
+        "*",
+        distinct_count(tx, "StockCode").alias("unique_products"),
+        distinct_count(tx, "Customer_ID").alias("unique_customers"),
+        distinct_count(tx, "Country").alias("countries"),
     )
 
 
 def distinct_counts(df: DataFrame, cols: Sequence[str], approx: bool = False) -> DataFrame:
-    count = F.approx_count_distinct if approx else F.countDistinct
-    return df.agg(*[count(c).alias(c) for c in cols])
+    if approx:
+        return df.agg(*[F.approx_count_distinct(c).alias(c) for c in cols])
+    return df.sparkSession.range(1).select(*[distinct_count(df, c).alias(c) for c in cols])
 
 
 def value_counts(df: DataFrame, col: str, n: int | None = None) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tillroll import fixed
 from tillroll.functions.columns import between_dates, cut, eq_ci, mean_of, ratio
-from tillroll.operators.aggregates import TOTAL, top_n, value_counts
+from tillroll.operators.aggregates import TOTAL, distinct_count, top_n, value_counts
 from tillroll.operators.ordering import quantiles
 
 
@@ -20,13 +20,20 @@ def overview(tx: DataFrame) -> DataFrame:
     return tx.agg(
         F.count(F.lit(1)).alias("total_transactions"),
         F.sum("Revenue").cast(TOTAL).alias("total_revenue"),
-        F.countDistinct("Customer_ID").alias("unique_customers"),
-        F.countDistinct("StockCode").alias("unique_products"),
-        F.countDistinct("Country").alias("countries"),
         F.min("Date").alias("start_date"),
         F.max("Date").alias("end_date"),
         mean_of(F.col("Total_Amount")).alias("avg_order_value"),
-    ).withColumn("top_country", top)
+    ).select(
+        "total_transactions",
+        "total_revenue",
+        distinct_count(tx, "Customer_ID").alias("unique_customers"),
+        distinct_count(tx, "StockCode").alias("unique_products"),
+        distinct_count(tx, "Country").alias("countries"),
+        "start_date",
+        "end_date",
+        "avg_order_value",
+        top.alias("top_country"),
+    )
 
 
 def kpi(tx: DataFrame, monthly: DataFrame) -> DataFrame:

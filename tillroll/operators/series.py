@@ -14,18 +14,23 @@ from pyspark.sql import functions as F
 
 from tillroll import fixed
 from tillroll.functions.columns import mean_of, ratio
-from tillroll.operators.aggregates import TOTAL, value_counts
+from tillroll.operators.aggregates import TOTAL, distinct_per, value_counts
 from tillroll.operators.ordering import rank_in_groups
 
 
 def daily_series(sales: DataFrame) -> DataFrame:
-    """One row per day of sales: revenue, orders, customers, items and products."""
-    return sales.groupBy("Date").agg(
-        F.sum("Revenue").cast(TOTAL).alias("Daily_Revenue"),
-        F.countDistinct("Invoice").alias("Daily_Orders"),
-        F.countDistinct("Customer_ID").alias("Daily_Customers"),
-        F.sum("Quantity").alias("Daily_Items"),
-        F.countDistinct("StockCode").alias("Daily_Products"),
+    """One row per day of sales: revenue, orders, customers, items and products.
+
+    Each distinct count reads the day and its own column, so `sales` should be a stored table.
+    """
+    seen = distinct_per(
+        sales, "Date", {"Daily_Orders": "Invoice", "Daily_Customers": "Customer_ID", "Daily_Products": "StockCode"}
+    )
+    summed = sales.groupBy("Date").agg(
+        F.sum("Revenue").cast(TOTAL).alias("Daily_Revenue"), F.sum("Quantity").alias("Daily_Items")
+    )
+    return summed.join(seen, "Date").select(
+        "Date", "Daily_Revenue", "Daily_Orders", "Daily_Customers", "Daily_Items", "Daily_Products"
     )
 
 

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from tillroll.operators import alerts as AL
 from tillroll.operators import rfm as R
+from tillroll.operators.aggregates import customer_analysis, product_performance
+from tillroll.operators.ordering import durable
 from tillroll.plans.base_sql import CUSTOMERS, PRODUCTS, TX, with_
 from tillroll.plans.star_tables import StarTables
 from tillroll.sources import star
@@ -235,7 +237,7 @@ _ACT = (
 )
 add(
     "alert_revenue_drop",
-    lambda t: AL.alert_revenue_drop(t.tx, star.LINE_ORDER),
+    lambda t: AL.alert_revenue_drop(t.stored_tx, star.LINE_ORDER),
     with_(TX, _DROP + f""" SELECT {_DROP_COLS}, recent_avg < historical_avg * 0.8 AS fired, {_ACT[0]},
       recent_avg, historical_avg FROM d"""),
 )
@@ -254,7 +256,7 @@ add(
 add(
     "alerts",
     lambda t: AL.alerts(
-        t.tx, t.stored_customers, t.products, star.LINE_ORDER,
+        t.stored_tx, durable(customer_analysis(t.stored_tx, ordered=False)), product_performance(t.stored_tx, ordered=False), star.LINE_ORDER,
         drop_ratio=5.0, concentration_pct=0.01, dead_stock_pct=30,
     ),
     with_(CUSTOMERS + PRODUCTS[len(TX):], _DROP + _TOP + _DEAD + f"""

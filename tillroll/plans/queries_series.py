@@ -26,7 +26,7 @@ def add(name: str, build, sql: str | None = None) -> None:
 
 def days(t: StarTables):
     """The full calendar of sales."""
-    return S.date_spine(S.daily_series(sales_only(t.tx)), "Date")
+    return S.date_spine(S.daily_series(sales_only(t.stored_tx)), "Date")
 
 
 SERIES = (
@@ -49,7 +49,7 @@ _DAYCOLS = f"""{_D}, CAST(Daily_Revenue AS DOUBLE) AS Daily_Revenue, Daily_Order
 
 add(
     "daily_series",
-    lambda t: S.daily_series(sales_only(t.tx)),
+    lambda t: S.daily_series(sales_only(t.stored_tx)),
     with_(SERIES, f"SELECT {_DAYCOLS} FROM days"),
 )
 add("daily_calendar", days, with_(SERIES, f"SELECT {_DAYCOLS} FROM full_days"))

@@ -9,6 +9,7 @@ from tillroll.functions import columns as C
 from tillroll.operators import aggregates as A
 from tillroll.operators import etl
 from tillroll.operators import reports as R
+from tillroll.operators.ordering import durable
 from tillroll.plans.base_sql import (
     CLEAN, COUNTRIES, CUSTOMERS, DAILY, MONTHLY, PRODUCTS, TIER, TX, with_,
 )
@@ -157,7 +158,7 @@ add(
 )
 add(
     "processing_summary",
-    lambda t: A.processing_summary(t.tx),
+    lambda t: A.processing_summary(t.stored_tx),
     with_(TX, """SELECT count(*) AS total_records,
       strftime(min("Date"), '%Y-%m-%d') || ' to ' || strftime(max("Date"), '%Y-%m-%d') AS date_range,
       CAST(sum(Revenue) AS DOUBLE) AS total_revenue, count(DISTINCT StockCode) AS unique_products,
@@ -165,7 +166,7 @@ add(
 )
 add(
     "distinct_counts",
-    lambda t: A.distinct_counts(t.tx, ["StockCode", "Customer_ID", "Country"]),
+    lambda t: A.distinct_counts(t.stored_tx, ["StockCode", "Customer_ID", "Country"]),
     with_(TX, """SELECT count(DISTINCT StockCode) AS StockCode, count(DISTINCT Customer_ID) AS Customer_ID,
       count(DISTINCT Country) AS Country FROM tx"""),
 )
@@ -222,7 +223,7 @@ add(
 # --- reports ---------------------------------------------------------------
 add(
     "overview",
-    lambda t: R.overview(t.tx),
+    lambda t: R.overview(t.stored_tx),
     with_(TX, """SELECT count(*) AS total_transactions, CAST(sum(Revenue) AS DOUBLE) AS total_revenue,
       count(DISTINCT Customer_ID) AS unique_customers, count(DISTINCT StockCode) AS unique_products,
       count(DISTINCT Country) AS countries, strftime(min("Date"), '%Y-%m-%d') AS start_date,
@@ -232,7 +233,7 @@ add(
 )
 add(
     "kpi",
-    lambda t: R.kpi(t.tx, t.monthly),
+    lambda t: R.kpi(t.stored_tx, A.monthly_trends(t.stored_tx)),
     with_(MONTHLY, """, g AS (SELECT "Year", "Month",
         (CAST(Total_Revenue AS DOUBLE) / CAST(lag(Total_Revenue) OVER w AS DOUBLE) - 1) * 100 AS revenue_growth_pct,
         (CAST(Total_Transactions AS DOUBLE) / lag(Total_Transactions) OVER w - 1) * 100 AS transactions_growth_pct,
@@ -358,7 +359,7 @@ add(
 )
 add(
     "transaction_context",
-    lambda t: R.transaction_context(t.tx),
+    lambda t: R.transaction_context(t.stored_tx),
     with_(TX, """SELECT count(*) AS "rows", CAST(min(Revenue) AS DOUBLE) AS min_revenue,
       CAST(max(Revenue) AS DOUBLE) AS max_revenue, strftime(min("Date"), '%Y-%m-%d') AS start_date,
       strftime(max("Date"), '%Y-%m-%d') AS end_date,
@@ -444,8 +445,9 @@ add(
 add(
     "table_counts",
     lambda t: tables.count_frames(
-        {"tx": t.tx, "daily_sales": t.daily, "customer_analysis": t.customers,
-         "product_performance": t.products, "country_performance": t.countries, "missing": None}
+        {"tx": t.stored_tx, "daily_sales": A.daily_sales(t.stored_tx), "customer_analysis": A.customer_analysis(t.stored_tx, False),
+         "product_performance": A.product_performance(t.stored_tx, False),
+         "country_performance": A.country_performance(t.stored_tx, False), "missing": None}
     ),
     with_(DAILY + CUSTOMERS[len(TX):] + PRODUCTS[len(TX):] + COUNTRIES[len(TX):], """
       SELECT 'tx' AS table_name, count(*) AS n FROM tx UNION ALL SELECT 'daily_sales', count(*) FROM daily
@@ -456,8 +458,9 @@ add(
 add(
     "business_report",
     lambda t: business_report(
-        {FACT: t.tx, "customer_analysis": t.stored_customers, "product_performance": t.stored_products,
-         "country_performance": t.stored_countries}, star.TIER_EDGES,
+        {FACT: t.stored_tx, "customer_analysis": durable(A.customer_analysis(t.stored_tx, False)),
+         "product_performance": durable(A.product_performance(t.stored_tx, False)),
+         "country_performance": durable(A.country_performance(t.stored_tx, False))}, star.TIER_EDGES,
     ),
     with_(CUSTOMERS + PRODUCTS[len(TX):] + COUNTRIES[len(TX):], f""",
       q AS (SELECT quantile_cont(CAST(Total_Revenue AS DOUBLE), 0.25) AS q1,

@@ -52,7 +52,17 @@ class StarTables:
     def monthly(self) -> DataFrame:
         return aggregates.monthly_trends(self.tx)
 
-    # For queries that read an aggregate more than once: built once, then stored.
+    # For queries that read a table more than once: built once, then stored.
+    @cached_property
+    def stored_tx(self) -> DataFrame:
+        """The columns of the fact that reports and series read; the star is joined for them once."""
+        return durable(
+            self.tx.select(
+                "Invoice", "StockCode", "Description", "Product_Category", "Customer_ID", "Country", "InvoiceDate", "Date",
+                "Year", "Month", "Quantity", "Absolute_Quantity", "Price", "Total_Amount", "Revenue",
+            )
+        )
+
     @cached_property
     def stored_products(self) -> DataFrame:
         return durable(self.products)
