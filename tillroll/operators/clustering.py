@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 from tillroll import fixed
 from tillroll.functions.columns import fill_zero, mean_of, ratio
 from tillroll.operators.aggregates import TOTAL
-from tillroll.operators.ordering import durable, quantiles
+from tillroll.operators.ordering import durable
+from tillroll.operators.selection import column_quantiles
 from tillroll.operators.rfm import fill_median
 
 
@@ -187,8 +188,8 @@ def cluster_profiles(
         F.avg("x").alias("mean"),
         F.stddev_samp("x").alias("std"),
     )
-    medians = quantiles(long, "x", (0.5,), [cluster, "feature"]).select(
-        cluster, "feature", F.col("value").alias("median")
+    medians = column_quantiles(df, features, (0.5,), [cluster]).select(
+        cluster, F.col("column").alias("feature"), F.col("value").alias("median")
     )
     return stats.join(medians, [cluster, "feature"]).withColumn(
         "percentage", ratio(F.col("size"), rows) * 100

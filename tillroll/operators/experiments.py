@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from tillroll import fixed
 from tillroll.functions.columns import mean_of, ratio
 from tillroll.functions.pvalues import t_pvalue, upper_normal_pvalue
-from tillroll.operators.ordering import quantiles, rank_in_groups, running_totals
+from tillroll.operators.ordering import rank_in_groups, running_totals
+from tillroll.operators.selection import quantiles
 
 CONTROL, TREATMENT = "control", "treatment"
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tillroll import fixed
 from tillroll.functions.columns import between_dates, cut, eq_ci, mean_of, ratio
 from tillroll.operators.aggregates import TOTAL, distinct_count, top_n, value_counts
-from tillroll.operators.ordering import quantiles
+from tillroll.operators.selection import quantiles
 
 
 def overview(tx: DataFrame) -> DataFrame:

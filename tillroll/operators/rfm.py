@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from tillroll import fixed
 from tillroll.functions.columns import cut, mean_of, ratio
 from tillroll.operators.aggregates import TOTAL
-from tillroll.operators.ordering import durable, quantile, quantiles, rank_in_groups
+from tillroll.operators.ordering import durable, rank_in_groups
+from tillroll.operators.selection import column_quantiles, quantile
 
 
 def _as_of(last_days: DataFrame, last: str, as_of) -> Column:
@@ -292,19 +293,7 @@ def churn_risk_summary(df: DataFrame) -> DataFrame:
 def retention_actions(df: DataFrame) -> DataFrame:
     """One row per rule that holds for at least one customer: customers and value."""
     q = (
-        quantiles(
-            df.select(
-                F.inline(
-                    F.array(
-                        *[
-                            F.struct(F.lit(c).alias("m"), F.col(c).cast("double").alias("x"))
-                            for c in ("Frequency", "Monetary")
-                        ]
-                    )
-                )
-            ),
-            "x", (0.3, 0.7), ["m"],
-        )
+        column_quantiles(df, ("Frequency", "Monetary"), (0.3, 0.7)).withColumnRenamed("column", "m")
         .agg(
             F.struct(
                 F.max(F.when((F.col("m") == "Frequency") & (F.col("prob") == 0.3), F.col("value"))).alias("f"),
@@ -337,18 +326,9 @@ def retention_actions(df: DataFrame) -> DataFrame:
 
 def fill_median(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Nulls become the column's exact median."""
-    long = df.select(
-        F.inline(
-            F.array(
-                *[
-                    F.struct(F.lit(c).alias("c"), F.col(c).cast("double").alias("x")) for c in cols
-                ]
-            )
-        )
-    )
     medians = (
-        quantiles(long, "x", (0.5,), ["c"])
-        .agg(F.map_from_entries(F.collect_list(F.struct("c", "value"))))
+        column_quantiles(df, cols, (0.5,))
+        .agg(F.map_from_entries(F.collect_list(F.struct("column", "value"))))
         .scalar()
     )
     return df.withColumns(

@@ -9,6 +9,9 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from tillroll import fixed
+from tillroll.operators.aggregates import country_performance
+from tillroll.operators.etl import add_features, clean
 from tillroll.operators.ordering import shared_folder
 from tillroll.plans import marts, queries_experiments, queries_tables, refresh
 from tillroll.plans.base_sql import COUNTRIES, CUSTOMERS, DAILY, MONTHLY, PRODUCTS, RAW, TX, with_
@@ -213,3 +216,23 @@ add(
     _days_done,
     with_(TX, """SELECT strftime("Date", '%Y-%m-%d') AS day, count(*) AS "rows" FROM tx GROUP BY 1"""),
 )
+
+
+# --- the star in buckets ---------------------------------------------------
+def _stored_star(t: StarTables):
+    """The star loaded into the session's warehouse, and its lines."""
+    warehouse.store_star(*(t.table(n) for n in ("lineitem", "orders", "part", "customer", "nation")))
+    return warehouse.stored_lines(t.spark)
+
+
+add(
+    "bucketed_invoices",
+    lambda t: warehouse.invoice_totals(_stored_star(t)),
+    with_(RAW, """SELECT CAST(replace(Invoice, 'INV', '') AS BIGINT) AS order_key, count(*) AS lines, CAST(sum(abs(Quantity)) AS BIGINT) AS items,
+      CAST(sum(CAST(abs(Quantity) * Price AS DECIMAL(18,2))) AS DOUBLE) AS amount FROM raw GROUP BY 1"""),
+)
+add(
+    "bucketed_countries",
+    lambda t: country_performance(add_features(clean(_stored_star(t)), star.CATEGORY_RULES, star.PRICE_EDGES, fixed.PRICE_LABELS), False),
+    queries_tables.QUERIES["country_performance"][1],
+)

@@ -417,7 +417,7 @@ _PROFILED = tuple(
 )
 add(
     "profile_transactions",
-    lambda t: tables.profile(t.tx).withColumn("stddev", F.round("stddev", 4)),
+    lambda t: tables.profile(durable(t.tx)).withColumn("stddev", F.round("stddev", 4)),
     with_(TX, """, q AS (SELECT count(*) AS n FROM tx)""" + "".join(
         f""", {c.lower()}_p AS (SELECT '{c}' AS "column", '{typ}' AS type, count(*) AS "rows",
           count(*) - count({c}) AS nulls,

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from tillroll import fixed
 from tillroll.functions.columns import mean_of, ratio
-from tillroll.operators.ordering import quantiles
+from tillroll.operators.selection import column_quantiles
 from tillroll.schemas import BY_DATASET
 
 
@@ -121,7 +121,8 @@ def validate_table(df: DataFrame, required: Sequence[str]) -> DataFrame:
 def profile(df: DataFrame) -> DataFrame:
     """One row per column: type, nulls, range, and for numbers mean, spread and quartiles.
 
-    Counts, ranges and moments of all columns come from one pass. Quartiles are exact.
+    Counts, ranges and moments of all columns come from one pass. Quartiles are exact and come from
+    histograms of all columns together.
     """
     numeric = [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]
     n = F.count(F.lit(1))
@@ -146,17 +147,7 @@ def profile(df: DataFrame) -> DataFrame:
     base = df.agg(F.array(*measures).alias("m")).select(F.inline("m"))
     if not numeric:
         return base.withColumns({p: F.lit(None).cast("double") for p in ("p25", "p50", "p75")})
-    long = df.select(
-        F.inline(
-            F.array(
-                *[
-                    F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("double").alias("x"))
-                    for c in numeric
-                ]
-            )
-        )
-    )
-    spread = quantiles(long, "x", (0.25, 0.5, 0.75), ["column"])
+    spread = column_quantiles(df, numeric, (0.25, 0.5, 0.75))
     wide = spread.groupBy("column").agg(
         *[F.max(F.when(F.col("prob") == p, F.col("value"))).alias(f"p{int(p * 100)}")
           for p in (0.25, 0.5, 0.75)]
