@@ -315,3 +315,26 @@ add(
       SELECT {_STAMP.format("s")} AS window_start, {_STAMP.format("s + INTERVAL 1 HOUR")} AS window_end, revenue,
       e AS earlier_avg, (e - revenue) / e * 100 AS drop_pct FROM a WHERE revenue < e * 0.8::DOUBLE""",
 )
+
+
+def _watched_series(t: StarTables):
+    """The events folder read as a stream to its end, a series per event type; every window that closed."""
+    source = t.spark.readStream.schema(t.events.schema).option("pathGlobFilter", "events.parquet")
+    stream = source.parquet(t.sf_dir).withColumn("value", F.col("value").cast("decimal(18,2)"))
+    folder = f"{shared_folder(t.spark)}/series-watch-{uuid.uuid4()}"
+    RW.watch_series(stream, folder, "event_type").awaitTermination()
+    return t.spark.read.parquet(f"{folder}/windows")
+
+
+add(
+    "stream_series_alerts",
+    _watched_series,
+    f"""WITH h AS (SELECT event_type AS series, date_trunc('hour', ts) AS s, sum(CAST(value AS DECIMAL(18,2))) AS revenue, count(*) AS n
+        FROM events GROUP BY ALL),
+      c AS (SELECT * FROM h WHERE s + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE),
+      a AS (SELECT series, s, n, CAST(revenue AS DOUBLE) AS revenue, CAST(sum(revenue) OVER w AS DOUBLE) / count(revenue) OVER w AS e FROM c
+        WINDOW w AS (PARTITION BY series ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+      SELECT series, {_STAMP.format("s")} AS window_start, {_STAMP.format("s + INTERVAL 1 HOUR")} AS window_end, revenue, n AS "rows",
+        CASE WHEN e <> 'nan'::DOUBLE THEN e END AS earlier_avg, CASE WHEN revenue < e * 0.8::DOUBLE THEN (e - revenue) / e * 100 END AS drop_pct,
+        coalesce(revenue < e * 0.8::DOUBLE, false) AS fired FROM a""",
+)

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
 from tillroll import fixed
 from tillroll.functions.columns import ratio
@@ -95,3 +96,87 @@ def stream_revenue_alerts(
         .trigger(**(trigger or {"availableNow": True}))
         .start()
     )
+
+
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class _Judge(StatefulProcessor):
+    """Holds the sum and number of a series' closed windows, and sets each new one against their mean."""
+
+    def __init__(self, drop_ratio: float, kind: str):
+        self.drop_ratio, self.kind = drop_ratio, kind
+
+    def init(self, handle) -> None:
+        self.before = handle.getValueState("before", f"total {self.kind}, n long")
+
+    def handleInputRows(self, key, rows, timerValues):
+        held = self.before.get()
+        total, n = (None, 0) if held is None else (held[0], held[1])
+        # A batch brings a series its newly closed windows, and all windows before them came with earlier batches.
+        for row in sorted(rows, key=lambda r: r["window_start"]):
+            revenue = row["revenue"]
+            mean = float(total) / n if n else None
+            fired = mean is not None and revenue is not None and float(revenue) < mean * self.drop_ratio
+            drop = (mean - float(revenue)) / mean * 100 if fired and mean else None
+            yield Row(
+                series=key[0], window_start=row["window_start"], window_end=row["window_end"], revenue=revenue,
+                rows=row["rows"], earlier_avg=mean, drop_pct=drop, fired=fired,
+            )
+            if revenue is not None:
+                total, n = (revenue if total is None else total + revenue), n + 1
+        if n:
+            self.before.update((total, n))
+
+    def close(self) -> None:
+        pass
+
+
+def watch_series(
+    events: DataFrame,
+    folder: str,
+    series: str,
+    time: str = "ts",
+    value: str = "value",
+    window: str = "1 hour",
+    delay: str = "10 minutes",
+    drop_ratio: float = fixed.ALERT_DROP_RATIO,
+    trigger: dict | None = None,
+) -> StreamingQuery:
+    """Start a watch of every series by itself, with all its state in the stream.
+
+    Spark's own aggregation holds the open windows, adds up rows before they are shuffled, and drops late ones. What it
+    closes goes by series to a keyed state of one sum and one number. Closed windows are written to
+    `folder/windows` once each, with `earlier_avg`, `drop_pct` and `fired`; the alerts are the rows that fired. No
+    earlier output is read, and a restart goes on from the checkpoint. A null series is a series.
+    """
+    spark = events.sparkSession
+    timed = events.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, delay)
+    closed = (
+        timed.groupBy(F.col(series).alias("series"), F.window(time, window).alias("w"))
+        .agg(F.sum(value).alias("revenue"), F.count(F.lit(1)).alias("rows"))
+        .select("series", F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "revenue", "rows")
+    )
+    kind = closed.schema["revenue"].dataType
+    total = "decimal(38,%d)" % kind.scale if isinstance(kind, T.DecimalType) else kind.simpleString()
+    out = T.StructType(
+        [
+            *closed.schema.fields, T.StructField("earlier_avg", T.DoubleType()), T.StructField("drop_pct", T.DoubleType()),
+            T.StructField("fired", T.BooleanType()),
+        ]
+    )
+    judged = closed.groupBy("series").transformWithState(_Judge(drop_ratio, total), out, "append", "none")
+    provider = spark.conf.get(_PROVIDER)
+    spark.conf.set(_PROVIDER, _ROCKSDB)
+    try:
+        return (
+            judged.writeStream.format("parquet")
+            .outputMode("append")
+            .option("path", f"{folder}/windows")
+            .option("checkpointLocation", f"{folder}/checkpoint")
+            .trigger(**(trigger or {"availableNow": True}))
+            .start()
+        )
+    finally:
+        spark.conf.set(_PROVIDER, provider)
