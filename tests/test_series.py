@@ -163,3 +163,44 @@ def test_sequences_longer_than_a_block(spark):
     df = spark.createDataFrame([("k", i, float(i)) for i in range(40)], "k string, t int, v double")
     got = S.sequences(df, "k", "v", ["t"], 5, 10, None, 3).collect()
     assert len(got) == 35 and all(r["sequence"] == [r["target"] - j for j in range(5, 0, -1)] for r in got)
+
+
+def _least_squares(x, lag, max_lag):
+    """Statistic and AIC from numpy, on the rows that have all `max_lag` lags."""
+    d = np.diff(x)
+    y = d[max_lag:]
+    level = x[max_lag:-1] - x.mean()  # the constant takes up the shift, and the products stay exact
+    cols = [np.ones(len(y)), level] + [d[max_lag - k : len(d) - k] for k in range(1, lag + 1)]
+    a = np.column_stack(cols)
+    beta, *_ = np.linalg.lstsq(a, y, rcond=None)
+    rss = ((y - a @ beta) ** 2).sum()
+    cov = rss / (len(y) - a.shape[1]) * np.linalg.inv(a.T @ a)
+    return beta[1] / np.sqrt(cov[1, 1]), len(y) * np.log(rss / len(y)) + 2 * a.shape[1], len(y)
+
+
+def test_lagged_stationarity_matches_least_squares(spark):
+    r = np.random.default_rng(5)
+    walk, back = 1e6 + np.cumsum(r.normal(size=120)), np.zeros(120)
+    for i in range(1, 120):
+        back[i] = 0.5 * back[i - 1] + r.normal() + 0.3 * (back[i - 1] - back[max(0, i - 2)])
+    days_ = [dt.date(2024, 1, 1) + dt.timedelta(days=i) for i in range(120)]
+    rows = [(k, d, float(v)) for k, xs in (("walk", walk), ("back", back), ("flat", np.ones(120))) for d, v in zip(days_, xs)]
+    rows += [("short", days_[i], float(i * i)) for i in range(6)]
+    df = spark.createDataFrame(rows, "s string, day date, v double").repartition(4)
+    got = {(x["s"], x["lag"]): x for x in S.lagged_stationarity(df, "v", "day", "s").collect()}
+    for name, xs in (("walk", walk), ("back", back)):
+        aics = []
+        for lag in range(6):
+            stat, aic, n = _least_squares(xs, lag, 5)
+            row = got[name, lag]
+            assert row["n"] == n and row["df_statistic"] == pytest.approx(stat, rel=1e-6) and row["aic"] == pytest.approx(aic, rel=1e-6)
+            aics.append(aic)
+        assert [got[name, lag]["chosen"] for lag in range(6)] == [a == min(aics) for a in aics]
+    assert got["back", 0]["is_stationary"] and got["back", 0]["p_value"] < 0.01 and got["walk", 0]["p_value"] > 0.05
+    assert all(got["flat", lag]["df_statistic"] is None and not got["flat", lag]["chosen"] for lag in range(6))
+    assert ("short", 0) not in got
+
+
+@pytest.mark.parametrize("stat, p", [(-3.43, 0.01), (-2.86, 0.05), (-2.57, 0.10), (-0.44, 0.90), (-0.07, 0.95), (0.6, 0.99), (-20, 0.0), (3, 1.0)])
+def test_p_values_at_the_known_points(stat, p):
+    assert S._dickey_fuller_p(stat) == pytest.approx(p, abs=0.004)

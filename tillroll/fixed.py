@@ -78,6 +78,12 @@ CHANGE_PERIODS = (1, 7)
 SEASON = 7
 # 5% critical value of the Dickey-Fuller t statistic with a constant.
 DICKEY_FULLER_5PCT = -2.86
+# MacKinnon's response surface for a constant and one series. Beyond the ends p is 0 or 1; up to the
+# star the first polynomial holds, above it the second; the normal distribution of its value is p.
+DICKEY_FULLER_ENDS = (-18.83, 2.74)
+DICKEY_FULLER_STAR = -1.61
+DICKEY_FULLER_LOW = (2.1659, 1.4412, 0.038269)
+DICKEY_FULLER_HIGH = (1.7339, 0.93202, -0.12745, -0.010368)
 
 # --- experiments -----------------------------------------------------------
 ALPHA = 0.05

@@ -9,6 +9,8 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -235,6 +237,83 @@ def stationarity(
     )
 
 
+def lagged_stationarity(
+    df: DataFrame, value: str, order: str, series: str | None = None, max_lag: int = 5, critical: float = fixed.DICKEY_FULLER_5PCT
+) -> DataFrame:
+    """Augmented Dickey-Fuller tests with a constant and 0 to `max_lag` lagged differences: a row per lag.
+
+    One pass takes the covariances of the difference, the level before it and the lagged differences, over the
+    rows that have all of them. The regression of every order is solved from a part of that matrix, so the
+    orders share their rows and their AIC can be compared; `chosen` marks the smallest. `series`, `lag`, `n`,
+    `df_statistic`, `p_value`, `aic`, `critical_value`, `is_stationary`, `chosen`. Statistics are null where a
+    regression has no answer (too few rows, or constant values).
+    """
+    w = _over(order, series)
+    x = F.col(value).cast("double")
+    level = df.withColumn("_level", F.lag(x).over(w)).withColumn("_d0", x - F.col("_level"))
+    names = ["_d0", "_level", *[f"_d{k}" for k in range(1, max_lag + 1)]]
+    lagged = level.withColumns({f"_d{k}": F.lag("_d0", k).over(w) for k in range(1, max_lag + 1)}).dropna(subset=names)
+    keys = [series] if series else []
+    pairs = [(a, b) for i, a in enumerate(names) for b in names[i:]]
+    moments = lagged.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), F.array(*[F.covar_pop(a, b) for a, b in pairs]).alias("covariances")
+    )
+    size = len(names)
+
+    def solve(batches):
+        upper = np.triu_indices(size)
+        for batch in batches:
+            rows = []
+            for at, (n, held) in enumerate(zip(batch["n"], batch["covariances"])):
+                whole = np.zeros((size, size))
+                if n:
+                    whole[upper] = held
+                    whole = whole + np.triu(whole, 1).T
+                rows += [(at, lag, *_regressed(whole, int(n), lag)) for lag in range(max_lag + 1)]
+            out = pd.DataFrame(rows, columns=["at", "lag", "df_statistic", "p_value", "aic"])
+            for c in ("n", *keys):
+                out[c] = batch[c].to_numpy()[out["at"]]
+            best = out.groupby("at")["aic"].transform("min")
+            out["chosen"] = out["aic"].notna() & (out["aic"] == best)
+            yield out[[*keys, "lag", "n", "df_statistic", "p_value", "aic", "chosen"]]
+
+    key_type = "".join(f"`{k}` {df.schema[k].dataType.simpleString()}, " for k in keys)
+    solved = moments.mapInPandas(solve, f"{key_type}lag int, n long, df_statistic double, p_value double, aic double, chosen boolean")
+    stat = F.col("df_statistic")
+    return solved.select(
+        *keys, "lag", "n", "df_statistic", "p_value", "aic", F.lit(critical).alias("critical_value"),
+        (stat < critical).alias("is_stationary"), "chosen",
+    )
+
+
+def _regressed(covariances: np.ndarray, n: int, lag: int) -> tuple:
+    """Statistic, p and AIC of the regression on the level and `lag` lagged differences; Nones without an answer."""
+    free = n - lag - 2
+    a, b = covariances[1 : lag + 2, 1 : lag + 2], covariances[1 : lag + 2, 0]
+    scale = np.sqrt(np.diag(a))
+    if free <= 0 or not (scale > 0).all():
+        return None, None, None
+    unit = a / np.outer(scale, scale)
+    if np.linalg.cond(unit) > 1e12:
+        return None, None, None
+    inverse = np.linalg.inv(unit) / np.outer(scale, scale)
+    slopes = inverse @ b
+    rest = covariances[0, 0] - slopes @ b
+    if rest <= 0:
+        return None, None, None
+    stat = slopes[0] / math.sqrt(rest * n / free * inverse[0, 0] / n)
+    return stat, _dickey_fuller_p(stat), n * math.log(rest) + 2 * (lag + 2)
+
+
+def _dickey_fuller_p(stat: float) -> float:
+    low, high = fixed.DICKEY_FULLER_ENDS
+    if not low <= stat <= high:
+        return 0.0 if stat < low else 1.0
+    terms = fixed.DICKEY_FULLER_LOW if stat <= fixed.DICKEY_FULLER_STAR else fixed.DICKEY_FULLER_HIGH
+    z = sum(c * stat**k for k, c in enumerate(terms))
+    return 0.5 * math.erfc(-z / math.sqrt(2))
+
+
 def seasonality(df: DataFrame, value: str = "Daily_Revenue") -> DataFrame:
     """Best and worst weekday and month, and the weekend to weekday ratio."""
     means = {

@@ -205,6 +205,52 @@ add(
     with_(DAILY, ", y AS (SELECT Country, \"Date\", CAST(Total_Revenue AS DOUBLE) AS x FROM daily)"
           + _DF.format(k="Country,", src="y", p="PARTITION BY Country", by="GROUP BY 1")),
 )
+
+
+def _adf_sql(src: str, key: str, max_lag: int = 5) -> str:
+    """Least squares by taking one lagged difference after the other out of all columns; `key` is '' or a column of `src`."""
+    part, by = (f"PARTITION BY {key}", f"{key}, ") if key else ("", "")
+    names = ["d", "x0", *[f"d{k}" for k in range(1, max_lag + 1)]]
+    steps = [
+        f"""z0 AS (SELECT {by}"Date", x - lag(x) OVER w AS d, lag(x) OVER w AS x0 FROM {src} WINDOW w AS ({part} ORDER BY "Date"))""",
+        f"""z1 AS (SELECT *, {", ".join(f"lag(d, {k}) OVER w AS d{k}" for k in range(1, max_lag + 1))} FROM z0 WINDOW w AS ({part} ORDER BY "Date"))""",
+        f"""r0 AS (SELECT {by}{", ".join(f"{c} - avg({c}) OVER w AS {c}" for c in names)} FROM z1
+          WHERE d{max_lag} IS NOT NULL AND d IS NOT NULL WINDOW w AS ({part}))""",
+    ]
+    for k in range(1, max_lag + 1):
+        kept = [c for c in names if c in ("d", "x0") or int(c[1:]) > k]
+        out = ", ".join(f"{c} - d{k} * (sum({c} * d{k}) OVER w / sum(d{k} * d{k}) OVER w) AS {c}" for c in kept)
+        steps.append(f"r{k} AS (SELECT {by}{out} FROM r{k - 1} WINDOW w AS ({part}))")
+    fits = " UNION ALL ".join(
+        f"SELECT {by}{k} AS lag, count(*) AS n, sum(x0 * x0) AS sxx, sum(d * d) AS syy, sum(d * x0) AS sxy FROM r{k} {'GROUP BY ' + key if key else ''}"
+        for k in range(max_lag + 1)
+    )
+    low, high = (" + ".join(f"{c!r}::DOUBLE * power(t, {i})" for i, c in enumerate(x)) for x in (fixed.DICKEY_FULLER_LOW, fixed.DICKEY_FULLER_HIGH))
+    odd = "exp((2 * k + 1) * ln(abs(z)) - lgamma(2 * k + 2) + k * ln(2) + lgamma(k + 1))"
+    return f""", {", ".join(steps)}, fits AS ({fits}),
+      s AS (SELECT *, syy - sxy * sxy / sxx AS rss FROM fits),
+      st AS (SELECT *, sxy / sxx / sqrt(rss / (n - lag - 2) / sxx) AS t, n * ln(rss / n) + 2 * (lag + 2) AS aic FROM s),
+      zs AS (SELECT *, CASE WHEN t <= {fixed.DICKEY_FULLER_STAR} THEN {low} ELSE {high} END AS z FROM st),
+      ps AS (SELECT *, 0.5 + sign(z) * exp(-z * z / 2) / sqrt(2 * pi()) * list_sum(list_transform(range(160), lambda k: {odd})) AS p FROM zs)
+      SELECT {by}lag::INTEGER AS lag, n, round(t, 5) AS df_statistic,
+        CASE WHEN t < {fixed.DICKEY_FULLER_ENDS[0]} THEN 0 WHEN t > {fixed.DICKEY_FULLER_ENDS[1]} THEN 1 ELSE round(p, 6) END::DOUBLE AS p_value, round(aic, 4) AS aic, -2.86::DOUBLE AS critical_value,
+        t < -2.86 AS is_stationary, aic = min(aic) OVER ({part}) AS chosen FROM ps"""
+
+
+def _rounded_adf(df):
+    return df.withColumns({"df_statistic": F.round("df_statistic", 5), "p_value": F.round("p_value", 6), "aic": F.round("aic", 4)})
+
+
+add(
+    "stationarity_lags",
+    lambda t: _rounded_adf(S.lagged_stationarity(days(t), V, "Date")),
+    with_(SERIES, ', y AS (SELECT "Date", v AS x FROM f)' + _adf_sql("y", "")),
+)
+add(
+    "stationarity_lags_by_country",
+    lambda t: _rounded_adf(S.lagged_stationarity(t.daily, "Total_Revenue", "Date", "Country")),
+    with_(DAILY, ', y AS (SELECT Country, "Date", CAST(Total_Revenue AS DOUBLE) AS x FROM daily)' + _adf_sql("y", "Country")),
+)
 _CAL = """, c AS (SELECT v, CAST(isodow("Date") - 1 AS INTEGER) AS dow, CAST(month("Date") AS INTEGER) AS mon, isodow("Date") >= 6 AS we FROM f),
   w AS (SELECT dow AS k, CAST(sum(v) AS DOUBLE) / count(v) AS m FROM c GROUP BY 1),
   mo AS (SELECT mon AS k, CAST(sum(v) AS DOUBLE) / count(v) AS m FROM c GROUP BY 1)"""
