@@ -36,6 +36,8 @@ from tillroll.llm.common import stored
 
 #: Documents of a segment, and postings after which one is closed early.
 SEGMENT_DOCS, SEGMENT_POSTINGS = 4096, 1 << 20
+#: Segments of one task, about, when blocks are made.
+TASK_SEGMENTS = 4
 #: Postings of a block, about.
 BLOCK = 128
 #: Dimensions of the sketches by which documents are clustered.
@@ -127,13 +129,15 @@ class Questions:
 def index(docs: DataFrame, questions: Questions, key: str, text: str) -> DataFrame:
     """The stored segments, see _INDEX."""
     forward = stored(_forward(docs, questions, key, text))
-    total = forward.agg(F.sum("docs").alias("docs"), F.sum("terms").alias("terms")).first()
+    total = forward.agg(F.sum("docs").alias("docs"), F.sum("terms").alias("terms"), F.count(F.lit(1)).alias("segments")).first()
     n, length = total["docs"] or 0, total["terms"] or 0
     held = np.zeros(questions.size, np.int64)
     for r in _held(forward, questions.size).collect():
         held[r["term"]] = r["df"]
     questions.weights = np.array([math.floor(1000 * math.log((2 * n + 2) / (2 * df + 1))) for df in held.tolist()], np.int64)
-    rows = forward.withColumn("segment", F.monotonically_increasing_id())
+    # Packed documents are small and their blocks much work, so files say little about the work in them.
+    tasks = max(1, math.ceil(total["segments"] / TASK_SEGMENTS))
+    rows = forward.withColumn("segment", F.monotonically_increasing_id()).repartition(tasks, "segment")
     place = F.xxhash64("segment")
     step = F.when(F.pmod(place, F.lit(STEPS[0])) == 0, 0).when(F.pmod(place, F.lit(STEPS[1])) == 0, 1).otherwise(2)
 
