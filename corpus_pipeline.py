@@ -52,7 +52,7 @@ STAGES = [
     ("packing", pack_sequences),
 ]
 
-#: The stages fit models and run a tokenizer, which SQL cannot; tests hold the rows against brute force.
+#: The stages fit models and run a tokenizer, which SQL cannot; tests hold stages against labels and the operators by themselves.
 ORACLE_SQL = None
 
 
