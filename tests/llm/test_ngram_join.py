@@ -148,3 +148,34 @@ def test_rows_that_share_a_key(spark):
     assert sorted(n for k, _, n in kept if k == 5) == list(range(1, 30))
     assert sorted(k for k, _, _ in kept if k != 5) == [3, *range(10, 40)]
     assert sorted(kept) == sorted(tuple(x) for x in ngram_join.one_of_each(docs.repartition(3)).collect())
+
+
+def test_rows_without_key_hold_chains_together(spark):
+    words = [f"w{i}" for i in range(200)]
+    rows = [(1, " ".join(words)), (None, " ".join(words[:190])), (2, " ".join(words[:172])), (None, " ".join(words[:186])),
+            (None, "a b c d e f"), (None, "A b c d e f"), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r["doc_id"] or 0, r["n_shingles"], r["component_id"]) for r in ngram_join.near_duplicates(docs).collect()), key=str)
+    assert got == sorted([(1, 197, 1), (0, 187, 1), (2, 169, 1), (0, 183, 1), (0, 3, None), (0, 3, None), (0, 0, None)], key=str)
+    kept = [r["doc_id"] for r in ngram_join.one_of_each(docs).collect()]
+    assert sorted(k or 0 for k in kept) == [0] * 5 + [1]
+
+
+@pytest.mark.parametrize("packet,span", [(50, 40), (1, 7), (1 << 20, 1 << 20)])
+def test_shared_tokens_of_packets_and_ranges(spark, monkeypatch, packet, span):
+    """One token is in a third of all sets, many are in two sets, most in one."""
+    monkeypatch.setattr(ngram_join, "_PACKET", packet)
+    monkeypatch.setattr(ngram_join, "_RANGE", span)
+    r = random.Random(packet)
+    rows, held = [], {}
+    for rep in range(300):
+        first = sorted({r.randrange(-(1 << 63), 1 << 63), r.randrange(400), *([7 << 50] if rep % 3 == 0 else [])}) if rep % 10 else []
+        rows.append((rep << 33, len(first) + 5, first))
+        for at, token in enumerate(first):
+            held.setdefault(token, []).append((rep << 33, len(first) + 5, at))
+    reps = spark.createDataFrame(rows, "rep long, n long, first array<long>").repartition(4)
+    found = {}
+    for x in ngram_join._shared_tokens(reps, sum(len(x[2]) for x in rows)).collect():
+        found.setdefault(x["token"], []).append((x["rep"], x["n"], x["at"]))
+    assert sorted(map(sorted, found.values())) == sorted(sorted(v) for v in held.values() if len(v) > 1)
+    assert ngram_join._shared_tokens(reps.limit(0), 0).count() == 0

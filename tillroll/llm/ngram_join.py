@@ -32,6 +32,8 @@ SKETCH_BITS = 20
 _BLOCK = 1 << 16
 #: Rows of partial counts that one task adds up.
 _FAN_IN = 64
+#: Prefix tokens that one task sorts at once, and those that meet in one group.
+_PACKET, _RANGE = 1 << 20, 1 << 20
 #: Seeds of the orders besides the first.
 SEEDS = (0x5851F42D4C957F2D, 0x14057B7EF767814F)
 
@@ -114,6 +116,86 @@ def _sets(docs: DataFrame, size: int, percent: int, levels: np.ndarray) -> DataF
     return docs.mapInArrow(run, f"key {kind}, mark long, n long, class binary, first array<long>, others binary")
 
 
+_ROW = (("token", "<u8"), ("rep", "<i8"), ("n", "<i4"), ("at", "<i4"))
+
+
+def _planes(x: np.ndarray, kind: str) -> bytes:
+    """The numbers byte by byte, all lowest bytes first: equal high bytes compress well."""
+    return np.ascontiguousarray(x.astype(kind).view(np.uint8).reshape(len(x), -1).T).tobytes()
+
+
+def _numbers(blobs: list[bytes], kind: str) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.concatenate([np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(size, -1).T).reshape(-1).view(kind) for x in blobs])
+
+
+def _runs(sorted_tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each token begins, and how often it occurs."""
+    starts = np.flatnonzero(np.concatenate([[True], sorted_tokens[1:] != sorted_tokens[:-1]]))
+    return starts, np.diff(np.append(starts, len(sorted_tokens)))
+
+
+def _shared_tokens(reps: DataFrame, total: int) -> DataFrame:
+    """token, rep, n, at of the prefix tokens (about `total`) of `reps` (rep, n, first) that two of them hold.
+
+    Tasks sort packets of tokens. A token that a packet holds twice is known to be shared: its rows go on
+    as they are, and its range of token values hears of it by one row of n = 0. All others go to their range,
+    where packets meet. So a packet sends a range one row per token at most, however hot the token is, and
+    every row is shuffled once, in packed columns.
+    """
+    ranges = max(1, -(-total // _RANGE))
+    names = [name for name, _ in _ROW]
+
+    def packed(parts: list, number: int) -> pa.RecordBatch:
+        token, rep, n, at = (np.concatenate(x) for x in zip(*parts))
+        token = mix(token.view(np.uint64))  # the first order prefers some tokens: spread them evenly
+        order = np.argsort(token)
+        token, rep, n, at = (x[order] for x in (token, rep, n, at))
+        starts, counts = _runs(token)
+        often = np.repeat(counts > 1, counts)
+        sent = []
+        if often.any():
+            spread = mix(np.array([TaskContext.get().partitionId() << 32 | number], np.uint64))[0]
+            sent.append((ranges + int(spread % np.uint64(ranges)), [x[often] for x in (token, rep, n, at)]))
+        one = [token[starts], rep[starts], np.where(counts > 1, 0, n[starts]), at[starts]]
+        to = (one[0] >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)
+        cuts, spans = _runs(to)
+        sent += [(int(to[a]), [x[a : a + m] for x in one]) for a, m in zip(cuts, spans)]
+        blobs = [pa.array([_planes(x[i], kind) for _, x in sent], pa.binary()) for i, (_, kind) in enumerate(_ROW)]
+        return pa.RecordBatch.from_arrays([pa.array([r for r, _ in sent], pa.int64()), *blobs], names=["to", *names])
+
+    def pack(batches):
+        parts, held, number = [], 0, 0
+        for batch in batches:
+            first = batch.column(2)
+            many = np.asarray(first.value_lengths().fill_null(0)).astype(np.int64)
+            if not many.sum():
+                continue
+            at = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+            parts.append([np.asarray(first.flatten()), *(np.repeat(np.asarray(batch.column(i)), many) for i in (0, 1)), at])
+            held += len(at)
+            if held >= _PACKET:
+                yield packed(parts, number)
+                parts, held, number = [], 0, number + 1
+        if parts:
+            yield packed(parts, number)
+
+    def compare(key, group):
+        columns = [_numbers(group.column(name).to_pylist(), kind) for name, kind in _ROW]
+        if key[0].as_py() < ranges:
+            order = np.argsort(columns[0])
+            columns = [x[order] for x in columns]
+            starts, counts = _runs(columns[0])
+            marked = np.logical_or.reduceat(columns[2] == 0, starts)
+            keep = np.repeat((counts > 1) | marked, counts) & (columns[2] > 0)
+            columns = [x[keep] for x in columns]
+        token, rep, n, at = columns
+        return pa.table({"token": token.view(np.int64), "rep": rep, "n": n.astype(np.int64), "at": at})
+
+    blobs = reps.select("rep", "n", "first").mapInArrow(pack, "to long, token binary, rep binary, n binary, at binary")
+    return blobs.groupBy("to").applyInArrow(compare, "token long, rep long, n long, at int")
+
+
 def _nodes(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """The rows of `classes` in the pairs, marked for broadcast if there are up to BROADCAST_KEYS."""
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).dropDuplicates()
@@ -157,7 +239,8 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int,
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     # Rows alike in key and text are all fetched; any of them will do.
-    found = docs.join(_nodes(pairs, classes).select("node", F.col("rep").alias("key"), "mark"), ["key", "mark"])
+    nodes = _nodes(pairs, classes).select("node", F.col("rep").alias("_key"), F.col("mark").alias("_mark"))
+    found = docs.join(nodes, docs["key"].eqNullSafe(nodes["_key"]) & (docs["mark"] == nodes["_mark"]))
     texts = stored(found.select("node", "text").dropDuplicates(["node"]))
     both = pairs.join(texts.withColumnsRenamed({"node": "a", "text": "x"}), "a").join(
         texts.withColumnsRenamed({"node": "b", "text": "y"}), "b"
@@ -175,20 +258,20 @@ def _close(x: str, y: str, percent: int):
 
 
 def links_and_components(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """sets (key, mark, n, class), classes (class, row, node, rep, mark), labels (node, component) of `docs` (key, text, mark).
+    """sets (key, mark, n, class), classes (class, row, node, rep, mark, n), labels (node, component) of `docs` (key, text, mark).
 
-    `mark` is a hash of the text, `row` a stored row that stands for the class: of its rows with a key the
-    first by key and mark. Nodes number the classes in that order, so that hubs are the smallest keys.
+    `mark` is a hash of the text, `row` a stored row that stands for the class: the first of its rows by key and
+    mark, a null key being the last. Nodes number the classes in that order, so that hubs are the smallest keys.
     """
     levels = _frequencies(docs.select("text"), size)
     sets = stored(_sets(docs.select("key", "text", "mark"), size, percent, levels).withColumn("row", F.monotonically_increasing_id()))
-    named = sets.filter("class IS NOT NULL AND key IS NOT NULL").groupBy("class").agg(F.min(F.struct("key", "mark", "row")).alias("r"))
-    ordered = named.select("class", "r.row", F.col("r.key").alias("rep"), "r.mark").orderBy("rep", "mark")
+    by_key = F.struct(F.col("key").isNull().alias("keyless"), "key", "mark", "row", "n")
+    named = sets.filter("class IS NOT NULL").groupBy("class").agg(F.min(by_key).alias("r"))
+    ordered = named.select("class", "r.row", F.col("r.key").alias("rep"), "r.mark", "r.n").orderBy(F.col("rep").asc_nulls_last(), "mark")
     classes = stored(ordered.withColumn("node", F.monotonically_increasing_id()))
-    reps = sets.join(classes.select("row", "node"), "row")
-    tokens = reps.select(F.col("node").alias("rep"), "n", F.posexplode("first").alias("at", "token"))
-    shared = tokens.groupBy("token").agg(F.min("rep").alias("_low"), F.max("rep").alias("_high")).filter("_low < _high")
-    index = stored(tokens.join(shared.select("token"), "token"))
+    reps = sets.select("row", "n", "first").join(classes.select("row", F.col("node").alias("rep")), "row")
+    total = classes.agg(F.sum(F.floor(F.col("n") * (100 - percent) / 100) + 1)).first()[0] or 0
+    index = stored(_shared_tokens(reps, total))
 
     labels = docs.sparkSession.createDataFrame([], "node long, component long")
     links = docs.sparkSession.createDataFrame([], "a long, b long")
@@ -230,14 +313,15 @@ def links_and_components(docs: DataFrame, size: int, percent: int) -> tuple[Data
 
 
 def _found(docs: DataFrame, key: str, text: str, size: int, percent: int) -> DataFrame:
-    """key, mark, n, class, rep, component_id, first_mark per row of `docs`; the last three are null without a keyed class.
+    """key, mark, n, class, rep, component_id, first_mark per row of `docs`; the last three are null for an empty set.
 
     `component_id` and `first_mark` are the smallest key of the component and, under it, the smallest mark.
+    Keys are null where no row of the class or component has one.
     """
     slim = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("mark"))
     sets, classes, labels = links_and_components(slim, size, percent)
     placed = classes.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = placed.groupBy("component").agg(F.min(F.struct("rep", "mark")).alias("r"))
+    least = placed.groupBy("component").agg(F.min(F.struct(F.col("rep").isNull().alias("keyless"), "rep", "mark")).alias("r"))
     ids = least.select("component", F.col("r.rep").alias("component_id"), F.col("r.mark").alias("first_mark"))
     by_class = stored(placed.select("class", "rep", "component").join(ids, "component").drop("component"))
     return sets.select("key", "mark", "n", "class").join(by_class, "class", "left")
@@ -253,8 +337,9 @@ def near_duplicates(
     100 * common >= percent * all; `component_id` is the smallest key that links reach, the
     document's own included. `class_rep` is the smallest key with an equal set. A document
     without words, or null, has an empty set and links with nothing, not even with its like.
-    Rows that share a key link each by its own text; rows of a null key take the component of a document
-    with an equal set, else null. An empty table gives no rows.
+    Rows that share a key link each by its own text. Rows of a null key link like all others and may hold a
+    chain together; they are never the smallest, so the id of a component without keys is null. A very
+    long text has its whole set. An empty table gives no rows.
     """
     return _found(docs, key, text, size, percent).select(
         F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("rep", "key").alias("class_rep"),
