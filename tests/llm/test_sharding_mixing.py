@@ -3,9 +3,11 @@ import math
 import re
 import zlib
 
+import duckdb
+import pytest
 from pyspark.sql import functions as F
 
-from tillroll.llm import mixing, queries, sharding
+from tillroll.llm import mixing, queries, sharding, sql
 from tillroll.llm.common import seeded_hash, word_count
 
 
@@ -107,3 +109,30 @@ def test_mixing_edges(spark, edge_docs, edge_rows, no_docs):
     assert [r["mix_copies"] for r in mixing.mix(silent, words).collect()] == [0, 0]
     same = spark.createDataFrame([(7, "w w", "en", "a", 0)] * 10, no_docs.schema)
     assert {r["mix_copies"] for r in mixing.mix(same, words).collect()} == {1}
+
+
+@pytest.mark.parametrize("texts", [1, 1000])
+def test_hot_key_on_the_boundary(spark, texts):
+    """A third of the source's rows under one doc_id, with one text or with many: the target is met to a document."""
+    rows = [(7, " ".join(["w"] * 9 + [f"x{i % texts}"]), "en", "a", 0) for i in range(1000)]
+    rows += [(100 + i, " ".join(["v"] * 10), "en", "a", 0) for i in range(2000)]
+    rows += [(None, " ".join(["u"] * 10), "en", None, 0) for _ in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int").repartition(7)
+    words, mark = word_count(F.col("text")), F.md5("text")
+    got = mixing.mix(docs, words, mark=mark).collect()
+    assert len(got) == len(rows)
+    taken, target = collections.Counter(), {}
+    for r in got:
+        taken[r["source"]] += r["mix_size"] * r["mix_copies"]
+        target[r["source"]] = r["mix_target"]
+    assert all(abs(taken[s] - target[s]) <= 5 for s in target)
+    assert mixing.repeated(docs, words, mark=mark).count() == sum(r["mix_copies"] for r in got)
+
+    def digest(found):
+        return sorted(((r["source"] or "", r["doc_id"] or 0, r["text"], r["mix_copies"]) for r in found))
+
+    assert digest(mixing.mix(docs.repartition(3), words, mark=mark).collect()) == digest(got)
+    con = duckdb.connect()
+    con.register("documents", docs.toPandas().astype({"doc_id": "Int64"}))
+    want = con.execute(sql.MIXING.replace("SELECT doc_id, size, source_size, target", "SELECT doc_id, text, copies, source_size, target")).fetchall()
+    assert sorted((x[-1] or "", x[0] or 0, x[1], x[2]) for x in want) == digest(got)

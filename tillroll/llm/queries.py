@@ -64,8 +64,8 @@ def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed by words, sources weighing 5, 2, 1 in turn, at most 3 times their size."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("words"))
-    return mixing.mix(docs, F.col("words")).select(
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("words"), F.md5("text").alias("mark"))
+    return mixing.mix(docs, F.col("words"), mark=F.col("mark")).select(
         "doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"),
         F.col("mix_target").alias("target"), (F.col("mix_size") * F.col("mix_copies")).alias("taken"), "source",
     )

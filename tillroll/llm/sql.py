@@ -36,7 +36,7 @@ def mixing(docs: str) -> str:
     return f"""
 WITH sized AS (
     SELECT *, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size,
-        ('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, 'null')), 1, 15))::BIGINT AS hash
+        ('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, 'null') || ':' || size || ':' || coalesce(md5(text), 'null')), 1, 15))::BIGINT AS hash
     FROM {docs}
 ),
 sums AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
@@ -61,13 +61,12 @@ targets AS (
 joined AS (
     SELECT sized.*, source_size, target,
         CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END::BIGINT AS whole,
-        (sum(size) OVER (PARTITION BY sized.source ORDER BY hash RANGE UNBOUNDED PRECEDING))::BIGINT AS upto,
-        (sum(size) OVER (PARTITION BY sized.source, hash))::BIGINT AS tied
+        (sum(size) OVER (PARTITION BY sized.source ORDER BY hash ROWS UNBOUNDED PRECEDING))::BIGINT AS upto
     FROM sized JOIN targets ON sized.source IS NOT DISTINCT FROM targets.source
 )
 SELECT *, whole + CASE
     WHEN source_size = 0 THEN 0
-    WHEN upto + (upto - tied) < 2 * (target - whole * source_size) AND (tied > 0 OR upto <= target - whole * source_size) THEN 1
+    WHEN upto + (upto - size) < 2 * (target - whole * source_size) THEN 1
     ELSE 0 END AS copies
 FROM joined
 """
