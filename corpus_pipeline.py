@@ -36,7 +36,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources mixed to weights 5, 2, 1 by words; a document taken twice is there twice."""
-    return mixing.repeated(docs, word_count(F.col("text")))
+    return mixing.repeated(docs, word_count(F.col("text")), mark=F.md5("text"))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
