@@ -50,8 +50,18 @@ def test_top_k_few_and_none(spark):
     assert sorted(map(tuple, topk.top_k(few, lambda key: key == 0, 5).collect())) == [(0, 1, 1, 131072), (0, 2, 2, -196608)]
     assert topk.top_k(few.limit(0), lambda key: key == 0, 5).count() == 0
     assert topk.top_k(few.filter("vec_id = 0"), lambda key: key == 0, 5).count() == 0
-    with pytest.raises(ValueError):
-        topk.top_k(spark.createDataFrame([(0, [1.0], 0), (1, [2.0, 1.0], 0)], SCHEMA), lambda key: key == 0)
+
+
+def test_vectors_of_several_lengths(spark):
+    rows = [(0, [1.0, 2.0, 0.5], 0), (1, [2.0], 0), (2, [-3.0, 4.0], 0), (3, [0.0, 0.0, 8.0], 0), (4, [], 0)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    full = {k: np.array([*v, 0.0, 0.0, 0.0][:3]) for k, v, _ in rows}
+    score = {k: int(np.floor(256 * full[0]) @ np.floor(256 * v)) for k, v in full.items() if k}
+    want = [(0, i + 1, k, score[k]) for i, k in enumerate(sorted(score, key=lambda k: (-score[k], k)))]
+    assert sorted(map(tuple, topk.top_k(df, lambda key: key == 0, 5).collect())) == want
+    far = {k: float(np.sqrt(((v - full[0]) ** 2).sum())) for k, v in full.items() if k not in (0, 4)}
+    want = [(i + 1, k, far[k]) for i, k in enumerate(sorted(far, key=lambda k: (far[k], k)))]
+    assert _by_query(neighbours.nearest(df, lambda key: key == 0)) == {0: want}
 
 
 def test_hilbert_keys_walk_to_neighbouring_cells():

@@ -199,7 +199,7 @@ def nearest(
     rows of another key, and every row is on every curve. `window` is the number of places looked
     at on either side; where it is not given it is fitted to reach `recall` on `sample` queries.
     Ties go to the smaller key. Rows with a null key or vector, a vector of zeros, or null or
-    non-finite components take no part. Rows repeated under one key with one vector are one
+    non-finite components take no part; of vectors of several lengths the shorter ones end in zeros. Rows repeated under one key with one vector are one
     row. A query with fewer candidates returns those there are; an empty table gives no rows.
     """
     base = stored(prepared(rows, key, vector, lambda x: x, zero=False).dropDuplicates())

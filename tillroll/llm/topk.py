@@ -58,7 +58,8 @@ def top_k(rows: DataFrame, is_query, k: int = 5, key: str = "vec_id", vector: st
     Components count as floor(256 x), so scores are whole numbers. Queries are the rows that meet
     `is_query`, a column expression over the key `_key`; candidates are all rows of another key. Ties go
     to the smaller key. Rows with a null key or vector, or null or non-finite components, take no
-    part; rows repeated under one key are candidates as often as they occur, and one query. A
+    part; of vectors of several lengths the shorter ones end in zeros; a component of 2^23 or more raises a
+    ValueError. Rows repeated under one key are candidates as often as they occur, and one query. A
     query with fewer candidates returns them all; an empty table gives no rows.
     """
     base = stored(prepared(rows, key, vector, whole_numbers, zero=True))

@@ -17,7 +17,7 @@ def prepared(rows: DataFrame, key: str, vector: str, transform, zero: bool) -> D
     """key, v (bytes of 64-bit numbers) of the rows whose vector and components are all there and finite.
 
     `transform` maps an array of finite components to the numbers to keep. Vectors of zeros only
-    are kept if `zero` says so. Vectors of two lengths raise a ValueError.
+    are kept if `zero` says so. Where lengths differ, missing last components count as zeros.
     """
     v = F.col(vector)
     clean = rows.select(F.col(key).cast("long").alias("key"), F.transform(v, lambda x: x.cast("double")).alias("v")).filter(
@@ -27,7 +27,7 @@ def prepared(rows: DataFrame, key: str, vector: str, transform, zero: bool) -> D
         clean = clean.filter(F.exists("v", lambda x: x != 0))
     sizes = clean.agg(F.min(F.size("v")).alias("a"), F.max(F.size("v")).alias("b")).first()
     if sizes["a"] != sizes["b"]:
-        raise ValueError(f"vectors of {sizes['a']} to {sizes['b']} components")
+        clean = clean.withColumn("v", F.concat("v", F.array_repeat(F.lit(0.0), F.lit(sizes["b"]) - F.size("v"))))
 
     def run(batches):
         for batch in batches:
