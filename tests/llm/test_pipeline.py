@@ -45,7 +45,7 @@ def test_near_copies_stage(passed):
 
 def test_mixing_stage_repeats(passed):
     _, before, after = passed[3]
-    mixed = mixing.mix(before, queries.word_count(F.col("text"))).collect()
+    mixed = mixing.mix(before, queries.word_count(F.col("text")), mark=F.md5("text")).collect()
     got = collections.Counter(r[0] for r in after.select("doc_id").collect())
     assert got == collections.Counter({r["doc_id"]: r["mix_copies"] for r in mixed if r["mix_copies"]})
 
