@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -64,6 +66,27 @@ def test_vectors_of_several_lengths(spark):
     assert _by_query(neighbours.nearest(df, lambda key: key == 0)) == {0: want}
 
 
+def test_large_components(spark):
+    """Sums beyond 2^53 are exact, those beyond a long are held at its end, and cancelled ones are right again."""
+    r = np.random.default_rng(3)
+    rows = [(i, r.normal(size=4).tolist(), 0) for i in range(40)]
+    rows += [(100, [1e12, -1e12, 3.0, 0.5], 0), (101, [1e12, 1e12, 1.0, 1.0], 0), (102, [1e300, 0.0, 0.0, -1e300], 0), (103, [3e6, 7e6, -9e6, 2.0], 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    most = topk.LARGEST
+    whole = {k: [max(-most, min(most, math.floor(256 * x) if abs(x) < 1e200 else int(np.sign(x)) * most)) for x in v] for k, v, _ in rows}
+    want = []
+    for q in whole:
+        score = {k: max(-most, min(most, sum(a * b for a, b in zip(whole[q], w)))) for k, w in whole.items() if k != q}
+        want += [(q, i + 1, k, score[k]) for i, k in enumerate(sorted(score, key=lambda k: (-score[k], k))[:5])]
+    assert sorted(map(tuple, topk.top_k(df, lambda key: key >= 0, 5).collect())) == sorted(want)
+
+
+def test_repeated_rows_are_candidates_each(spark):
+    rows = [(0, [1.0, 0.0], 0), (1, [1.0, 1.0], 0), (1, [1.0, 1.0], 0), (1, [2.0, 0.0], 0), (2, [4.0, 0.0], 0), (0, [1.0, 0.0], 0)]
+    got = _by_query(neighbours.nearest(spark.createDataFrame(rows, SCHEMA), lambda key: key == 0, 10))
+    assert got == {0: [(1, 1, 1.0), (2, 1, 1.0), (3, 1, 1.0), (4, 2, 3.0)]}
+
+
 def test_hilbert_keys_walk_to_neighbouring_cells():
     for d, bits in ((2, 4), (3, 3), (4, 2)):
         cells = np.stack(np.meshgrid(*[np.arange(1 << bits)] * d), axis=-1).reshape(-1, d)

@@ -91,7 +91,7 @@ def _curves(size: int, curves: int, mean: np.ndarray, cov: np.ndarray, seed: int
 
 
 def _laid(base: DataFrame, curves: list[tuple], n: int) -> DataFrame:
-    """curve, place (0 to n - 1), key, v: every row once on every curve."""
+    """curve, place (0 to n - 1), key, v, copies: every row of `base` once on every curve."""
 
     def run(batches):
         for batch in batches:
@@ -104,23 +104,23 @@ def _laid(base: DataFrame, curves: list[tuple], n: int) -> DataFrame:
                 cell = np.floor((0.5 / (1 + np.exp(-np.clip(1.7 * z, -40, 40))) + shift) * (1 << BITS)).astype(np.int64)
                 at = hilbert_keys(np.minimum(cell, (1 << BITS) - 1), BITS)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([c] * len(x), pa.int32()), pa.array([k.tobytes() for k in at], pa.binary()), batch.column(0), batch.column(1)],
-                    names=["curve", "at", "key", "v"],
+                    [pa.array([c] * len(x), pa.int32()), pa.array([k.tobytes() for k in at], pa.binary()), *batch.columns],
+                    names=["curve", "at", *order[2:], "copies"],
                 )
 
     order = ["curve", "at", "key", "v"]
     ranges = max(8, math.ceil(n * len(curves) / RANGE_ROWS))
-    rows = stored(base.mapInArrow(run, "curve int, at binary, key long, v binary"))
+    rows = stored(base.mapInArrow(run, "curve int, at binary, key long, v binary, copies long"))
     rows = rows.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
     # The number holds the range above bit 33 and the place in it below; written, it stays.
-    rows = stored(rows.select("curve", "key", "v", F.monotonically_increasing_id().alias("_id")))
+    rows = stored(rows.select("curve", "key", "v", "copies", F.monotonically_increasing_id().alias("_id")))
     part, inside = F.shiftright("_id", 33), F.col("_id").bitwiseAND((1 << 33) - 1)
     rows = rows.withColumn("_part", part).withColumn("_in", inside)
     sizes = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     starts = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_start"))
     # One row per range.
     return rows.join(F.broadcast(starts), "_part").select(
-        "curve", (F.col("_start") + F.col("_in") - F.col("curve") * F.lit(n)).alias("place"), "key", "v"
+        "curve", (F.col("_start") + F.col("_in") - F.col("curve") * F.lit(n)).alias("place"), "key", "v", "copies"
     )
 
 
@@ -199,13 +199,15 @@ def nearest(
     rows of another key, and every row is on every curve. `window` is the number of places looked
     at on either side; where it is not given it is fitted to reach `recall` on `sample` queries.
     Ties go to the smaller key. Rows with a null key or vector, a vector of zeros, or null or
-    non-finite components take no part; of vectors of several lengths the shorter ones end in zeros. Rows repeated under one key with one vector are one
-    row. A query with fewer candidates returns those there are; an empty table gives no rows.
+    non-finite components take no part; of vectors of several lengths the shorter ones end in zeros. Rows
+    repeated under one key with one vector are candidates as often as they occur, and one query. A query with fewer candidates returns those there are; an empty table gives no rows.
     """
-    base = stored(prepared(rows, key, vector, lambda x: x, zero=False).dropDuplicates())
+    # Copies of a row are laid out once; no list needs more than k of them.
+    base = prepared(rows, key, vector, lambda x: x, zero=False).groupBy("key", "v").agg(F.count(F.lit(1)).alias("_n"))
+    base = stored(base.select("key", "v", F.least("_n", F.lit(k)).alias("copies")))
     n = base.count()
-    asked = stored(base.filter(is_query(F.col("key"))).withColumn("q", F.monotonically_increasing_id()))
-    schema = f"q long, query_id long, `{key}` long, score double"
+    asked = stored(base.filter(is_query(F.col("key"))).select("key", "v").withColumn("q", F.monotonically_increasing_id()))
+    schema = f"q long, query_id long, `{key}` long, score double, mark long, copies long"
     n_queries = asked.count()
     if not n_queries or n < 2:
         return rows.sparkSession.createDataFrame([], f"query_id long, rank int, `{key}` long, score double")
@@ -215,7 +217,7 @@ def nearest(
 
     block = F.floor(F.col("place") / BLOCK_ROWS)
     parts = max(1, math.ceil(n_queries * (2 * reach + BLOCK_ROWS) / n / BLOCK_QUERIES))
-    left = laid.withColumn("_block", block).withColumn(
+    left = laid.withColumn("_block", block).withColumn("mark", F.xxhash64("v")).withColumn(
         "_deal", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long")))
     )
     low = F.floor(F.greatest(F.col("place") - reach, F.lit(0)) / BLOCK_ROWS)
@@ -231,21 +233,25 @@ def nearest(
         out = []
         if len(c) and len(q):
             c = c.sort_values("key", kind="stable")
-            m, ids, place = matrix(c["v"], np.float64), c["key"].to_numpy(), c["place"].to_numpy()
+            m = matrix(c["v"], np.float64)
+            ids, place, mark, copies = (c[x].to_numpy() for x in ("key", "place", "mark", "copies"))
             q = q.sort_values("place")
             names, own, at = (q[x].to_numpy() for x in ("q", "key", "place"))
             whole = (np.abs(at - place.min()) <= reach) & (np.abs(at - place.max()) <= reach)
             x = matrix(q["v"], np.float64)
             for i, j, d in _nearest(m, ids, x[whole], own[whole], k) if whole.any() else ():
-                out.append(pd.DataFrame({"q": names[whole][i], "query_id": own[whole][i], key: ids[j], "score": d}))
+                out.append(pd.DataFrame({"q": names[whole][i], "query_id": own[whole][i], key: ids[j], "score": d, "mark": mark[j], "copies": copies[j]}))
             for p in np.flatnonzero(~whole):
-                inside = np.abs(place - at[p]) <= reach
+                inside = np.flatnonzero(np.abs(place - at[p]) <= reach)
                 for _, j, d in _nearest(m[inside], ids[inside], x[p : p + 1], own[p : p + 1], k):
-                    out.append(pd.DataFrame({"q": names[p], "query_id": own[p], key: ids[inside][j], "score": d}))
-        empty = pd.DataFrame({"q": [], "query_id": [], key: [], "score": []}).astype({"q": "int64", "query_id": "int64", key: "int64"})
+                    j = inside[j]
+                    out.append(pd.DataFrame({"q": names[p], "query_id": own[p], key: ids[j], "score": d, "mark": mark[j], "copies": copies[j]}))
+        whole_columns = ("q", "query_id", key, "mark", "copies")
+        empty = pd.DataFrame({x: [] for x in ("q", "query_id", key, "score", "mark", "copies")}).astype(dict.fromkeys(whole_columns, "int64"))
         return pd.concat(out) if out else empty
 
     grid = ("curve", "_block", "_deal")
     found = left.groupBy(*grid).cogroup(right.groupBy(*grid)).applyInPandas(compare, schema).dropDuplicates()
     best = Window.partitionBy("q").orderBy("score", key)
+    found = found.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", key, "score")

@@ -22,16 +22,32 @@ from tillroll.llm.vectors import matrix, meet, prepared
 
 #: Bits of the score that one histogram tells apart.
 STEP_BITS = 12
+#: Scores and components count up to this size; what is larger counts as this.
+LARGEST = (1 << 62) - 1
 #: Queries scored at once inside a task.
 _CHUNK = 64
 
 
 def whole_numbers(x: np.ndarray) -> np.ndarray:
-    """floor(256 x) as 64-bit integers."""
-    y = np.floor(256.0 * x)
-    if np.abs(y).max(initial=0) >= 2**31:
-        raise ValueError("a component of 2^23 or more")
-    return y.astype(np.int64)
+    """floor(256 x) as 64-bit integers, held at LARGEST beyond it."""
+    return np.floor(256.0 * np.clip(x, -(2.0**55), 2.0**55)).clip(-(2.0**62), 2.0**62).astype(np.int64).clip(-LARGEST, LARGEST)
+
+
+def _exact(q: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Inner products of whole numbers, held at LARGEST and -LARGEST.
+
+    Integer sums wrap round at 2^64, so they are right wherever the true sum is a long. A floating-point
+    sum with its error bound tells where that is so and where the sum is surely too large;
+    the few in between are made in unbounded integers.
+    """
+    s, x, y = q @ c.T, q.astype(float), c.astype(float)
+    about = x @ y.T
+    error = np.sqrt((x * x).sum(axis=1))[:, None] * np.sqrt((y * y).sum(axis=1))[None, :] * (q.shape[1] + 4) * 2.0**-52
+    beyond = np.abs(about) - error > 2.0**62
+    s = np.where(beyond, np.where(about > 0, LARGEST, -LARGEST), s)
+    for i, j in zip(*np.nonzero(~beyond & (np.abs(about) + error >= 2.0**62))):
+        s[i, j] = max(-LARGEST, min(LARGEST, sum(a * b for a, b in zip(q[i].tolist(), c[j].tolist()))))
+    return s
 
 
 def _scores(rows: pd.DataFrame, queries: pd.DataFrame, bound: int):
@@ -40,10 +56,11 @@ def _scores(rows: pd.DataFrame, queries: pd.DataFrame, bound: int):
     Sums under 2^53 are exact in floating point, larger ones are made in integers.
     """
     kind = np.float64 if bound < 1 << 53 else np.int64
-    c, ids = matrix(rows["v"], np.int64).astype(kind).T, rows["key"].to_numpy()
+    c, ids = matrix(rows["v"], np.int64).astype(kind), rows["key"].to_numpy()
     for at in range(0, len(queries), _CHUNK):
         q = queries.iloc[at : at + _CHUNK]
-        s = (matrix(q["v"], np.int64).astype(kind) @ c).astype(np.int64) + bound
+        x = matrix(q["v"], np.int64).astype(kind)
+        s = (_exact(x, c) if bound == LARGEST else (x @ c.T).astype(np.int64)) + bound
         s[q["key"].to_numpy()[:, None] == ids[None, :]] = -1
         yield q, s
 
@@ -58,8 +75,8 @@ def top_k(rows: DataFrame, is_query, k: int = 5, key: str = "vec_id", vector: st
     Components count as floor(256 x), so scores are whole numbers. Queries are the rows that meet
     `is_query`, a column expression over the key `_key`; candidates are all rows of another key. Ties go
     to the smaller key. Rows with a null key or vector, or null or non-finite components, take no
-    part; of vectors of several lengths the shorter ones end in zeros; a component of 2^23 or more raises a
-    ValueError. Rows repeated under one key are candidates as often as they occur, and one query. A
+    part; of vectors of several lengths the shorter ones end in zeros. Scores are exact up to
+    2^62 - 1; scores and components beyond that count as that, so such ties go to the smaller key too. Rows repeated under one key are candidates as often as they occur, and one query. A
     query with fewer candidates returns them all; an empty table gives no rows.
     """
     base = stored(prepared(rows, key, vector, whole_numbers, zero=True))
@@ -75,9 +92,7 @@ def top_k(rows: DataFrame, is_query, k: int = 5, key: str = "vec_id", vector: st
             yield pa.RecordBatch.from_arrays([pa.array([norm])], names=["norm"])
 
     top = base.select("v").mapInArrow(norms, "norm double").agg(F.max("norm")).first()[0] or 0.0
-    bound = int(top * (1 + 1e-9)) + 1
-    if bound >= 1 << 62:
-        raise ValueError("scores do not fit a long")
+    bound = min(int(top * (1 + 1e-9)) + 1, LARGEST)
     left = (2 * bound).bit_length()
     state = asked.select("q", F.lit(0).cast("long").alias("prefix"), F.lit(0).cast("long").alias("above"))
 
