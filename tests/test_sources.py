@@ -3,6 +3,7 @@ from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tillroll.operators import alerts as AL
 from tillroll.operators.clustering import kmeans_segments
@@ -164,3 +165,38 @@ def test_an_empty_table_replaces_the_last_run(spark, tmp_path):
     assert sinks.save_tables({"t": df}, str(tmp_path)) == ["t"]
     assert sinks.save_tables({"t": df.limit(0)}, str(tmp_path)) == []
     assert spark.read.schema("id long").parquet(str(tmp_path / "t")).count() == 0
+
+
+def test_every_record_is_kept_or_listed(spark, tmp_path):
+    lines = [
+        "Invoice,StockCode,Description,Quantity,InvoiceDate,Price,Customer ID,Country",
+        "I1,P1,bag,3,2009-12-01 09:00:00,2.50,7.0,UK",
+        "I2,P1,bag,,2009-12-01 09:00:00, ,,UK",  # absent and blank cells are nulls
+        "I3,P1,bag,three,2009-12-01 09:00:00,2.50,7,UK",
+        "I4,P1,bag,3,2009-13-01 09:00:00,2.505,7.5,UK",
+        "I5,P1,bag",
+        "I6,P1,bag,3,2009-12-01 09:00:00,2.50,7,UK,extra",
+        'I7,P1,"a ""large"" bag",99999999999,2009-12-01 09:00:00,2.50,7,UK',
+    ]
+    (tmp_path / "a.csv").write_text("\n".join(lines) + "\n")
+    checked = tables.read_checked(spark, str(tmp_path / "a.csv"), "csv", RAW_LINES)
+    assert checked.kept.schema.simpleString() == RAW_LINES.simpleString()
+    kept = {r["Invoice"]: (r["Quantity"], r["Price"], r["Customer ID"]) for r in checked.kept.collect()}
+    assert kept == {"I1": (3, Decimal("2.50"), 7), "I2": (None, None, None)}
+    listed = {r["record"][:2] if r["columns"] is None else r["record"][12:14]: r for r in checked.rejected.collect()}
+    assert {k: r["columns"] for k, r in listed.items()} == {
+        "I3": "Quantity", "I4": "InvoiceDate,Price,Customer ID", "I5": None, "I6": None, "I7": "Quantity"
+    }
+    assert listed["I6"]["record"] == lines[6] and listed["I3"]["file"].endswith("a.csv") and '"Quantity":"three"' in listed["I3"]["record"]
+    counts = {r["columns"]: r["records"] for r in tables.rejected_counts(checked).collect()}
+    assert counts == {"kept": 2, "line": 2, "Quantity": 2, "InvoiceDate,Price,Customer ID": 1}
+
+
+def test_json_records_are_kept_or_listed(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"a": 1, "b": "x"}\n{"a": 1.5, "b": "y"}\n{"a": 2\n{"b": "z"}\n')
+    schema = T.StructType([T.StructField("a", T.IntegerType()), T.StructField("b", T.StringType())])
+    checked = tables.read_checked(spark, str(tmp_path / "a.json"), "json", schema)
+    assert sorted(map(tuple, checked.kept.collect()), key=str) == [(1, "x"), (None, "z")]
+    assert sorted((r["columns"] or "line", r["record"]) for r in checked.rejected.collect()) == [("a", '{"a":"1.5","b":"y"}'), ("line", '{"a": 2')]
+    with pytest.raises(ValueError):
+        tables.read_checked(spark, str(tmp_path), "parquet", schema)

@@ -21,6 +21,16 @@ def clean_text(c: Column) -> Column:
     return F.upper(F.coalesce(strip(c), F.lit(fixed.UNKNOWN)))
 
 
+#: Bits of `key_hash`.
+HASH_BITS = 60
+
+
+def key_hash(salt: str | int, *keys: str) -> Column:
+    """60 bits of md5 over `salt:key:key` as a long, the same in Spark and in other SQL engines."""
+    text = F.concat(F.lit(f"{salt}:"), F.concat_ws(":", *[F.coalesce(F.col(k).cast("string"), F.lit("null")) for k in keys]))
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
+
+
 def cut(c: Column, edges: Sequence, labels: Sequence[str], include_lowest: bool = False) -> Column:
     """Label of the right-closed band holding `c`; null outside every band.
 

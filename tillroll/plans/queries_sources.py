@@ -45,6 +45,36 @@ add(
 )
 
 
+def _checked_lines(t: StarTables):
+    """Lines as CSV, some with a unit behind the quantity or a currency before the price, read back record by record."""
+    path = _folder(t, "faulty-lines")
+    lines = t.raw.select(*RAW_LINES.fieldNames())
+    unit, currency = F.col("Quantity") % 10 == 0, F.col("StockCode").endswith("7")
+    sinks.export_csv(
+        lines.withColumns({
+            "Quantity": F.when(unit, F.concat("Quantity", F.lit(" pcs"))).otherwise(F.col("Quantity").cast("string")),
+            "Price": F.when(currency, F.concat(F.lit("GBP "), "Price")).otherwise(F.col("Price").cast("string")),
+        }),
+        path,
+    )
+    return tables.read_checked(t.spark, path, "csv", RAW_LINES)
+
+
+_FAULTS = RAW + """, marked AS (SELECT *, Quantity % 10 = 0 AS q, StockCode LIKE '%7' AS p FROM raw)"""
+add(
+    "rejected_records",
+    lambda t: tables.rejected_counts(_checked_lines(t)),
+    with_(_FAULTS, """SELECT CASE WHEN q AND p THEN 'Quantity,Price' WHEN q THEN 'Quantity' WHEN p THEN 'Price' ELSE 'kept' END AS columns,
+      count(*) AS records FROM marked GROUP BY 1"""),
+)
+add(
+    "kept_records",
+    lambda t: _checked_lines(t).kept.withColumnRenamed("Customer ID", "Customer_ID"),
+    with_(_FAULTS, """SELECT Invoice, StockCode, Description, Quantity, strftime(InvoiceDate, '%Y-%m-%d %H:%M:%S') AS InvoiceDate,
+      CAST(Price AS DOUBLE) AS Price, Customer_ID, Country FROM marked WHERE NOT q AND NOT p"""),
+)
+
+
 def _stored(t: StarTables) -> dict:
     """The tables of the batch pipeline, written and read back."""
     return marts.run_pipeline(t.raw, _folder(t, "marts"), star.CATEGORY_RULES, star.PRICE_EDGES)

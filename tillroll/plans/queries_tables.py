@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tillroll import fixed
 from tillroll.functions import columns as C
 from tillroll.operators import aggregates as A
 from tillroll.operators import etl
@@ -441,6 +442,9 @@ add(
 add(
     "sample_rows",
     lambda t: tables.sample_n(t.table("orders"), 1000, ["o_orderkey"]),
+    f"""SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice,
+      strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS o_orderdate, o_orderpriority FROM orders
+      ORDER BY ('0x' || substr(md5('{fixed.SEED}:' || o_orderkey), 1, 15))::BIGINT, o_orderkey LIMIT 1000""",
 )
 add(
     "table_counts",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
+from typing import NamedTuple
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tillroll import fixed
-from tillroll.functions.columns import mean_of, ratio
+from tillroll.functions.columns import key_hash, mean_of, ratio, strip
+from tillroll.operators.ordering import durable
 from tillroll.operators.selection import column_quantiles
 from tillroll.schemas import BY_DATASET
 
@@ -53,6 +55,74 @@ def _whole(text):
     return F.when(exact == F.floor(exact), exact)
 
 
+class Checked(NamedTuple):
+    """Rows that fit the schema, and the others: file, columns, record."""
+
+    kept: DataFrame
+    rejected: DataFrame
+
+
+_BROKEN = "_corrupt_record"
+
+
+def read_checked(spark: SparkSession, path: str, fmt: str, schema: T.StructType) -> Checked:
+    """CSV with a header or JSON lines, every record either kept or listed with its file.
+
+    A record is listed if it cannot be split into the schema's fields (`columns` is null and `record`
+    the line itself), or if a cell is no value of its column's type: `columns` names those, in the order of the
+    schema, and `record` holds all cells as JSON. Whole numbers may have a fraction of zero; a decimal
+    must fit its places. Absent and blank cells are null and no fault. Both tables are read from one
+    stored pass over the files, so kept and rejected records add up to all of them.
+    """
+    names = schema.fieldNames()
+    text = T.StructType([T.StructField(n, T.StringType()) for n in [*names, _BROKEN]])
+    reader = spark.read.schema(text).option("columnNameOfCorruptRecord", _BROKEN)
+    if fmt == "csv":
+        raw = reader.option("header", True).option("escape", '"').csv(path)
+    elif fmt == "json":
+        raw = reader.json(path)
+    else:
+        raise ValueError(f"{fmt} files carry their types")
+    values, faults = [], []
+    for f in schema.fields:
+        cell = F.col(f"`{f.name}`")
+        value = _typed(cell, f.dataType)
+        values.append(value.alias(f.name))
+        if not isinstance(f.dataType, T.StringType):
+            faults.append(F.when((strip(cell) != "") & value.isNull(), F.lit(f.name)))
+    read = durable(
+        raw.select(
+            F.struct(*values).alias("row"), F.array_join(F.array(*faults), ",").alias("columns"), F.col(_BROKEN).alias("line"),
+            F.to_json(F.struct(*[F.col(f"`{n}`") for n in names])).alias("cells"), F.col("_metadata.file_path").alias("file"),
+        ).withColumn("cells", F.when((F.col("columns") != "") & F.col("line").isNull(), F.col("cells")))
+    )
+    whole = F.col("line").isNull() & (F.col("columns") == "")
+    rejected = read.filter(~whole).select(
+        "file", F.when(F.col("line").isNull(), F.col("columns")).alias("columns"), F.coalesce("line", "cells").alias("record")
+    )
+    return Checked(read.filter(whole).select("row.*"), rejected)
+
+
+def _typed(cell, kind: T.DataType):
+    """The cell as the type, null where it is no value of it."""
+    if isinstance(kind, T.StringType):
+        return cell
+    if isinstance(kind, T.IntegralType):
+        return _whole(cell).try_cast(kind)
+    value = strip(cell).try_cast(kind)
+    if isinstance(kind, T.DecimalType):
+        places = 38 - (kind.precision - kind.scale)
+        return F.when(value == cell.try_cast(T.DecimalType(38, places)), value)
+    return value
+
+
+def rejected_counts(checked: Checked) -> DataFrame:
+    """columns, records: how many records were kept (`kept`), listed by their faulty columns, or no record (`line`)."""
+    kept = checked.kept.agg(F.lit("kept").alias("columns"), F.count(F.lit(1)).alias("records"))
+    listed = checked.rejected.groupBy(F.coalesce("columns", F.lit("line")).alias("columns")).agg(F.count(F.lit(1)).alias("records"))
+    return kept.unionByName(listed)
+
+
 def load_catalog(
     spark: SparkSession,
     folder: str,
@@ -157,7 +227,7 @@ def profile(df: DataFrame) -> DataFrame:
 
 def sample_n(df: DataFrame, n: int, key: Sequence[str], seed: int = fixed.SEED) -> DataFrame:
     """n rows by hash order of the key: the same rows under any partitioning."""
-    return df.orderBy(F.xxhash64(*key, F.lit(seed)), *key).limit(n)
+    return df.orderBy(key_hash(seed, *key), *key).limit(n)
 
 
 def count_frames(frames: Mapping[str, DataFrame | None]) -> DataFrame:
