@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillroll import fixed
-from tillroll.functions.columns import mean_of, ratio
+from tillroll.functions.columns import HASH_BITS, key_hash, mean_of, ratio
 from tillroll.functions.pvalues import t_pvalue, upper_normal_pvalue
 from tillroll.operators.ordering import rank_in_groups, running_totals
 from tillroll.operators.selection import quantiles
@@ -101,38 +101,18 @@ def ab_mann_whitney(
     ).withColumn("p_value", upper_normal_pvalue(F.col("z")))
 
 
-# P(Poisson(1) <= k) for k = 0..9.
-_POISSON_CDF = (
-    0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462,
-    0.9963401531726563, 0.9994058151824183, 0.9999167588507119, 0.9999897508033253,
-    0.999998874797402, 0.9999998885745217,
-)
-
-
-_GOLDEN = np.uint64(0x9E3779B97F4A7C15)
-
-
-def _uniform(h: np.ndarray) -> np.ndarray:
-    """Numbers from 0 to 1 by a hash of 64-bit numbers (the finalizer of splitmix64)."""
-    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return ((h ^ (h >> np.uint64(31))) >> np.uint64(11)) * 2.0**-53
-
-
 def _resampled(b: int):
     """Per task: for every resample, sums of weighted values and weights of both groups."""
 
     def run(batches):
-        total, steps = np.zeros((4, b)), np.arange(1, b + 1, dtype=np.uint64) * _GOLDEN
+        total = np.zeros((4, b))
         for batch in batches:
-            h, x = batch["h"].to_numpy().view(np.uint64), batch["x"].to_numpy()
-            treated = batch["treated"].to_numpy(bool)
-            for at in range(0, len(x), 512):
-                part = slice(at, at + 512)
-                w = np.searchsorted(_POISSON_CDF, _uniform(h[part, None] + steps), side="right").astype(float)
-                for i, who in enumerate((~treated[part], treated[part])):
-                    total[2 * i] += x[part][who] @ w[who]
-                    total[2 * i + 1] += w[who].sum(axis=0)
+            columns = (batch[c].to_numpy() for c in ("h", "x", "m", "treated"))
+            for h, x, m, treated in zip(*columns):
+                w = np.random.Generator(np.random.Philox(key=int(h) & (1 << 64) - 1)).poisson(m, b)
+                at = 2 if treated else 0
+                total[at] += x * w
+                total[at + 1] += w
         yield pd.DataFrame(
             {"replicate": np.arange(b, dtype=np.int32), "s0": total[0], "n0": total[1], "s1": total[2], "n1": total[3]}
         )
@@ -144,7 +124,6 @@ def ab_bootstrap_ci(
     df: DataFrame,
     group: str,
     metric: str,
-    key: Sequence[str],
     b: int = 1000,
     seed: int = fixed.SEED,
     control: str = CONTROL,
@@ -152,15 +131,19 @@ def ab_bootstrap_ci(
 ) -> DataFrame:
     """95% interval of the difference of means from `b` Poisson resamples of the rows.
 
-    The weight of a row in a resample follows from a hash of its key and the resample's number, so
-    a retried task draws the same. Each task keeps two running sums per group and resample and sends
-    those on.
+    A row's weight in a resample is Poisson(1), so m rows of one group and value weigh Poisson(m)
+    together, in one draw: equal rows are counted first, and only their counts are shuffled.
+    Draws are seeded by group and value, so a retried task draws the same. Each task keeps two running
+    sums per group and resample and sends those on.
     """
     rows = df.filter(F.col(metric).isNotNull() & F.col(group).isin(control, treatment)).select(
-        (F.col(group) == treatment).alias("treated"), F.col(metric).cast("double").alias("x"),
-        F.xxhash64(*key, F.lit(seed)).alias("h"),
+        (F.col(group) == treatment).alias("treated"), F.col(metric).cast("double").alias("x")
     )
-    sums = rows.mapInPandas(_resampled(b), "replicate int, s0 double, n0 double, s1 double, n1 double")
+    counted = rows.groupBy("treated", "x").agg(F.count(F.lit(1)).alias("m"))
+    # Few bytes, much to compute: the counts keep all shuffle partitions, which adaptive execution would merge.
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    seeded = counted.withColumn("h", F.xxhash64("treated", "x", F.lit(seed))).repartition(parts, "h")
+    sums = seeded.mapInPandas(_resampled(b), "replicate int, s0 double, n0 double, s1 double, n1 double")
     diffs = sums.groupBy("replicate").agg(
         (ratio(F.sum("s1"), F.sum("n1")) - ratio(F.sum("s0"), F.sum("n0"))).alias("diff")
     )
@@ -504,15 +487,14 @@ def sequential_test(
 def assign_variants(
     df: DataFrame, key: str, segments: Sequence[str], ratios: Sequence[float], salt: str
 ) -> DataFrame:
-    """Adds `variant` by a salted 64-bit hash of the key: stable, and no shuffle."""
+    """Adds `variant` by a salted 60-bit hash of the key: stable, and no shuffle."""
     if len(segments) != len(ratios):
         raise ValueError("segments and ratios differ in length")
     if abs(sum(ratios) - 1.0) > 1e-9:
         raise ValueError("ratios must sum to 1")
-    place = F.xxhash64(F.col(key), F.lit(salt))
+    place = key_hash(salt, key)
     out = F.lit(segments[-1])
     for i in range(len(segments) - 2, -1, -1):
-        # The hash runs from -2^63 to 2^63 - 1.
-        bound = min(2**63 - 1, int(math.fsum(ratios[: i + 1]) * 2.0**64) - 2**63)
+        bound = int(math.fsum(ratios[: i + 1]) * 2.0**HASH_BITS)
         out = F.when(place < bound, F.lit(segments[i])).otherwise(out)
     return df.withColumn("variant", out)
