@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from tillroll.operators import chunks as CH
 from tillroll.operators import similarity
-from tillroll.sources.sinks import save_chunks
+from tillroll.sources import versions
+from tillroll.sources.sinks import save_chunks, stored_chunks
 from tillroll.sources.tables import scan_chunks
 
 DAY = dt.date(2009, 12, 1)
@@ -87,12 +88,20 @@ def test_topk_of_no_query_is_empty(spark):
 def test_stored_chunks_can_be_replaced_in_place(spark, tmp_path):
     path = str(tmp_path / "chunks")
     cols = "chunk_type string, chunk_id string, content string"
+    assert stored_chunks(spark, path) == (0, None)
     save_chunks(spark.createDataFrame([("a", "1", "x"), ("b", "1", "y")], cols), path)
     new = spark.createDataFrame([("a", "1", "z"), ("a", "2", "w")], cols)
-    save_chunks(CH.upsert_chunks(spark.read.parquet(path).select("chunk_type", "chunk_id", "content"), new), path)
-    got = {(r["chunk_type"], r["chunk_id"]): r["content"] for r in spark.read.parquet(path).collect()}
-    assert got == {("a", "1"): "z", ("a", "2"): "w", ("b", "1"): "y"}
-    plan = scan_chunks(spark.read.parquet(path), ["a"])._jdf.queryExecution().toString()
+    number, old = stored_chunks(spark, path)
+    assert save_chunks(CH.upsert_chunks(old.select("chunk_type", "chunk_id", "content"), new), path, number) == 2
+    rows = lambda df: {(r["chunk_type"], r["chunk_id"]): r["content"] for r in df.collect()}
+    assert rows(stored_chunks(spark, path)[1]) == {("a", "1"): "z", ("a", "2"): "w", ("b", "1"): "y"}
+    # A reader that opened the store before sees what it opened, whole.
+    assert rows(old) == {("a", "1"): "x", ("b", "1"): "y"}
+    # Another writer that started from the first state changes nothing.
+    with pytest.raises(versions.StoreChanged):
+        save_chunks(new, path, number)
+    assert stored_chunks(spark, path)[1].count() == 3
+    plan = scan_chunks(stored_chunks(spark, path)[1], ["a"])._jdf.queryExecution().toString()
     assert "PartitionFilters: [isnotnull(chunk_type" in plan
 
 

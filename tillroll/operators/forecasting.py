@@ -260,6 +260,39 @@ def forecast_future(
     )
 
 
+def naive_forecasts(
+    series: DataFrame, value: str = "Daily_Revenue", periods: Sequence[int] = (1, 7, 30), days: int = 30
+) -> tuple[DataFrame, DataFrame]:
+    """Forecasts that repeat the last 1, 7 or 30 days: what any fitted model has to beat.
+
+    Returns (model, metric, value) rows with the errors over all days that have every lag, and
+    Date, model, forecast rows of the days to come with the models' mean as `ensemble`. The series
+    has one row per day; one shorter than the longest period forecasts null.
+    """
+    slim = series.select("Date", F.col(value).cast("double").alias("v"))
+    w = Window.orderBy("Date")  # one row per day
+    gaps = slim.select(*[(F.col("v") - F.lag("v", p).over(w)).alias(f"e{p}") for p in periods]).filter(F.col(f"e{max(periods)}").isNotNull())
+    names = {p: f"last_{p}_days" for p in periods}
+    metrics = gaps.agg(
+        F.array(
+            *[F.struct(F.lit(names[p]).alias("model"), F.lit(m).alias("metric"), c.alias("value"))
+              for p in periods
+              for m, c in (("rmse", F.sqrt(F.avg(F.col(f"e{p}") ** 2))), ("mae", F.avg(F.abs(f"e{p}"))))]
+        ).alias("r")
+    ).select(F.inline("r"))
+    tail = slim.orderBy(F.desc("Date")).limit(max(periods)).agg(
+        F.max("Date").alias("_last"), F.array_sort(F.collect_list(F.struct("Date", "v"))).alias("_t")
+    )
+    ahead = tail.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(days)))).withColumns(
+        {"Date": F.date_add("_last", F.col("step")),
+         **{names[p]: F.get("_t", F.size("_t") - p + (F.col("step") - 1) % p)["v"] for p in periods}}
+    )
+    mean = sum((F.col(n) for n in list(names.values())[1:]), F.col(names[periods[0]])) / len(periods)
+    shown = [F.struct(F.lit(n).alias("model"), F.col(n).alias("forecast")) for n in names.values()]
+    shown.append(F.struct(F.lit("ensemble").alias("model"), mean.alias("forecast")))
+    return metrics, ahead.select("Date", F.inline(F.array(*shown)))
+
+
 def forecast_totals(future: DataFrame) -> DataFrame:
     return future.groupBy("model").agg(
         F.sum("forecast").alias("total_forecasted_revenue"), F.avg("forecast").alias("daily_avg")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tillroll import fixed
 from tillroll.operators import alerts as AL
 from tillroll.operators import rfm as R
 from tillroll.operators.aggregates import customer_analysis, product_performance
@@ -147,7 +148,7 @@ add(
 )
 
 
-def _risked(t: StarTables):
+def risked(t: StarTables):
     """Scores with a stand-in probability and value, so that SQL can state the result."""
     s = scored(t)
     longest = s.agg(F.max("Recency")).scalar()
@@ -166,12 +167,12 @@ risked AS (SELECT *, CASE WHEN p > 0 AND p <= 0.3 THEN 'Low' WHEN p > 0.3 AND p
 )
 add(
     "churn_risk_bands",
-    lambda t: _risked(t).select("Customer_ID", "Churn_Risk"),
+    lambda t: risked(t).select("Customer_ID", "Churn_Risk"),
     with_(RISKED, "SELECT Customer_ID, Churn_Risk FROM risked"),
 )
 add(
     "churn_risk_summary",
-    lambda t: R.churn_risk_summary(_risked(t)).select(
+    lambda t: R.churn_risk_summary(risked(t)).select(
         "Churn_Risk", "Customer_Count", "Total_Revenue",
         F.round("Predicted_CLV", 4).alias("Predicted_CLV"),
     ),
@@ -183,8 +184,8 @@ add(
 )
 add(
     "retention_actions",
-    lambda t: R.retention_actions(_risked(t)).select(
-        "rule", "customers", F.round("revenue", 2).alias("revenue")
+    lambda t: R.retention_actions(risked(t)).select(
+        "rule", "customers", F.round("revenue", 2).alias("revenue"), "action"
     ),
     with_(RISKED, """, q AS (SELECT quantile_cont(CAST(Frequency AS DOUBLE), 0.3) AS f,
         quantile_cont(CAST(Monetary AS DOUBLE), 0.7) AS m FROM risked),
@@ -194,7 +195,9 @@ add(
         WHERE Frequency <= f AND CAST(Monetary AS DOUBLE) >= m
         UNION ALL SELECT 'vip_program', count(*), CAST(sum(Monetary) AS DOUBLE) FROM risked
         WHERE RFM_Segment = 'Champions')
-      SELECT rule, customers, round(revenue, 2) AS revenue FROM r WHERE customers > 0"""),
+      SELECT rule, customers, round(revenue, 2) AS revenue, action FROM r
+      JOIN (VALUES """ + ", ".join(f"('{rule}', '{action}')" for rule, action in fixed.RETENTION_RULES) + """) a(rule, action)
+      USING (rule) WHERE customers > 0"""),
 )
 add(
     "fill_median",

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tillroll.operators import chunks as CH
 from tillroll.operators import experiments as X
-from tillroll.operators.ordering import durable, row_chunks, top_in_group
+from tillroll.operators.ordering import durable, row_chunks, shared_folder, top_in_group
 from tillroll.operators.similarity import cosine_topk
 from tillroll.plans.base_sql import CUSTOMERS, PRODUCTS, TX, with_
 from tillroll.plans.star_tables import StarTables
-from tillroll.sources import star
+from tillroll.sources import sinks, star
 from tillroll.sources.tables import scan_chunks
 
 QUERIES = {}
@@ -75,7 +77,7 @@ add(
 )
 add(
     "ab_bootstrap_ci",
-    lambda t: X.ab_bootstrap_ci(t.experiment, "group", "metric", ["event_id"]),
+    lambda t: X.ab_bootstrap_ci(t.experiment, "group", "metric"),
 )
 # |t| at 5% and 1% for these degrees of freedom stands in for p, which SQL lacks.
 add(
@@ -166,7 +168,9 @@ add(
 add(
     "assign_variants",
     lambda t: X.assign_variants(t.table("customer"), "c_custkey", ["control", "a", "b"], [0.5, 0.25, 0.25], "s1")
-    .groupBy("variant").agg(F.count(F.lit(1)).alias("n")),
+    .select("c_custkey", "variant"),
+    f"""SELECT c_custkey, CASE WHEN h < {1 << 59} THEN 'control' WHEN h < {3 << 58} THEN 'a' ELSE 'b' END AS variant
+      FROM (SELECT c_custkey, ('0x' || substr(md5('s1:' || c_custkey), 1, 15))::BIGINT AS h FROM customer)""",
 )
 
 # --- blocks of rows and chunks ---------------------------------------------
@@ -332,11 +336,28 @@ def _documents(t: StarTables, fresh: bool):
     )
 
 
+_UPSERTED = """SELECT source AS chunk_type, CAST(doc_id AS VARCHAR) AS chunk_id,
+      md5(CASE WHEN lang = 'en' THEN text || ' v2' ELSE text END) AS content_md5 FROM documents"""
+
+
+def _sums(chunks):
+    return chunks.select("chunk_type", "chunk_id", F.md5("content").alias("content_md5"))
+
+
 add(
     "upsert_chunks",
-    lambda t: CH.upsert_chunks(_documents(t, False), _documents(t, True)).select(
-        "chunk_type", "chunk_id", F.md5("content").alias("content_md5")
-    ),
-    """SELECT source AS chunk_type, CAST(doc_id AS VARCHAR) AS chunk_id,
-      md5(CASE WHEN lang = 'en' THEN text || ' v2' ELSE text END) AS content_md5 FROM documents""",
+    lambda t: _sums(CH.upsert_chunks(_documents(t, False), _documents(t, True))),
+    _UPSERTED,
 )
+
+
+def _chunk_store(t: StarTables):
+    """Chunks stored, and replaced in place by a merge with a fresh load."""
+    root = f"{shared_folder(t.spark)}/chunks-{uuid.uuid4()}"
+    number = sinks.save_chunks(_documents(t, False), root)
+    old = sinks.stored_chunks(t.spark, root)[1]
+    sinks.save_chunks(CH.upsert_chunks(old.select("chunk_type", "chunk_id", "content"), _documents(t, True)), root, number)
+    return _sums(sinks.stored_chunks(t.spark, root)[1])
+
+
+add("chunk_store", _chunk_store, _UPSERTED)

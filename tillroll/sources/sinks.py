@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from tillroll.functions.columns import rounded
+from tillroll.sources import versions
 
 
 def save_tables(
@@ -56,20 +56,15 @@ def save_model(model, path: str) -> None:
     model.write().overwrite().save(path)
 
 
-def save_chunks(chunks: DataFrame, path: str) -> None:
-    """Store chunks by type, so that a search of some types reads only those.
+def save_chunks(chunks: DataFrame, root: str, after: int | None = None) -> int:
+    """Store chunks by type, so that a search of some types reads only those; the new state's number.
 
-    The rows are written beside the store first, because a merge reads the folder it replaces. Then
-    the folders change places, so a failure on the way leaves one whole store.
+    A merge may read the store it replaces. Readers see the old chunks until the new ones are published whole.
     """
-    spark = chunks.sparkSession
-    files = spark._jvm.org.apache.hadoop.fs
-    fresh, old = f"{path.rstrip('/')}-new-{uuid.uuid4()}", f"{path.rstrip('/')}-old-{uuid.uuid4()}"
-    chunks.write.partitionBy("chunk_type").parquet(fresh)
-    target = files.Path(path)
-    system = target.getFileSystem(spark._jsc.hadoopConfiguration())
-    if system.exists(target) and not system.rename(target, files.Path(old)):
-        raise OSError(f"cannot move {path}")
-    if not system.rename(files.Path(fresh), target):
-        raise OSError(f"cannot move {fresh}")
-    system.delete(files.Path(old), True)
+    return versions.replace(chunks.sparkSession, root, {"chunks": chunks}, {"chunks": ["chunk_type"]}, after)
+
+
+def stored_chunks(spark: SparkSession, root: str) -> tuple[int, DataFrame | None]:
+    """The number of the newest state and its chunks, None before the first."""
+    number, tables = versions.current(spark, root)
+    return number, tables.get("chunks")

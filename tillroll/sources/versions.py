@@ -11,7 +11,9 @@ from __future__ import annotations
 import json
 import uuid
 
-from pyspark.sql import SparkSession
+from collections.abc import Mapping, Sequence
+
+from pyspark.sql import DataFrame, SparkSession
 
 _FOLDER, _PREFIX = "_versions", "state-"
 
@@ -64,6 +66,32 @@ def new_folder(root: str, name: str) -> str:
     return f"{root.rstrip('/')}/{name}/{uuid.uuid4()}"
 
 
+def replace(
+    spark: SparkSession,
+    root: str,
+    frames: Mapping[str, DataFrame],
+    partition_by: Mapping[str, Sequence[str]] | None = None,
+    after: int | None = None,
+) -> int:
+    """Publishes new contents of the named tables, all at once; other tables of the store stay.
+
+    The frames may read the tables they replace. `after` is the state they were made from, the newest one
+    if it is not given; if another was published since, StoreChanged is raised and nothing changes.
+    """
+    number, state = latest(spark, root) if after is None else (after, document(spark, root, after) if after else {})
+    tables = dict(state.get("tables", {}))
+    for name, df in frames.items():
+        tables[name] = new_folder(root, name)
+        df.write.partitionBy(*(partition_by or {}).get(name, ())).parquet(tables[name])
+    return publish(spark, root, number, state | {"tables": tables})
+
+
+def current(spark: SparkSession, root: str) -> tuple[int, dict[str, DataFrame]]:
+    """The number of the store's newest state and its tables; what is published later does not show in them."""
+    number, state = latest(spark, root)
+    return number, {name: spark.read.parquet(folder) for name, folder in state.get("tables", {}).items()}
+
+
 def unnamed_folders(spark: SparkSession, root: str, named: set[str], names: list[str]) -> list[str]:
     """Data folders under `names` that are not in `named`: what dead jobs and older states left."""
     found = []
