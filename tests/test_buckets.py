@@ -48,3 +48,17 @@ def test_no_lines(spark, frames):
     line, *rest = frames
     assert warehouse.store_star(line.filter("false"), *rest, namespace="bucket_none") == 1
     assert warehouse.invoice_totals(warehouse.stored_lines(spark, "bucket_none")).count() == 0
+
+
+def test_files_of_an_earlier_session_are_no_hindrance(spark, frames):
+    """A session whose catalog is new finds the folders of tables that an earlier one left in the warehouse."""
+    for name in (warehouse.LINES, warehouse.INVOICES, *warehouse.WAREHOUSE):
+        spark.range(3).write.parquet(f"{spark.conf.get('spark.sql.warehouse.dir')}/bucket_left.db/{name}")
+    warehouse.store_star(*frames, namespace="bucket_left")
+    lines = warehouse.stored_lines(spark, "bucket_left")
+    n = lines.count()
+    assert n > 0
+    warehouse.create_tables(spark, "bucket_left")
+    line, *rest = frames
+    warehouse.store_star(line.filter("false"), *rest, namespace="bucket_left")
+    assert lines.count() == n and warehouse.stored_lines(spark, "bucket_left").count() == 0

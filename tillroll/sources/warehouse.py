@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillroll import fixed
+from tillroll.operators.ordering import session_folder
 from tillroll.schemas import WAREHOUSE, WAREHOUSE_SOURCE
 from tillroll.sources.tables import table_counts
 
@@ -21,11 +23,16 @@ def create_namespaces(spark: SparkSession) -> None:
 
 
 def create_tables(spark: SparkSession, namespace: str = ANALYTICS) -> None:
-    """The five tables: a dataset's columns plus `created_at`."""
+    """The five tables: a dataset's columns plus `created_at`.
+
+    Each names its folder in the namespace, so a session without a catalog of earlier ones finds the table
+    where they left it.
+    """
+    home = spark.catalog.getDatabase(namespace).locationUri.rstrip("/")
     for name, schema in WAREHOUSE.items():
         columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
         spark.sql(
-            f"CREATE TABLE IF NOT EXISTS {namespace}.{name} ({columns}, created_at timestamp) USING parquet"
+            f"CREATE TABLE IF NOT EXISTS {namespace}.{name} ({columns}, created_at timestamp) USING parquet LOCATION '{home}/{name}'"
         )
 
 
@@ -65,10 +72,14 @@ def save_bucketed(df: DataFrame, table: str, key: str, buckets: int) -> None:
     """Replace a catalog table with the rows in `buckets` files by hash of the key, sorted by it in each.
 
     Tables that are stored by the same key into the same number of buckets join, and a table groups by that key, where
-    the rows lie. Rows of one hot key share a file, as they would share a task in a shuffle.
+    the rows lie. Rows of one hot key share a file, as they would share a task in a shuffle. Every call writes a
+    folder of its own among the session's tables: files that another session or an earlier call left are not met,
+    and frames that read the table replaced stay whole.
     """
+    spark = df.sparkSession
+    path = f"{session_folder(spark)}/{table.rpartition('.')[2]}-{uuid.uuid4()}"
     laid = df.repartition(buckets, key)
-    laid.write.mode("overwrite").format("parquet").bucketBy(buckets, key).sortBy(key).saveAsTable(table)
+    laid.write.mode("overwrite").format("parquet").option("path", path).bucketBy(buckets, key).sortBy(key).saveAsTable(table)
 
 
 def store_star(
