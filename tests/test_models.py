@@ -169,6 +169,40 @@ def test_factors_put_like_customers_together(spark):
     assert len(goods) == 6 and all(r["description"] == "x" * 50 + "..." for r in goods)
 
 
+def _ratings(spark, customers=60, products=30):
+    rng = np.random.default_rng(5)
+    rows = [(c, f"P{p:02d}", float(rng.normal(20, 5))) for c in range(customers) for p in range(products) if rng.random() < 0.6]
+    return spark.createDataFrame(rows, "Customer_ID long, StockCode string, Revenue double")
+
+
+def test_factor_rounds_leave_few_files(spark):
+    """The vectors that rounds send each other are deleted while the fit goes on."""
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def files():
+        return {f for f in disk.getAllFiles().mkString(",").split(",") if f.endswith(".data")}
+
+    before = files()
+    FA.customer_product_factors(_ratings(spark), rank=4, iters=10)
+    assert len(files() - before) < 140  # twenty half rounds of ten files each, without deletion
+
+
+def test_predictions_are_products_of_both_vectors(spark, monkeypatch):
+    monkeypatch.setattr(FA, "CELL_KEYS", 7)
+    rng = np.random.default_rng(6)
+    u, v = rng.normal(size=(20, 3)).astype("float32"), rng.normal(size=(15, 3)).astype("float32")
+
+    def vectors(x, n):
+        return spark.createDataFrame([(i, list(map(float, x[i]))) for i in range(n)], "id int, features array<float>")
+
+    rated = [(a, b, int(a % 5), float(a * 100 + b)) for a in range(20) for b in range(15)] * 2
+    got = FA.predicted_ratings(spark.createDataFrame(rated, "user int, item int, part long, rating float"), vectors(u, 18), vectors(v, 14))
+    rows = sorted(tuple(r) for r in got.collect())
+    want = sorted((a % 5, float(a * 100 + b), float(u[a] @ v[b])) for a in range(18) for b in range(14) for _ in range(2))
+    assert len(rows) == len(want)
+    assert all(r[:2] == w[:2] and abs(r[2] - w[2]) < 1e-5 for r, w in zip(rows, want))
+
+
 def test_rare_class_is_in_every_part(spark):
     from tillroll.operators import lifetime
 
