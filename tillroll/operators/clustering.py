@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from tillroll import fixed
 from tillroll.functions.columns import fill_zero, mean_of, ratio
 from tillroll.operators.aggregates import TOTAL
+from tillroll.operators.learning import at_once
 from tillroll.operators.ordering import durable
 from tillroll.operators.selection import column_quantiles
 from tillroll.operators.rfm import fill_median
@@ -91,11 +92,13 @@ def tune_kmeans(
     """Silhouette of every (k, seed), best first."""
     clean = fill_zero(rfm, features)
     scaled = durable(_scaler(features, centred=False).fit(clean).transform(clean).select("scaled"))
-    rows = []
-    for k in ks:
-        for seed in seeds:
-            model = KMeans(featuresCol="scaled", predictionCol="cluster", k=k, seed=seed).fit(scaled)
-            rows.append((k, seed, float(_silhouette().evaluate(model.transform(scaled)))))
+
+    def scored(setting: tuple[int, int]) -> tuple:
+        k, seed = setting
+        model = KMeans(featuresCol="scaled", predictionCol="cluster", k=k, seed=seed).fit(scaled)
+        return k, seed, float(_silhouette().evaluate(model.transform(scaled)))
+
+    rows = at_once(rfm.sparkSession, scored, [(k, seed) for k in ks for seed in seeds])
     return rfm.sparkSession.createDataFrame(rows, "k int, seed int, silhouette double").orderBy(
         F.desc("silhouette"), "k", "seed"
     )
@@ -142,21 +145,22 @@ def cluster_sweep(
         Summarizer.metrics("count", "variance").summary(F.col("scaled")).alias("s")
     ).select("s.count", "s.variance").first()
     n, total = whole[0], float(np.sum(whole[1].toArray())) * (whole[0] - 1)
-    rows, models = [], {}
-    for k in ks:
+
+    def scored(k: int) -> tuple:
         model = KMeans(featuresCol="scaled", predictionCol="cluster", k=k, seed=seed).fit(prepared)
         predicted = model.transform(prepared)
         centers = np.array(model.clusterCenters())
         within = model.summary.trainingCost
         silhouette = float(_silhouette().evaluate(predicted))
         between = (total - within) / (k - 1)
-        rows.append(
-            (
-                k, silhouette, float(between / (within / (n - k))) if within else None,
-                _davies_bouldin(centers, _spread_to_own_center(predicted, centers)), float(within),
-            )
+        row = (
+            k, silhouette, float(between / (within / (n - k))) if within else None,
+            _davies_bouldin(centers, _spread_to_own_center(predicted, centers)), float(within),
         )
-        models[k] = model
+        return row, model
+
+    fits = at_once(rfm.sparkSession, scored, ks)
+    rows, models = [row for row, _ in fits], dict(zip(ks, (model for _, model in fits)))
     best = max(rows, key=lambda r: (r[1], -r[0]))[0]
     scores = rfm.sparkSession.createDataFrame(
         [(*r, r[0] == best) for r in rows],
