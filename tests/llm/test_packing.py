@@ -66,3 +66,17 @@ def test_added_tokens_are_the_librarys(spark):
     assert [np.frombuffer(x, "<u2").tolist() for x in WordEncoder(tokenizer_path()).encode(texts)] == want
     rows = packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), with_ids=True).collect()
     assert {r["doc_id"]: r["ids"] for r in rows} == {i: [*x, 1] for i, x in enumerate(want)}
+
+
+def test_words_are_kept_once_and_for_the_next_task():
+    from tokenizers import Tokenizer
+
+    from tillroll.llm.tokens import word_encoder
+
+    coder = word_encoder(tokenizer_path())
+    texts = ["A foo, bar foo\n\nbaz  foo", "One foo bar baz bar\nqux qux, foo's"]
+    whole = Tokenizer.from_file(tokenizer_path())
+    for _ in range(2):
+        assert [np.frombuffer(x, "<u2").tolist() for x in coder.encode(texts)] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
+    assert {"foo", "bar"} <= set(coder.words) and not {" foo", " bar"} & set(coder.pieces)
+    assert word_encoder(tokenizer_path()) is coder

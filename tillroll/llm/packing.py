@@ -17,8 +17,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillroll.llm.common import stored
-from tillroll.llm.tokens import WordEncoder, text_groups, tokenizer_path
+from tillroll.llm.tokens import text_groups, tokenizer_path, word_encoder
 
+#: Rows whose texts are strings of Python at once.
+_ROWS = 256
 _ENCODED = "part int, before long, tokens long, wide boolean, ids binary"
 _PIECES = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -27,10 +29,10 @@ def encoded(docs: DataFrame, key: str, text: str, path: str, end_id: int) -> Dat
     """One row per document: key, part, before (tokens before it in the part), tokens, ids."""
 
     def run(batches):
-        coder = WordEncoder(path)
+        coder = word_encoder(path)
         end = np.array([end_id], coder.dtype).tobytes()
         width, part, before = coder.dtype.itemsize, TaskContext.get().partitionId(), 0
-        for batch in batches:
+        for batch in (x.slice(a, _ROWS) for x in batches for a in range(0, x.num_rows, _ROWS)):
             texts = [x or "" for x in batch.column(1).to_pylist()]
             for a, b in text_groups(texts):
                 ids = [x + end for x in coder.encode(texts[a:b])]

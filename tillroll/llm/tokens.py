@@ -6,6 +6,7 @@ import os
 import sys
 import re
 from array import array
+from functools import lru_cache
 
 import numpy as np
 import regex
@@ -14,7 +15,7 @@ import regex
 _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: White space other than single blanks and line ends between words.
 _OTHER_SPACE = re.compile(r"[^\S \n]")
-#: Words kept per task and cache. It bounds memory only: a word that was let go is encoded again.
+#: Words kept per worker and cache. It bounds memory only: a word that was let go is encoded again.
 CACHE_WORDS = 400_000
 
 
@@ -61,20 +62,33 @@ class WordEncoder:
         return [np.array(x.ids, self.dtype).tobytes() for x in found]
 
     def _piece(self, piece: str) -> bytes:
+        # A blank and letters are a word of their own, so they are kept as one and not here too.
+        if piece[0] == " " and piece[1:].isalpha():
+            ids = self.words.get(piece[1:])
+            return self._kept(piece[1:], self._merged(piece)) if ids is None else ids
         ids = self.pieces.get(piece)
         if ids is None:
-            spelt = piece.encode().decode("latin-1").translate(self.letters)
-            ids = array(self.code, [x.id for x in self.merge(spelt)]).tobytes()
+            ids = self._merged(piece)
             if len(self.pieces) >= CACHE_WORDS:
                 self.pieces.clear()
             self.pieces[piece] = ids
         return ids
 
+    def _merged(self, piece: str) -> bytes:
+        spelt = piece.encode().decode("latin-1").translate(self.letters)
+        return array(self.code, [x.id for x in self.merge(spelt)]).tobytes()
+
     def _cut(self, text: str) -> bytes:
         if text[1:].isalpha() and (text[0] == " " or text[0].isalpha()):
             return self._piece(text)
         return b"".join(map(self._piece, _PIECES.findall(text)))
 
+    def _kept(self, word: str, ids: bytes) -> bytes:
+        if len(self.words) >= CACHE_WORDS:
+            self.words.clear()
+        self.words[word] = ids
+        return ids
+
     def _words(self, text: str) -> list[str] | None:
         """The words with their blank or line end before them, or None if the text has other white space."""
         if "  " in text or "\n\n" in text or " \n" in text or "\n " in text or _OTHER_SPACE.search(text):
@@ -102,15 +116,18 @@ class WordEncoder:
                 for i, ids in enumerate(found):
                     if ids is None:
                         w = words[i]
-                        ids = self._cut(w if w[0] == "\n" else " " + w)
-                        found[i] = ids
-                        if len(self.words) >= CACHE_WORDS:
-                            self.words.clear()
-                        self.words[w] = ids
+                        # A word may be new to the text twice.
+                        found[i] = get(w) or self._kept(w, self._cut(w if w[0] == "\n" else " " + w))
             out.append(b"".join(found))
         return out
 
 
+@lru_cache(maxsize=1)
+def word_encoder(path: str) -> WordEncoder:
+    """The worker's encoder of a tokenizer: the next task of the worker finds the words of the one before."""
+    return WordEncoder(path)
+
+
 def text_groups(texts: list[str], chars: int = 500_000):
     """Ranges of neighbouring texts of about `chars` characters, so that work in hand stays small."""
     start, size = 0, 0
