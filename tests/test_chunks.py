@@ -128,3 +128,22 @@ def test_build_embed_search_and_upsert(spark):
     assert merged.filter("content = 'new'").select("chunk_id").first()[0] == "customers_1"
     with pytest.raises(ValueError):
         CH.build_chunks({}, ["i"])
+
+
+def test_chunk_and_warehouse_tables_come_from_one_stored_fact(spark, monkeypatch):
+    """The star is joined once however many tables are made from its lines."""
+    from tillroll.plans import queries_experiments as Q
+    from tillroll.plans import queries_sources, star_tables
+    from tillroll.sources import star
+
+    joined = []
+    whole = star.raw_lines
+    monkeypatch.setattr(star, "raw_lines", lambda *a: joined.append(1) or whole(*a))
+    t = star_tables.StarTables(spark, "/root/testdata/sf0.001")
+    for df in Q._catalog(t).values():
+        assert "lineitem.parquet" not in "".join(df.inputFiles()) and df.count() > 0
+    assert "lineitem.parquet" not in "".join(t.stored_daily.inputFiles()) and len(joined) == 1
+    seen = {}
+    monkeypatch.setattr(queries_sources.warehouse, "load_warehouse", lambda s, d, *a: seen.update(d))
+    queries_sources._warehouse_load(t)
+    assert seen and all("lineitem.parquet" not in "".join(df.inputFiles()) for df in seen.values())

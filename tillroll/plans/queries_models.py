@@ -307,7 +307,7 @@ add(
 )
 add(
     "naive_comparison",
-    lambda t: _cents(FO.forecast_comparison(_naive_week(t), S.revenue_summary(t.daily))),
+    lambda t: _cents(FO.forecast_comparison(_naive_week(t), S.revenue_summary(t.stored_daily))),
     with_(NAIVE, """, r0 AS (SELECT "Date", sum(Revenue) AS rev FROM tx GROUP BY 1),
       r AS (SELECT CAST(sum(rev) AS DOUBLE) / count(rev) AS h, CAST(arg_max(rev, "Date") AS DOUBLE) AS l FROM r0),
       w AS (SELECT avg(a) AS a, avg(b) AS b, avg(e) AS e, sum(e) AS s FROM week),
