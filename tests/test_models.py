@@ -210,3 +210,26 @@ def test_rare_class_is_in_every_part(spark):
     df = spark.createDataFrame(rows, "Customer_ID int, label double")
     got = lifetime._stratified(df, ["Customer_ID"], 5, 7).groupBy("part", "label").count().collect()
     assert {(r["part"], r["label"]): r["count"] for r in got} == {**{(p, 0.0): 399 for p in range(5)}, **{(p, 1.0): 1 for p in range(5)}}
+
+
+def test_folds_are_fitted_side_by_side_and_scored_in_order(spark):
+    import threading
+
+    from tillroll.operators import learning
+
+    meet = threading.Barrier(3, timeout=60)
+
+    class Model:
+        def transform(self, df):
+            return df
+
+    class Rows:
+        def evaluate(self, df):
+            return float(df.count())
+
+    def fit(df):
+        meet.wait()
+        return Model()
+
+    df = spark.range(60).selectExpr("CAST(id % 3 AS INT) AS fold")
+    assert learning.cross_validate(df, fit, Rows(), "fold", 3) == (20.0, 0.0)
