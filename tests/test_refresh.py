@@ -4,8 +4,10 @@ import datetime
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tillroll.operators import aggregates as A
+from tillroll.operators import day_state
 from tillroll.operators.etl import add_features, clean
 from tillroll.plans import refresh
 from tillroll.plans.marts import aggregate_tables
@@ -145,3 +147,30 @@ def test_publishing_twice_after_one_state(spark, root):
     assert versions.latest(spark, root) == (1, {"a": 1})
     assert versions.publish(spark, root, 1, {"a": "ü"}) == 2
     assert versions.latest(spark, root) == (2, {"a": "ü"})
+
+
+def test_states_are_compacted_where_they_lie(spark, tmp_path):
+    """Products and pairs of a batch need no exchange, by day or by month; sums and keys with nulls add up."""
+    tx = add_features(clean(frame(spark, lines(11, 400, (2020, 1, 1), 40)))).cache()
+    for name in day_state.COMPACTED:
+        state = day_state.day_states(tx)[name]
+        for step in (state, day_state.compacted(state, name, ("Date",))):
+            assert "Exchange" not in step._jdf.queryExecution().executedPlan().toString().split("InMemoryRelation")[0]
+        keys, merges = day_state.STATES[name]
+        source = tx.filter("Customer_ID is not null") if "Customer_ID" in keys else tx
+        measures = {"revenue": "sum(Revenue)", "quantity": "sum(Absolute_Quantity)", "price": "sum(Price)", "lines": "count(Invoice)"}
+        rows = [F.expr(measures[m]).cast(state.schema[m].dataType).alias(m) for m in merges] or [F.count(F.lit(1)).alias("n")]
+        want = source.groupBy("Date", *keys).agg(*rows).drop("n")
+        assert rows_of(day_state.merged(state, name, ("Date",))) == rows_of(want)
+    one = tx.coalesce(1)
+    assert day_state.day_states(one)["products"].count() == one.groupBy("Date", *day_state.PRODUCT).count().count()
+
+
+def test_month_of_one_batch_is_not_written_again(spark, tmp_path):
+    root = str(tmp_path / "store")
+    first = refresh.load(frame(spark, lines(6, 90, (2020, 1, 1), 25)), root, "january")
+    assert not (tmp_path / "store" / "months" / first["months"]["2020-01"].split("/")[-1] / "pairs").exists()
+    late = lines(8, 30, (2020, 1, 1), 25)
+    second = refresh.load(frame(spark, late), root, "late")
+    assert (tmp_path / "store" / "months" / second["months"]["2020-01"].split("/")[-1] / "pairs").exists()
+    check_whole(spark, root, lines(6, 90, (2020, 1, 1), 25) + late)

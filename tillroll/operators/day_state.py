@@ -1,10 +1,14 @@
 """Mergeable state of the aggregate tables: by day, merged by month, and the tables made from it.
 
 The lines of a day are reduced to four small tables. Sums, counts, first and last times of two of them
-add up to those of both; who and what was seen is kept as rows that are there once, so that a distinct count is
-a count of rows at every level and nothing is expanded for it. Money stays decimal, so any
+add up to those of both; who and what was seen is kept as rows, so that a distinct count is
+a count of merged rows and nothing is expanded for it. Money stays decimal, so any
 order of merging gives the same tables as one pass over all lines.
 
+Sales and customers are few and hold one row per key. Products and pairs may be nearly as many as the lines, so they are
+compacted: rows that meet in a task become one and no row moves. A key may then have a row of each task that met
+it. Only the tables over all time gather those, in one shuffle.
+
 | state | one row per | holds |
 | --- | --- | --- |
 | sales | day, country | sums of revenue, quantity, price and amount, lines |
@@ -17,6 +21,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,6 +44,9 @@ STATES: dict[str, tuple[tuple[str, ...], dict[str, str]]] = {
     "pairs": ((*PRODUCT, "Customer_ID"), {}),
 }
 
+#: States whose rows are merged inside tasks by day and month, and across tasks only over all time.
+COMPACTED = ("products", "pairs")
+
 _TYPES = {
     "revenue": _SUM, "price": _SUM, "amount": _SUM, "quantity": "bigint", "lines": "bigint", "Customer_ID": "bigint",
     "first_day": "date", "last_day": "date", "first_time": "timestamp_ntz", "last_time": "timestamp_ntz",
@@ -64,14 +72,39 @@ def day_states(tx: DataFrame) -> dict[str, DataFrame]:
         "first_time": F.min("InvoiceDate"),
         "last_time": F.max("InvoiceDate"),
     }
+    single = {
+        "revenue": F.col("Revenue"),
+        "quantity": F.col("Absolute_Quantity"),
+        "price": F.col("Price"),
+        "lines": F.col("Invoice").isNotNull().cast("long"),
+    }
     out = {}
     for name, (keys, merges) in STATES.items():
         source = registered(tx) if "Customer_ID" in keys else tx
-        grouped = source.groupBy("Date", *keys)
-        out[name] = grouped.agg(*[measures[m].alias(m) for m in merges]) if merges else source.select("Date", *keys).distinct()
+        if name in COMPACTED:
+            rows = source.select("Date", *keys, *[single[m].cast(_TYPES[m]).alias(m) for m in merges])
+            out[name] = compacted(rows, name, ("Date",))
+        else:
+            out[name] = source.groupBy("Date", *keys).agg(*[measures[m].alias(m) for m in merges])
     return out
 
 
+def compacted(state: DataFrame, name: str, period: tuple[str, ...]) -> DataFrame:
+    """Rows of a state that agree in period and keys, as one wherever they meet in a task; no row moves."""
+    keys, merges = STATES[name]
+    by = [*period, *keys]
+    slim = state.select(*by, *merges)
+
+    def run(batches):
+        for batch in batches:
+            whole = pa.Table.from_batches([batch])
+            rows = whole.group_by(by, use_threads=False).aggregate([(m, how) for m, how in merges.items()])
+            named = rows.select([*by, *(f"{m}_{how}" for m, how in merges.items())]).rename_columns([*by, *merges])
+            yield from named.cast(whole.schema).to_batches()
+
+    return slim.sortWithinPartitions(*by).mapInArrow(run, slim.schema)
+
+
 def merged(state: DataFrame, name: str, period: tuple[str, ...] = ()) -> DataFrame:
     """Rows of a state that agree in the period columns and the state's keys, as one."""
     keys, merges = STATES[name]
@@ -145,7 +178,7 @@ def _rows(df: DataFrame, column: str):
 
 
 def processing_summary(sales: DataFrame, products: DataFrame, customers: DataFrame) -> DataFrame:
-    """The run summary; its three distinct counts are counts of rows of three small tables."""
+    """The run summary; its three distinct counts are counts of rows of three small tables, which may be states or the tables made of them."""
     return sales.agg(
         F.sum("lines").alias("total_records"),
         F.concat(F.min("first_day").cast("string"), F.lit(" to "), F.max("last_day").cast("string")).alias("date_range"),
@@ -158,11 +191,10 @@ def processing_summary(sales: DataFrame, products: DataFrame, customers: DataFra
 
 
 def whole_tables(months: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
-    """The tables over all time, from the states of all months."""
+    """The tables over all time besides the summary, from the states of all months."""
     sales, products, customers, pairs = (months[n] for n in STATES)
     return {
         "product_performance": product_performance(products, pairs),
         "customer_analysis": customer_analysis(customers),
         "country_performance": country_performance(sales, customers),
-        "processing_summary": processing_summary(sales, products, customers),
     }

@@ -3,16 +3,17 @@
 A load brings a batch of raw lines under a name. Its lines are cleaned and stored once, and reduced to day
 states (`operators/day_state.py`); only these two steps read lines, and only the batch's. Then the months that the
 batch touches are made anew from the day states of their days, and the tables over all time from month states.
-Other months stay as they are. Loading a batch name again replaces what it brought before.
+Other months stay as they are. Loading a batch name again replaces what it brought before. Lines are not shuffled when they
+are stored, nor are products and pairs by day and month; only the tables over all time gather these.
 
 The store's document (`sources/versions.py`) is the manifest: batches done with their days and rows, and for each month
 and table the folder that counts. Rows carry their month and lie sorted by it, and a reader of some months filters by
-it, which files and row groups answer from their ranges; a folder per day would be thousands of tiny files.
+it, which files, row groups and pages answer from their ranges; a folder per day would be thousands of tiny files.
 
 | key | value |
 | --- | --- |
-| batches | name -> {folder, days: {day -> rows}}: the fact and the day states |
-| months | month -> folder of its month states, daily_sales and monthly_trends |
+| batches | name -> {folder, compacted, days: {day -> rows}}: the fact and the day states; those of products and pairs are in `compacted` |
+| months | month -> folder of its month states, daily_sales and monthly_trends; products and pairs of a month that one batch brought stay in `compacted` |
 | tables | name -> folder |
 """
 
@@ -53,15 +54,17 @@ def load(
     folder = versions.new_folder(root, "batches")
     _write(add_features(clean(raw), rules, price_edges, price_labels), f"{folder}/{FACT}")
     lines = spark.read.schema(TRANSACTIONS).parquet(f"{folder}/{FACT}")
-    _write_all(spark, {f"{folder}/{name}": state for name, state in day_state.day_states(lines).items()})
+    compacted = versions.new_folder(root, "months")
+    states = day_state.day_states(lines)
+    _write_all(spark, {f"{compacted if name in day_state.COMPACTED else folder}/{name}": state for name, state in states.items()})
     day = F.col("Date").cast("string").alias("day")
     sales = spark.read.schema(day_state.state_schema("sales", "Date date")).parquet(f"{folder}/sales")
     counted = sales.groupBy(day).agg(F.sum("lines").alias("n")).collect()
-    entry = {"folder": folder, "days": {r["day"]: int(r["n"]) for r in counted}}
+    entry = {"folder": folder, "compacted": compacted, "days": {r["day"]: int(r["n"]) for r in counted}}
     touched = {d[:7] for d in [*entry["days"], *before.get(batch, {}).get("days", {})]}
     manifest = {"batches": {**before, batch: entry}, "months": manifest.get("months", {})}
     manifest["months"] = _months(spark, root, manifest, touched)
-    manifest["tables"] = _tables(spark, root, manifest["months"])
+    manifest["tables"] = _tables(spark, root, manifest)
     versions.publish(spark, root, number, manifest)
     return manifest
 
@@ -89,17 +92,17 @@ def days_done(spark: SparkSession, manifest: dict) -> DataFrame:
 def left_over(spark: SparkSession, root: str) -> list[str]:
     """Data folders that the current manifest does not name; older readers may still use them."""
     manifest = versions.latest(spark, root)[1]
-    named = {b["folder"] for b in manifest.get("batches", {}).values()}
+    named = {f for b in manifest.get("batches", {}).values() for f in (b["folder"], _compacted(b))}
     named |= {f for kind in _KINDS[1:] for f in manifest.get(kind, {}).values()}
     named = {"/".join(f.split("/")[: len(root.rstrip("/").split("/")) + 2]) for f in named}
     return versions.unnamed_folders(spark, root, named, _KINDS)
 
 
 def _write(df: DataFrame, path: str) -> None:
-    """Rows with their month, near those of the same month; Spark splits large parts and joins small ones."""
+    """Rows with their month, in its order inside each file; they stay in the task that made them."""
     if _MONTH not in df.columns:
         df = df.withColumn(_MONTH, F.date_format("Date", "yyyy-MM"))
-    df.hint("rebalance", _MONTH).sortWithinPartitions(_MONTH).write.parquet(path)
+    df.sortWithinPartitions(_MONTH).write.option("compression", "zstd").parquet(path)
 
 
 def _write_all(spark: SparkSession, frames: dict[str, DataFrame]) -> None:
@@ -135,11 +138,26 @@ def _months_of(spark: SparkSession, months: dict, name: str, schema: T.StructTyp
 
 def _of_batches(spark: SparkSession, manifest: dict, name: str, months: set[str]) -> DataFrame:
     """The day states of some months, from the batches that have lines of them."""
-    folders = [b["folder"] for b in manifest["batches"].values() if months & {d[:7] for d in b["days"]}]
+    held = [b for b in manifest["batches"].values() if months & {d[:7] for d in b["days"]}]
+    folders = [_compacted(b) if name in day_state.COMPACTED else b["folder"] for b in held]
     schema = _with_month(day_state.state_schema(name, "Date date"))
     return spark.read.schema(schema).parquet(*[f"{f}/{name}" for f in folders]).filter(F.col(_MONTH).isin(sorted(months)))
 
 
+def _compacted(batch: dict) -> str:
+    """Where a batch's products and pairs are; stores written before that had a folder of its own have them with the rest."""
+    return batch.get("compacted", batch["folder"])
+
+
+def _alone(manifest: dict) -> dict[str, str]:
+    """Months with the lines of one batch only, and where its compacted states are: they are also those of the month."""
+    holders: dict[str, set[str]] = {}
+    for b in manifest["batches"].values():
+        for month in {d[:7] for d in b["days"]}:
+            holders.setdefault(month, set()).add(_compacted(b))
+    return {m: next(iter(f)) for m, f in holders.items() if len(f) == 1}
+
+
 def _months(spark: SparkSession, root: str, manifest: dict, touched: set[str]) -> dict:
     """The touched months made anew from day states; a month that lost all its lines is gone."""
     held = {d[:7] for b in manifest["batches"].values() for d in b["days"]} & touched
@@ -147,18 +165,34 @@ def _months(spark: SparkSession, root: str, manifest: dict, touched: set[str]) -
     if not held:
         return after
     folder = versions.new_folder(root, "months")
+    shared = held - set(_alone(manifest))
     days = {name: _of_batches(spark, manifest, name, held) for name in day_state.STATES}
-    by_month = {f"{folder}/{name}": day_state.merged(state, name, (_MONTH,)) for name, state in days.items()}
+    by_month = {}
+    for name, state in days.items():
+        if name not in day_state.COMPACTED:
+            by_month[f"{folder}/{name}"] = day_state.merged(state, name, (_MONTH,))
+        elif shared:
+            state = _of_batches(spark, manifest, name, shared)
+            by_month[f"{folder}/{name}"] = day_state.compacted(state, name, (_MONTH,))
     _write_all(spark, {f"{folder}/daily_sales": day_state.daily_sales(days["sales"], days["customers"]), **by_month})
     months = {n: spark.read.schema(day_state.state_schema(n, f"{_MONTH} string")).parquet(f"{folder}/{n}") for n in ("sales", "customers")}
     _write(day_state.monthly_trends(**months, month=_MONTH), f"{folder}/monthly_trends")
     return after | dict.fromkeys(held, folder)
 
 
-def _tables(spark: SparkSession, root: str, months: dict) -> dict:
+def _tables(spark: SparkSession, root: str, manifest: dict) -> dict:
     """The tables over all time, from the month states that count now."""
-    states = {name: _months_of(spark, months, name, day_state.state_schema(name)) for name in day_state.STATES}
+    months = manifest["months"]
+    compact = months | _alone(manifest)
+    states = {
+        name: _months_of(spark, compact if name in day_state.COMPACTED else months, name, day_state.state_schema(name))
+        for name in day_state.STATES
+    }
     folder = versions.new_folder(root, "tables")
     whole = day_state.whole_tables(states)
     _at_once(spark, [lambda name=name, df=df: df.write.parquet(f"{folder}/{name}") for name, df in whole.items()])
-    return {name: f"{folder}/{name}" for name in whole}
+    # The summary counts keys, which the stored tables hold already.
+    products, customers = (spark.read.schema(schema_of(n)).parquet(f"{folder}/{n}") for n in ("product_performance", "customer_analysis"))
+    summary = day_state.processing_summary(states["sales"], products, customers)
+    summary.write.parquet(f"{folder}/processing_summary")
+    return {name: f"{folder}/{name}" for name in (*whole, "processing_summary")}
