@@ -80,3 +80,17 @@ def test_words_are_kept_once_and_for_the_next_task():
         assert [np.frombuffer(x, "<u2").tolist() for x in coder.encode(texts)] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
     assert {"foo", "bar"} <= set(coder.words) and not {" foo", " bar"} & set(coder.pieces)
     assert word_encoder(tokenizer_path()) is coder
+
+
+def test_words_with_signs_behind_them_keep_their_parts_only():
+    """However many signs follow a word, the word is merged once and the ids are the library's."""
+    coder = WordEncoder(tokenizer_path())
+    signs = [",", ".", "...", "!?", "$$$", "%", "-", '")', "'s", "'", "_", "́"]
+    text = "x " + " ".join(w + s for w in ("foo", "Ünïcode", "ok") for s in signs)
+    odd = [text, "a\x1cb c", "a b,", "a\r\nb.", "x  y", "x ,, .foo 12, 3.5 a1."]
+    merged = []
+    merge = coder.merge
+    coder.merge = lambda piece: merged.append(piece) or merge(piece)
+    assert coder.encode(odd) == coder._whole(odd)
+    assert merged.count(coder.blank + "foo") == 1
+    assert "foo" in coder.words and not {"foo,", "foo...", "foo$$$"} & set(coder.words)

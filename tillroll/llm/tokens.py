@@ -14,7 +14,9 @@ import regex
 #: How the byte-level tokenizer cuts a text before it merges bytes (a fixed value of its vocabulary).
 _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: White space other than single blanks and line ends between words.
-_OTHER_SPACE = re.compile(r"[^\S \n]")
+_OTHER_SPACE = [chr(i) for i in range(sys.maxunicode + 1) if chr(i).isspace() and chr(i) not in " \n"]
+#: Signs that end words and are one piece together; no apostrophe, which may start a piece with letters.
+_ENDING = ".,;:!?$%&*#)\"-"
 #: Words kept per worker and cache. It bounds memory only: a word that was let go is encoded again.
 CACHE_WORDS = 400_000
 
@@ -37,7 +39,7 @@ class WordEncoder:
 
     The byte-level pattern never joins a letter, digit or mark to white space after it, so a text
     of words between single blanks and line ends falls apart into words with the blank before
-    them. Most of those were seen before. Any other text is cut by the pattern itself. Texts that
+    them. Most of those were seen before, if not with the signs after them. Any other text is cut by the pattern itself. Texts that
     hold an added token of the tokenizer, and whole texts of a tokenizer of another kind, go through
     the library's own pipeline.
     """
@@ -53,6 +55,7 @@ class WordEncoder:
         self.code = "H" if self.dtype.itemsize == 2 else "I"
         probe = " a b1\n\nc  d's ._.\té"
         self.merge, self.letters = self.whole.model.tokenize, _byte_letters()
+        self.blank = self.letters[32]
         self.pieces: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
         self.bytewise = sys.byteorder == "little" and self._cut(probe) == self._whole([probe])[0]
@@ -64,8 +67,7 @@ class WordEncoder:
     def _piece(self, piece: str) -> bytes:
         # A blank and letters are a word of their own, so they are kept as one and not here too.
         if piece[0] == " " and piece[1:].isalpha():
-            ids = self.words.get(piece[1:])
-            return self._kept(piece[1:], self._merged(piece)) if ids is None else ids
+            return self.words.get(piece[1:]) or self._word(piece[1:])
         ids = self.pieces.get(piece)
         if ids is None:
             ids = self._merged(piece)
@@ -78,6 +80,23 @@ class WordEncoder:
         spelt = piece.encode().decode("latin-1").translate(self.letters)
         return array(self.code, [x.id for x in self.merge(spelt)]).tobytes()
 
+    def _word(self, word: str) -> bytes:
+        """Ids of a word, new to the worker or not kept, with the blank before it."""
+        if word.isalpha():
+            # Most letters of one byte stand for themselves.
+            spelt = self.blank + (word if word.isascii() else word.encode().decode("latin-1").translate(self.letters))
+            ids = array(self.code, [x.id for x in self.merge(spelt)]).tobytes()
+        else:
+            bare = word.rstrip(_ENDING)
+            rest = word[len(bare):]
+            if rest and bare.isalpha():
+                # Letters, then signs: two pieces, each kept; the pair is not, so the kept words last longer.
+                get = self.words.get
+                return (get(bare) or self._word(bare)) + (self.pieces.get(rest) or self._piece(rest))
+            else:
+                ids = self._cut(word if word[0] == "\n" else " " + word)
+        return self._kept(word, ids)
+
     def _cut(self, text: str) -> bytes:
         if text[1:].isalpha() and (text[0] == " " or text[0].isalpha()):
             return self._piece(text)
@@ -91,7 +110,7 @@ class WordEncoder:
 
     def _words(self, text: str) -> list[str] | None:
         """The words with their blank or line end before them, or None if the text has other white space."""
-        if "  " in text or "\n\n" in text or " \n" in text or "\n " in text or _OTHER_SPACE.search(text):
+        if "  " in text or "\n\n" in text or " \n" in text or "\n " in text or any(map(text.__contains__, _OTHER_SPACE)):
             return None
         if not text or text[0] in " \n" or text[-1] in " \n":
             return None
@@ -117,7 +136,7 @@ class WordEncoder:
                     if ids is None:
                         w = words[i]
                         # A word may be new to the text twice.
-                        found[i] = get(w) or self._kept(w, self._cut(w if w[0] == "\n" else " " + w))
+                        found[i] = get(w) or self._word(w)
             out.append(b"".join(found))
         return out
 
