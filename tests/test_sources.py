@@ -1,10 +1,12 @@
 import datetime as dt
+import threading
 from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tillroll.operators import aggregates as A
 from tillroll.operators import alerts as AL
 from tillroll.operators.clustering import kmeans_segments
 from tillroll.plans import marts
@@ -200,3 +202,25 @@ def test_json_records_are_kept_or_listed(spark, tmp_path):
     assert sorted((r["columns"] or "line", r["record"]) for r in checked.rejected.collect()) == [("a", '{"a":"1.5","b":"y"}'), ("line", '{"a": 2')]
     with pytest.raises(ValueError):
         tables.read_checked(spark, str(tmp_path), "parquet", schema)
+
+
+def test_tables_are_written_side_by_side(spark, tmp_path):
+    """Two of the jobs wait for each other, so one after the other they would not end; results keep their order."""
+    meet = threading.Barrier(2, timeout=20)
+    assert len(set(sinks.at_once(spark, [meet.wait, meet.wait], 2))) == 2
+    with pytest.raises(ZeroDivisionError):
+        sinks.at_once(spark, [lambda: 1, lambda: 1 / 0], 2)
+    frames = {f"t{i}": spark.range(i % 3) for i in range(7)}
+    assert sinks.save_tables(frames, str(tmp_path)) == [f"t{i}" for i in range(7) if i % 3]
+    assert sinks.save_tables({}, str(tmp_path)) == []
+
+
+def test_summary_counts_keys_in_the_aggregates(spark, tmp_path):
+    stored = marts.run_pipeline(raw(spark), str(tmp_path))
+    want = A.processing_summary(stored[marts.FACT]).first().asDict()
+    got = stored["processing_summary"].drop("processing_date").first().asDict()
+    assert got == want
+    # Given tables are read instead of the lines.
+    none = {n: stored[n].limit(0) for n in ("product_performance", "customer_analysis", "country_performance")}
+    row = A.processing_summary(stored[marts.FACT], *none.values()).first()
+    assert (row["unique_products"], row["unique_customers"], row["countries"]) == (0, 0, 0)

@@ -19,9 +19,6 @@ it, which files, row groups and pages answer from their ranges; a folder per day
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
-
-from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,6 +28,7 @@ from tillroll.operators import day_state
 from tillroll.operators.etl import add_features, clean
 from tillroll.schemas import BY_DATASET, PROCESSING_SUMMARY, TRANSACTIONS
 from tillroll.sources import versions
+from tillroll.sources.sinks import at_once
 
 FACT = "retail_transactions_processed"
 #: Folders of data that a store may hold.
@@ -106,15 +104,8 @@ def _write(df: DataFrame, path: str) -> None:
 
 
 def _write_all(spark: SparkSession, frames: dict[str, DataFrame]) -> None:
-    _at_once(spark, [lambda path=path, df=df: _write(df, path) for path, df in frames.items()])
-
-
-def _at_once(spark: SparkSession, jobs: list) -> None:
-    """Independent writes, started together so that small ones fill the cluster; the first failure is raised."""
-    carried = inheritable_thread_target(spark)
-    with ThreadPoolExecutor(len(jobs)) as pool:
-        for done in [pool.submit(carried(job)) for job in jobs]:
-            done.result()
+    jobs = [lambda path=path, df=df: _write(df, path) for path, df in frames.items()]
+    at_once(spark, jobs, len(jobs))
 
 
 def _with_month(schema: T.StructType) -> T.StructType:
@@ -190,7 +181,8 @@ def _tables(spark: SparkSession, root: str, manifest: dict) -> dict:
     }
     folder = versions.new_folder(root, "tables")
     whole = day_state.whole_tables(states)
-    _at_once(spark, [lambda name=name, df=df: df.write.parquet(f"{folder}/{name}") for name, df in whole.items()])
+    jobs = [lambda name=name, df=df: df.write.parquet(f"{folder}/{name}") for name, df in whole.items()]
+    at_once(spark, jobs, len(jobs))
     # The summary counts keys, which the stored tables hold already.
     products, customers = (spark.read.schema(schema_of(n)).parquet(f"{folder}/{n}") for n in ("product_performance", "customer_analysis"))
     summary = day_state.processing_summary(states["sales"], products, customers)

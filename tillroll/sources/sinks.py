@@ -2,14 +2,27 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 from tillroll.functions.columns import rounded
 from tillroll.sources import versions
 
 
+#: Tables written side by side, so that the last tasks of one leave no cores idle.
+_WRITERS = 4
+
+
+def at_once(spark: SparkSession, jobs: Sequence[Callable], width: int) -> list:
+    """Results of independent jobs, `width` of them started together; the first failure is raised."""
+    carried = inheritable_thread_target(spark)
+    with ThreadPoolExecutor(max(1, min(width, len(jobs)))) as pool:
+        return [done.result() for done in [pool.submit(carried(job)) for job in jobs]]
+
+
 def save_tables(
     tables: Mapping[str, DataFrame],
     folder: str,
@@ -17,13 +30,13 @@ def save_tables(
     digits: int | None = None,
     partition_by: Mapping[str, Sequence[str]] | None = None,
 ) -> list[str]:
-    """Write each table to `folder/name`, over what an earlier run left there.
+    """Write each table to `folder/name`, over what an earlier run left there, some side by side.
 
     The names of the tables that have rows come back. Whether there are any is read from what was
     written, so no table is computed twice.
     """
-    written = []
-    for name, df in tables.items():
+
+    def save(name: str, df: DataFrame) -> bool:
         out = df if digits is None else rounded(df, digits)
         writer = out.write.mode("overwrite").format(fmt)
         if fmt == "csv":
@@ -32,9 +45,13 @@ def save_tables(
             writer = writer.partitionBy(*partition_by[name])
         writer.save(f"{folder}/{name}")
         reader = df.sparkSession.read.schema(out.schema)
-        if not reader.option("header", fmt == "csv").format(fmt).load(f"{folder}/{name}").isEmpty():
-            written.append(name)
-    return written
+        return not reader.option("header", fmt == "csv").format(fmt).load(f"{folder}/{name}").isEmpty()
+
+    if not tables:
+        return []
+    spark = next(iter(tables.values())).sparkSession
+    filled = at_once(spark, [lambda name=name, df=df: save(name, df) for name, df in tables.items()], _WRITERS)
+    return [name for name, rows in zip(tables, filled) if rows]
 
 
 def export_csv(df: DataFrame, path: str) -> None:
