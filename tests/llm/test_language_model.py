@@ -94,3 +94,47 @@ def test_edges(spark, edge_docs, edge_rows, no_docs):
     assert language_model.score(no_docs, F.lit(True)).count() == 0
     untrained = language_model.score(edge_docs, F.lit(False)).collect()
     assert {r["train_tokens"] for r in untrained} == {0} and all(np.isfinite(r["score"]) for r in untrained)
+
+
+def _one_table_each(texts, learned):
+    """log10 of each text's probability where every pair and every word has one table."""
+    words, pairs = collections.Counter(), collections.Counter()
+    for k, t in texts:
+        if learned(k):
+            w = _tokens(t)
+            words.update(w)
+            pairs.update(zip([None, *w], w))
+    contexts, root = collections.Counter(u for u, _ in pairs), collections.Counter(w for _, w in pairs)
+
+    def discount(counts):
+        once, twice = (sum(c == i for c in counts.values()) for i in (1, 2))
+        return min(0.95, max(0.05, once / (once + 2 * twice)))
+
+    d, dr, n = discount(pairs), discount(root), sum(root.values())
+
+    def probability(u, w):
+        parent = (root[w] - dr * (root[w] > 0) + (1 + dr * len(root)) / (len(words) + 1)) / (1 + n)
+        return (pairs[u, w] - d * (pairs[u, w] > 0) + (1 + d * contexts[u]) * parent) / (1 + words[u])
+
+    return {k: sum(math.log10(probability(u, w)) for u, w in zip([None, *_tokens(t)], _tokens(t))) for k, t in texts}
+
+
+def test_every_context_against_brute_force(spark, monkeypatch):
+    """Without sweeps each pair has one table; words of one token in 20,000 have their restaurant all the same."""
+    r = np.random.default_rng(2)
+    texts = [(i, " ".join(f"w{j}" for j in r.zipf(1.3, 250) % 3000)) for i in range(90)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(language_model, "PACKET_TOKENS", 3000)
+    monkeypatch.setattr(language_model, "RANGE_ENTRIES", 1000)
+    got = {x["doc_id"]: x["score"] for x in language_model.score(docs, F.col("doc_id") % 3 != 1, sweeps=0).collect()}
+    want = _one_table_each(texts, lambda k: k % 3 != 1)
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-3 for k in want)
+
+
+def test_rare_words_are_contexts(spark):
+    """A pair seen three times among 40,000 tokens is likelier than its words apart."""
+    r = np.random.default_rng(3)
+    train = [(i, " ".join(f"w{j}" for j in r.integers(0, 50, 400))) for i in range(100)] + [(100 + i, "left right") for i in range(3)]
+    docs = spark.createDataFrame([*train, (1000, "w1 left right w2"), (1001, "w1 right left w2")], "doc_id long, text string")
+    got = {x["doc_id"]: x["score"] for x in language_model.score(docs, F.col("doc_id") < 1000).collect()}
+    assert got[1000] > got[1001] + 2
