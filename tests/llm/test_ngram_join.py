@@ -179,3 +179,27 @@ def test_shared_tokens_of_packets_and_ranges(spark, monkeypatch, packet, span):
         found.setdefault(x["token"], []).append((x["rep"], x["n"], x["at"]))
     assert sorted(map(sorted, found.values())) == sorted(sorted(v) for v in held.values() if len(v) > 1)
     assert ngram_join._shared_tokens(reps.limit(0), 0).count() == 0
+
+
+def test_only_open_tokens_stay(spark):
+    """Token 1 lies in one component, 2 in two of them, 3 in a component and a row without label."""
+    rows = [(1, 10), (1, 11), (2, 10), (2, 12), (2, 13), (3, 11), (3, 14), (4, 12), (4, 13)]
+    index = spark.createDataFrame([(t, r, 100, 0) for t, r in rows], "token long, rep long, n long, at int")
+    labels = spark.createDataFrame([(10, 10), (11, 10), (12, 12), (13, 12)], "node long, component long")
+    got = sorted((r["token"], r["rep"]) for r in ngram_join._open_tokens(index, labels).collect())
+    assert got == [x for x in rows if x[0] in (2, 3)]
+
+
+def test_texts_of_single_rows_are_not_shuffled_to_sort_them_out(spark, monkeypatch):
+    """Repeated rows of a node count once; without any, texts are stored as they were read."""
+    made, old = [], ngram_join.stored
+    monkeypatch.setattr(ngram_join, "stored", lambda df, *a, **k: made.append(df) or old(df, *a, **k))
+    text = " ".join(f"w{i}" for i in range(60))
+    for repeated in (False, True):
+        made.clear()
+        rows = [(1, text), (2, text + " tail"), (3, "w " + text)] * (1 + repeated)
+        found = ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        assert len(found) == len(rows) and {r["component_id"] for r in found} == {1}
+        of_texts = [df for df in made if df.columns == ["node", "text"]]
+        plans = [df._jdf.queryExecution().optimizedPlan().toString() for df in of_texts]
+        assert any("Aggregate" in x for x in plans) == repeated

@@ -238,10 +238,14 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int,
                 keep.append(100 * common >= percent * (len(s) + len(last) - common))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    # Rows alike in key and text are all fetched; any of them will do.
+    # Rows alike in key and text are all fetched; any of them will do. Only where there are such, texts are sorted out.
     nodes = _nodes(pairs, classes).select("node", F.col("rep").alias("_key"), F.col("mark").alias("_mark"))
     found = docs.join(nodes, docs["key"].eqNullSafe(nodes["_key"]) & (docs["mark"] == nodes["_mark"]))
-    texts = stored(found.select("node", "text").dropDuplicates(["node"]))
+    texts = stored(found.select("node", "text"))
+    again = stored(texts.groupBy("node").count().filter("count > 1").select("node"))
+    if not again.isEmpty():
+        single = texts.join(again, "node", "left_anti")
+        texts = stored(single.union(texts.join(again, "node", "left_semi").dropDuplicates(["node"])))
     both = pairs.join(texts.withColumnsRenamed({"node": "a", "text": "x"}), "a").join(
         texts.withColumnsRenamed({"node": "b", "text": "y"}), "b"
     )
@@ -257,6 +261,21 @@ def _close(x: str, y: str, percent: int):
     return F.least(nx - px, ny - py) * (100 + percent) >= (nx + ny) * percent
 
 
+def _components_of(index: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """`index` with the component c of each rep: its own number where it has no label yet."""
+    if labels is None:
+        return index.withColumn("c", F.col("rep"))
+    return index.join(labels, F.col("rep") == F.col("node"), "left").select(
+        "token", "rep", "n", "at", F.coalesce("component", "rep").alias("c")
+    )
+
+
+def _open_tokens(index: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of the tokens whose holders are not all of one component; only these can still bring pairs."""
+    ends = _components_of(index, labels).groupBy("token").agg(F.min("c").alias("_low"), F.max("c").alias("_top"))
+    return index.join(ends.filter("_low < _top").select("token"), "token", "left_semi")
+
+
 def links_and_components(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """sets (key, mark, n, class), classes (class, row, node, rep, mark, n), labels (node, component) of `docs` (key, text, mark).
 
@@ -273,15 +292,13 @@ def links_and_components(docs: DataFrame, size: int, percent: int) -> tuple[Data
     total = classes.agg(F.sum(F.floor(F.col("n") * (100 - percent) / 100) + 1)).first()[0] or 0
     index = stored(_shared_tokens(reps, total))
 
-    labels = docs.sparkSession.createDataFrame([], "node long, component long")
+    labels = None
     links = docs.sparkSession.createDataFrame([], "a long, b long")
     tested = links
     step = float(np.log(100 / percent))
-    last = False
+    narrowed = last = False
     while True:
-        marked = index.join(labels, F.col("rep") == F.col("node"), "left").select(
-            "token", "rep", "n", "at", F.coalesce("component", "rep").alias("c"), F.floor(F.log(F.col("n")) / step).alias("band")
-        )
+        marked = _components_of(index, labels).withColumn("band", F.floor(F.log(F.col("n")) / step))
         # While hubs bring links: one hub for each token and band of set sizes. At last: the
         # members outside the token's first component against all members of other components.
         by = ["token"] if last else ["token", "band"]
@@ -307,7 +324,9 @@ def links_and_components(docs: DataFrame, size: int, percent: int) -> tuple[Data
             links = stored(links.union(new))
             labels = components(links)
         if last:
-            return sets, classes, labels
+            return sets, classes, docs.sparkSession.createDataFrame([], "node long, component long") if labels is None else labels
+        if found and not narrowed:  # the first links close most of the tokens that will be closed
+            index, narrowed = stored(_open_tokens(index, labels)), True
         tested = tested.union(pairs)
         last = not found
 
