@@ -40,6 +40,23 @@ def test_rank_in_groups(spark):
     assert got == dict(zip(pdf["id"], pdf.groupby("g").cumcount() + 1))
 
 
+def test_a_few_large_groups_stay_spread(spark):
+    settings = {"spark.sql.shuffle.partitions": "24", "spark.sql.autoBroadcastJoinThreshold": "20000"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        df = spark.range(80_000).withColumn("g", (F.col("id") % 10 < 3).cast("int"))
+        ranked = O.rank_in_groups(df, ["g"], ["id"], "r").withColumn("task", F.spark_partition_id())
+        rows = ranked.toPandas()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    rows = rows.sort_values(["g", "id"])
+    assert list(rows["r"]) == list(rows.groupby("g").cumcount() + 1) and len(rows) == 80_000
+    assert rows.groupby("task").size().max() < 20_000
+
+
 def test_running_totals(spark):
     pdf, df = skewed(spark)
     got = {r["id"]: r["run_id"] for r in O.running_totals(df, ["v", "id"], ["id"]).collect()}
