@@ -1,6 +1,7 @@
 import datetime as dt
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -203,6 +204,40 @@ def test_predictions_are_products_of_both_vectors(spark, monkeypatch):
     assert all(r[:2] == w[:2] and abs(r[2] - w[2]) < 1e-5 for r, w in zip(rows, want))
 
 
+def test_blocks_of_the_fit_grow_with_the_ratings(spark, monkeypatch):
+    """A task is sent a vector for each rating of its block at most, so blocks may not grow with the table."""
+    monkeypatch.setattr(FA, "BLOCK_RATINGS", 50, raising=False)
+    f = FA.customer_product_factors(_ratings(spark), rank=4, iters=2)
+    train = 60 * 30 * 0.6 * 0.8
+    for vectors in (f.model.userFactors, f.model.itemFactors):
+        assert train / 50 * 0.8 < vectors.rdd.getNumPartitions() < train / 50 * 1.2
+
+
+def test_predictions_hold_one_batch_of_products(spark):
+    """Two cells, one customer each, products in batches of their own: predictions come before later batches are read."""
+    read = []
+
+    def batches():
+        names = ["place", "user", "part", "rating", "features"]
+        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.float32(), pa.list_(pa.float32())]
+        for cell in (3, 8):
+            def row(item, rated, user, rating, features, at=cell << 33):
+                return at + (item + 1) * 2 + rated, user, 1, rating, features
+
+            some = [[row(-1, 0, 5, 0.0, [1.0, 2.0])], [row(-1, 0, 4, 0.0, [cell, 0.0])]]
+            for i in range(20):  # the vector, two ratings, a rating of an unknown customer; a product without a vector
+                some += [[row(2 * i, 0, -1, 0.0, [i, 1.0]), row(2 * i, 1, 5, i, None)], [row(2 * i, 1, 4, -i, None), row(2 * i, 1, 6, 0.0, None)], [row(2 * i + 1, 1, 5, 0.0, None)]]
+            for rows in some:
+                read.append(cell)
+                yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
+    out = FA._predict_cells(batches())
+    first = next(out)
+    assert first.to_pylist() == [{"part": 1, "rating": 0.0, "prediction": 2.0}] and len(read) == 3
+    rest = [tuple(r.values()) for b in out for r in b.to_pylist()]
+    assert sorted([(1, 0.0, 2.0), *rest]) == sorted(x for cell in (3, 8) for i in range(20) for x in ((1, i, i + 2.0), (1, -i, cell * i)))
+
+
 def test_rare_class_is_in_every_part(spark):
     from tillroll.operators import lifetime
 
