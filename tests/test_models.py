@@ -238,6 +238,24 @@ def test_predictions_hold_one_batch_of_products(spark):
     assert sorted([(1, 0.0, 2.0), *rest]) == sorted(x for cell in (3, 8) for i in range(20) for x in ((1, i, i + 2.0), (1, -i, cell * i)))
 
 
+def test_neighbours_read_stored_vectors(spark):
+    """The vectors and the wanted keys are worked out once, however often the search reads them."""
+    seen, asked = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+
+    def counted(counter):
+        def run(x):
+            counter.add(1)
+            return x
+
+        return F.udf(run, "long").asNondeterministic()
+
+    factors = spark.range(60).select(counted(seen)("id").alias("k"), F.array(F.sin("id"), F.cos("id")).alias("embedding"))
+    ids = spark.range(3).select(counted(asked)("id").alias("k"))
+    near = FA.similar(factors, "k", ids, 2).collect()
+    assert len(near) == 6 and {r["query_id"] for r in near} == {0, 1, 2}
+    assert (seen.value, asked.value) == (60, 3)
+
+
 def test_rare_class_is_in_every_part(spark):
     from tillroll.operators import lifetime
 
